@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import host_quality, sp_codec, token_counts
+from . import decontam, host_quality, phrase_dedup, sp_codec, token_counts
 from .common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -29,16 +29,43 @@ def op4_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_quality.judge(docs, keep_text=False).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    hit = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return hit.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("hit_items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "hit_items"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.count_tokens(docs, PIECES)
     return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op10_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = phrase_dedup.drop_repeats(docs)
+    return cut.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        (F.coalesce(F.octet_length("text"), F.lit(0)) - F.octet_length("kept")).cast("long").alias("n_removed"),
+        (F.size("removed") / 2).cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op4_host_quality": op4_host_quality,
+    "op5_decontamination": op5_decontamination,
     "op9_token_counts": op9_token_counts,
+    "op10_phrase_dedup": op10_phrase_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
