@@ -6,13 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, host_quality, phrase_dedup, sp_codec, token_counts
+from . import chat, compress_quality, decontam, host_quality, phrase_dedup, sentence_dedup, sp_codec, token_counts, toxicity
 from .common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 TOKEN_LIMIT = 4096
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_toxicity(docs, model)
+    held_out = compress_quality.held_out(F.col("doc_id"), 4, 2)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = sp_codec.encode_decode(docs, PIECES)
@@ -42,6 +50,24 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
+def op7_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = sentence_dedup.drop_repeated_sentences(docs)
+    return cut.select("doc_id", "n_sentences", "n_removed", F.octet_length("kept").cast("long").alias("kept_bytes"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_compress_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = compress_quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = compress_quality.score_quality(docs, model)
+    held_out = compress_quality.held_out(F.col("doc_id"), 3, 1)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.count_tokens(docs, PIECES)
@@ -61,11 +87,15 @@ def op10_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_sentencepiece": op2_sentencepiece,
     "op4_host_quality": op4_host_quality,
     "op5_decontamination": op5_decontamination,
+    "op6_chat": op6_chat,
+    "op7_sentence_dedup": op7_sentence_dedup,
+    "op8_compress_quality": op8_compress_quality,
     "op9_token_counts": op9_token_counts,
     "op10_phrase_dedup": op10_phrase_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_chat": chat.ORACLE}
