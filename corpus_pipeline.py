@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtale.llm import common, host_quality, queries, sp_codec
+from loomtale.llm import common, decontam, host_quality, near_dedup, phrase_dedup, queries, sp_codec
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -17,6 +17,24 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return host_quality.judge(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each class of near-duplicates."""
+    return near_dedup.near_duplicates(docs.select(*COLUMNS)).where("first").select(*COLUMNS)
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without what an earlier text has, whole characters only; documents with nothing left go."""
+    cut = phrase_dedup.drop_repeats(docs.select(*COLUMNS), kept_text=True).where(F.length(F.trim("kept")) > 0)
+    return cut.withColumns({"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}).select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the spans of benchmark items; documents that are nothing else go."""
+    benchmark = common.table(spark, sf_dir, "benchmark")
+    cut = decontam.decontaminate(docs.select(*COLUMNS), benchmark, cleaned="cleaned").where((F.col("n_hit") == 0) | (F.col("n_hit") < F.col("n_words")))
+    return cut.withColumns({"text": F.col("cleaned"), "n_chars": F.length("cleaned").cast("long")}).select(*COLUMNS)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids with the end id, for training."""
     coded = sp_codec.encode_decode(docs.select(*COLUMNS), queries.PIECES)
@@ -24,7 +42,13 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = [("quality_rules", quality_rules), ("sentencepiece", encode)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_duplicates),
+    ("suffix_array_dedup", repeated_strings),
+    ("decontamination", decontamination),
+    ("sentencepiece", encode),
+]
 
 #: Token ids and near-duplicate classes aren't SQL's; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None

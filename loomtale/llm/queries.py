@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, compress_quality, decontam, host_quality, phrase_dedup, sentence_dedup, sp_codec, token_counts, toxicity
+from . import chat, compress_quality, decontam, host_quality, near_dedup, phrase_dedup, sentence_dedup, sp_codec, token_counts, toxicity
 from .common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -32,6 +32,11 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup.near_duplicates(docs).select("doc_id", "class_id", "class_size", F.col("first").alias("kept"))
+
+
 def op4_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return host_quality.judge(docs, keep_text=False).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -89,6 +94,7 @@ def op10_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_near_dedup": op3_near_dedup,
     "op4_host_quality": op4_host_quality,
     "op5_decontamination": op5_decontamination,
     "op6_chat": op6_chat,
