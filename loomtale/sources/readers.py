@@ -85,7 +85,7 @@ READERS: dict[str, Reader] = {"txt": read_txt, "docx": read_docx, "doc": read_do
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, content of the files; works on any store that Spark reads."""
+    """path, length, content of the files; works on any store that Spark reads.  Spark lists no file of no bytes."""
     return spark.read.format("binaryFile").load(path)
 
 
