@@ -243,14 +243,38 @@ def _terms(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(retrieval.clean_terms(picked)).alias("term_ord", "term"))
 
 
-@query()
+def _at(text: str, term: str) -> str:
+    """0-based place of a term of letters: as a whole word, else anywhere."""
+    part = lambda k: f"regexp_extract({text}, '(?is)^(.*?)(^|[^\\p{{L}}\\p{{N}}_])' || {term} || '([^\\p{{L}}\\p{{N}}_]|$)', {k})"
+    whole = f"regexp_matches({text}, '(?i)(^|[^\\p{{L}}\\p{{N}}_])' || {term} || '([^\\p{{L}}\\p{{N}}_]|$)')"
+    return f"case when {whole} then length({part(1)}) + length({part(2)}) when contains(lower({text}), lower({term})) then strpos(lower({text}), lower({term})) - 1 end"
+
+
+def _window(text: str, at: str, size: str, width: int) -> str:
+    half = max(80, width // 2)
+    lo, hi = f"greatest(0, {at} - {half})", f"least(length({text}), {at} + {size} + {half})"
+    cut = _strip(f"substring({text}, {lo} + 1, {hi} - {lo})")
+    return f"case when {lo} > 0 then '...' else '' end || {cut} || case when {hi} < length({text}) then '...' else '' end"
+
+
+@query(f"""with recursive {_chunks("documents")}, w as (select doc_id, string_split_regex(text, '[^\\p{{L}}]+') as w from documents),
+c as (select doc_id, list_filter([w[6], w[21], w[41]], lambda t: t is not null and length(t) >= 2) as c from w),
+t as (select doc_id, o, c[o] as term from c, lateral (select unnest(range(1, len(c) + 1)) as o) where list_position(list_transform(c, lambda t: lower(t)), lower(c[o])) = o),
+f as (select doc_id, term, o, raw_index as chunk_index, chunk_text, {_at("chunk_text", "term")} as pos from chunks join t using (doc_id) where contains(lower(chunk_text), lower(term))),
+r as (select *, row_number() over (partition by doc_id order by chunk_index, o) as n from f where pos is not null)
+select doc_id, term as query, chunk_index, substring(chunk_text, pos + 1, length(term)) as matched_text, {_window("chunk_text", "pos", "length(term)", retrieval.MENTION_CHARS)} as snippet from r where n <= {retrieval.MAX_MENTIONS}""")
 def mention_search(spark, d):
     docs = _t(spark, d, "documents")
     chunks = chunking.chunk(docs, max_chars=CHUNK_CHARS).withColumnRenamed("raw_index", "chunk_index")
     return retrieval.mentions(chunks, _terms(docs))
 
 
-@query()
+_HEAD900 = f"case when length({_strip('chunk_text')}) <= 900 then {_strip('chunk_text')} else regexp_replace(substring({_strip('chunk_text')}, 1, 900), '\\s+$', '') || '...' end"
+
+
+@query(f"""with recursive {_chunks("documents")}, t as (select *, string_split_regex(chunk_text, '[^\\p{{L}}]+')[4] as term from chunks where raw_index < {retrieval.MAX_SNIPPETS}),
+f as (select *, case when length(term) >= 2 then {_at("chunk_text", "term")} end as pos from t)
+select doc_id, 0 as char_ord, raw_index as ord, raw_index as chunk_index, 'char_0' as local_id, case when pos is null then {_HEAD900} else {_window("chunk_text", "pos", "length(term)", retrieval.SNIPPET_CHARS)} end as snippet from f""")
 def snippets(spark, d):
     docs = _t(spark, d, "documents")
     chunks = chunking.chunk(docs, max_chars=CHUNK_CHARS).withColumnRenamed("raw_index", "chunk_index")
