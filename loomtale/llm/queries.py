@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import chat, compress_quality, decontam, host_quality, near_dedup, phrase_dedup, sentence_dedup, sp_codec, token_counts, toxicity
 from .common import table
+from .oracles import ORACLE_SQL as ORACLE_SQL
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 TOKEN_LIMIT = 4096
@@ -103,5 +104,3 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_phrase_dedup": op10_phrase_dedup,
 }
-
-ORACLE_SQL: dict[str, str] = {"op6_chat": chat.ORACLE}
