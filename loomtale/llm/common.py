@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,19 +33,53 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_live: list[Staged] = []
+
+
+@contextlib.contextmanager
+def workspace() -> Iterator[Callable[[Staged], Staged]]:
+    """Tables staged inside are deleted at the end, but for those given to the yielded function."""
+    kept, earlier = [], list(_live)
+
+    def keep(table: Staged) -> Staged:
+        kept.append(table)
+        return table
+
+    try:
+        yield keep
+    finally:
+        for t in [t for t in _live if t not in earlier and t not in kept]:
+            t.drop()
+
+
+@contextlib.contextmanager
+def noted(into: list[Staged]) -> Iterator[None]:
+    """Adds the tables that are staged inside, and still there at the end, to a list."""
+    earlier = list(_live)
+    yield
+    into.extend(t for t in _live if t not in earlier)
+
+
 class Staged:
-    """A table written to the shared folder: a cut in the lineage that outlives executors."""
+    """A table written to the shared folder: a cut in the lineage that outlives executors.
+
+    A lasting one is left alone by ``workspace`` and ``noted``.
+    """
 
-    def __init__(self, df: DataFrame, label: str):
+    def __init__(self, df: DataFrame, label: str, lasting: bool = False):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/loomtale-{label}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
         atexit.register(self.drop)
+        if not lasting:
+            _live.append(self)
 
     def drop(self) -> None:
         """Deletes the table; call it once nothing lazy reads it."""
         atexit.unregister(self.drop)
+        if self in _live:
+            _live.remove(self)
         try:
             jvm = self.spark.sparkContext._jvm
             path = jvm.org.apache.hadoop.fs.Path(self.path)

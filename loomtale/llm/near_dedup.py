@@ -10,12 +10,14 @@ arrival is later than all registers of its document.  The chance that two docume
 register is their similarity.  ``ROWS`` registers make a band.
 
 *Candidates.*  Documents of equal words are one node.  In a bucket (nodes that agree in a band) all
-nodes are compared with the least one.  As long as a bucket then still holds several classes, more
-of its nodes become pivots and are compared with the nodes of other classes: ``PIVOTS`` a round, those
-outside the bucket's first class, until every such node has been one.  So no pair of a bucket that could
-join two classes is left out, while no round makes more than PIVOTS pairs of a node and bucket.
-
-*Verification.*  Each candidate pair is compared exactly, on all shingles of both texts.
+nodes are paired with the least one.  If a bucket then still holds several classes, its nodes outside
+the first class become pivots and are paired with the nodes of other classes, ``PIVOTS`` of them a
+round, until every such node has been one.  So no pair of a bucket that could join two classes is left
+out, while no round makes more than PIVOTS pairs of a node and bucket.
+
+*Verification.*  A pair whose sketches agree in less than ``PLAUSIBLE`` of the registers is dropped (at
+similarity 0.8 that has a chance of about 1e-8).  The others are compared exactly, on all shingles of
+both texts.
 *Classes.*  Components by alternating large and small stars; edges are cut to a shared table.
 
 A text without words is a class of its own.  Rows of equal words, in one doc_id or several, are in
@@ -37,7 +39,7 @@ from .decontam import _rolled, _words
 from .repeats import LEAST, keyed
 
 SHINGLE, SIMILARITY = 5, 0.8
-REGISTERS, ROWS, PIVOTS = 128, 4, 8
+REGISTERS, ROWS, PIVOTS, PLAUSIBLE = 128, 4, 64, 0.6
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -107,21 +109,21 @@ def bands(winners: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, text: str) -> DataFrame:
-    """__id, __k, w1, w2 (hashes of the words; w1 null without any) and the bands."""
+    """__id, __k, w1, w2 (hashes of the words; w1 null without any), the bands and 16 bits of each register."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, text):
             texts = [(t or "").encode() for t in batch.column(text).to_pylist()]
             doc, h, weight, whole = shingles(texts)
-            found = bands(sketch(doc, h, weight, len(texts)))
+            winners = sketch(doc, h, weight, len(texts))
+            found = bands(winners)
             second = np.zeros(len(texts), np.uint64)
             np.add.at(second, doc, _mix(h + weight.astype(np.uint64)))
-            flat = pa.array(found.ravel().view(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, found.shape[1], dtype=np.int32)), flat)
+            listed = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
             w1 = pa.array(whole.view(np.int64), mask=whole == 0)
-            yield pa.RecordBatch.from_pydict({"__id": batch.column("__id"), "__k": batch.column("__k"), "w1": w1, "w2": pa.array(second.view(np.int64)), "bands": lists})
+            yield pa.RecordBatch.from_pydict({"__id": batch.column("__id"), "__k": batch.column("__k"), "w1": w1, "w2": pa.array(second.view(np.int64)), "bands": listed(found.view(np.int64)), "sketch": listed(_mix(winners).astype(np.uint16).view(np.int16))})
 
-    return docs.select("__id", "__k", text).mapInArrow(run, "__id bigint, __k bigint, w1 bigint, w2 bigint, bands array<bigint>")
+    return docs.select("__id", "__k", text).mapInArrow(run, "__id bigint, __k bigint, w1 bigint, w2 bigint, bands array<bigint>, sketch array<smallint>")
 
 
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -165,7 +167,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _components(edges: DataFrame) -> DataFrame:
     """(node, class): the least node of each node's component, for nodes with an edge."""
-    stage = common.Staged(edges.where("a != b").select("a", "b"), "edges")
+    stage = common.Staged(edges.select("a", "b"), "edges")
     before = None
     while True:
         edges = stage.df
@@ -185,59 +187,78 @@ def _components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _next_pairs(buckets: DataFrame, classes: DataFrame, round_no: int) -> DataFrame:
-    """Pairs of this round's pivots with the nodes of other classes in their buckets."""
+def _plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs whose sketches agree often enough."""
+    sides = [sketches.select(F.col("node").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab"]
+    same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
+    return pairs.join(sides[0], "a").join(sides[1], "b").where(same >= PLAUSIBLE * REGISTERS).select("a", "b")
+
+
+def _mixed(buckets: DataFrame, classes: DataFrame) -> DataFrame:
+    """bucket, node, class of buckets with several classes; rank numbers the nodes outside the first one."""
     known = buckets.join(classes, "node", "left").select("bucket", "node", F.coalesce("class", "node").alias("class"))
     first = known.groupBy("bucket").agg(F.min("class").alias("first"), F.max("class").alias("last")).where("first != last").select("bucket", "first")
-    mixed = known.join(first, "bucket")
-    # nodes outside the bucket's first class, numbered; a bucket's pivots of this round are PIVOTS rows
-    order = Window.partitionBy("bucket").orderBy("node")
-    outside = mixed.where("class != first").withColumn("rank", F.row_number().over(order))
-    pivots = outside.where((F.col("rank") > round_no * PIVOTS) & (F.col("rank") <= (round_no + 1) * PIVOTS))
-    pivots = pivots.select("bucket", F.col("node").alias("pivot"), F.col("class").alias("pivot_class"))
+    out = known.join(first, "bucket").withColumn("outside", F.col("class") != F.col("first"))
+    order = Window.partitionBy("bucket", "outside").orderBy("node")
+    return out.select("bucket", "node", "class", F.when(F.col("outside"), F.row_number().over(order)).alias("rank"))
+
+
+def _cross(mixed: DataFrame, round_no: int) -> DataFrame:
+    """Pairs of this round's pivots with the nodes of other classes in their buckets."""
+    chosen = (F.col("rank") > round_no * PIVOTS) & (F.col("rank") <= (round_no + 1) * PIVOTS)
+    pivots = mixed.where(chosen).select("bucket", F.col("node").alias("pivot"), F.col("class").alias("pivot_class"))
     pairs = mixed.join(pivots, "bucket").where("class != pivot_class")
     return pairs.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``class_id``, the least doc_id of the class, ``class_size`` and ``first``.
-
-    class_size counts rows equal in doc_id and text once.  ``first`` marks one row of each class,
-    one of the least doc_id.
-    """
-    docs = keyed(docs.drop("class_id", "class_size", "first"), doc_id, text)
+def _classes(docs: DataFrame, text: str) -> DataFrame:
+    """(__id, __k, __class, class_size) of the keyed documents; __class is a node."""
     signed = common.Staged(signatures(docs, text), "signatures").df
     key = F.struct(F.col("__id").alias("id"), F.col("__k").alias("k"))
     worded = signed.where(F.col("w1").isNotNull())
     nodes = worded.groupBy("w1", "w2").agg(F.min(key).alias("node"))
     member = signed.select("__id", "__k", "w1", "w2").join(nodes, ["w1", "w2"], "left").select("__id", "__k", F.coalesce("node", key).alias("node")).distinct()
-    own = worded.select(key.alias("node"), "bands").join(nodes.select("node"), "node").dropDuplicates(["node"])
+    own = worded.select(key.alias("node"), "bands", "sketch").join(nodes.select("node"), "node").dropDuplicates(["node"])
     placed = own.select("node", F.explode("bands").alias("bucket"))
     crowd = placed.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "pivot")
     buckets = common.Staged(placed.join(crowd, "bucket").select("bucket", "node", "pivot"), "buckets").df
-    pairs = common.Staged(buckets.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs").df
-    # texts of the nodes in buckets, moved once
     wanted = buckets.select("node").distinct()
+    sketches = common.Staged(own.select("node", "sketch").join(wanted, "node"), "sketches").df
+    stars = buckets.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    pairs = common.Staged(_plausible(stars, sketches), "pairs").df
+    # the texts of nodes in buckets are moved once
     texts = docs.select(key.alias("node"), F.col(text).alias("text")).join(wanted, "node").dropDuplicates(["node"])
     texts = common.Staged(texts, "texts").df
     edges = common.Staged(_verified(pairs, texts), "links").df
-    classes = _components(edges)
-    tested, round_no = pairs, 0
+    classes, tested = _components(edges), pairs
     while True:
-        more = _next_pairs(buckets.select("bucket", "node"), classes, round_no).join(tested, ["a", "b"], "left_anti")
-        more = common.Staged(more, "pairs").df
-        if more.isEmpty():
+        mixed = common.Staged(_mixed(buckets.select("bucket", "node"), classes), "mixed").df
+        top = mixed.agg(F.max("rank").alias("r")).first()["r"] or 0
+        before = edges
+        for k in range(-(-top // PIVOTS)):
+            more = _plausible(_cross(mixed, k), sketches).join(tested, ["a", "b"], "left_anti")
+            more = common.Staged(more, "pairs").df
+            if not more.isEmpty():
+                tested = tested.unionByName(more)
+                edges = edges.unionByName(common.Staged(_verified(more, texts), "links").df)
+        if edges is before or edges.exceptAll(before).isEmpty():
             break
-        found = common.Staged(_verified(more, texts), "links").df
-        tested = tested.unionByName(more)
-        if found.isEmpty():
-            round_no += 1  # the same classes: the next pivots
-        else:
-            edges = edges.unionByName(found)
-            classes, round_no = _components(edges), 0
+        classes = _components(edges)
     named = member.join(classes, "node", "left").select("__id", "__k", F.coalesce("class", "node").alias("__class"))
     sizes = named.groupBy("__class").agg(F.count(F.lit(1)).alias("class_size"))
-    out = docs.join(named.join(sizes, "__class"), ["__id", "__k"])
+    return named.join(sizes, "__class").select("__id", "__k", "__class", "class_size")
+
+
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with ``class_id``, the least doc_id of the class, ``class_size`` and ``first``.
+
+    class_size counts rows equal in doc_id and text once.  ``first`` marks one row of each class,
+    one of the least doc_id.
+    """
+    docs = keyed(docs.drop("class_id", "class_size", "first"), doc_id, text)
+    with common.workspace() as keep:
+        named = keep(common.Staged(_classes(docs, text), "classes")).df
+    out = docs.join(named, ["__id", "__k"])
     name = F.when(F.col("__class.id") != LEAST, F.col("__class.id"))
     # the join has dealt the rows by document, so that equal rows are numbered without moving them
     copy = F.row_number().over(Window.partitionBy("__id", "__k").orderBy("__k"))
