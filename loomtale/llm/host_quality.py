@@ -22,6 +22,8 @@ from . import common
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 #: A host is rejected if its shrunk rate less Z standard deviations is above this share.
 HOST_LIMIT, Z = 0.5, 2.0
+#: Hosts whose verdicts are broadcast, at about 50 bytes each.
+MOST_BROADCAST = 500_000
 #: Documents that the prior weighs at least and at most.
 PRIOR_LEAST, PRIOR_MOST = 2.0, 1000.0
 
@@ -125,11 +127,13 @@ def judge(docs: DataFrame, *, text: str = "text", host: str = "source", keep_tex
     """``docs`` with the measures, host_rate and ``kept``.
 
     The measures are written once, so that texts are read and matched once; hosts are aggregated
-    from them with partial sums, so that a hot host costs no more than another, and the join back
-    lets Spark broadcast the hosts while they are few or split a hot host otherwise.
+    from them with partial sums, so that a hot host costs no more than another.  Verdicts are
+    broadcast while there are at most ``MOST_BROADCAST`` hosts; beyond, Spark shuffles both sides and
+    splits a hot host.
     """
     measured = measure(docs, text)
-    stage = common.Staged(measured if keep_text else measured.drop(text), "hosts")
-    verdicts = host_verdicts(stage.df, host)
-    out = stage.df.join(verdicts.select("__host", "host_rate", "host_rejected"), F.col(host).eqNullSafe(F.col("__host")), "left")
+    stage = common.Staged(measured if keep_text else measured.drop(text), "measures")
+    verdicts = common.Staged(host_verdicts(stage.df, host).select("__host", "host_rate", "host_rejected"), "hosts").df
+    few = verdicts.count() <= MOST_BROADCAST
+    out = stage.df.join(F.broadcast(verdicts) if few else verdicts, F.col(host).eqNullSafe(F.col("__host")), "left")
     return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("host_rejected", F.lit(False))).drop("__host", "host_rejected")
