@@ -34,7 +34,7 @@ from .repeats import KEY, ROWS, keyed, ranked, rows, spans_of
 
 WIDTH, GRAM = 100, 32
 #: Bytes hashed at a time, and rows among which repeats are found before they are sent.
-PART, ROWS_AT_ONCE = 1 << 19, 1 << 20
+PART, ROWS_AT_ONCE = 1 << 19, 1 << 18
 _BASE, _MIX, _MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _LOW = np.uint64((1 << 20) - 1)
 
@@ -154,13 +154,13 @@ def _suffixes(docs: DataFrame, text: str, width: int) -> DataFrame:
     """The suffixes of the phrases in ``__phrases``, each by its first ``width`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, text):
+        for batch in common.slices(batches, text, 1_000_000):
             texts = [(t or "").encode() for t in batch.column(text).to_pylist()]
             ids, ks = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in KEY)
             lists = batch.column("__phrases")
             flat, bounds = lists.flatten(), np.cumsum([0, *(x or 0 for x in lists.value_lengths().to_pylist())])
             pos, n, trigger = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-            out = []
+            out, size = [], 0
             for d, t in enumerate(texts):
                 p, c, m = (x[bounds[d] : bounds[d + 1]] for x in (pos, n, trigger))
                 order = np.argsort(p)
@@ -176,6 +176,10 @@ def _suffixes(docs: DataFrame, text: str, width: int) -> DataFrame:
                     start = np.repeat(lo - (np.cumsum(k) - k), k) + np.arange(k.sum())
                     h = _mix(sums.of(start - at, start - at + width))
                     out.append((h, np.repeat(m[here], k).view(np.uint64), np.full(len(start), ids[d]), np.full(len(start), ks[d]), start, np.ones(len(start), np.int64)))
+                    size += len(start)
+                    if size >= ROWS_AT_ONCE:
+                        yield rows(*(np.concatenate(x) for x in zip(*out, strict=True)))
+                        out, size = [], 0
             if out:
                 yield rows(*(np.concatenate(x) for x in zip(*out, strict=True)))
 

@@ -58,7 +58,7 @@ def _runs(docs: DataFrame, text: str, run_length: int) -> DataFrame:
                     mixed = (mixed ^ (mixed >> np.uint64(29))) * step + h[k : k + count]
                 held.append((mixed[:, 0], mixed[:, 1], np.full(count, ids[d]), np.full(count, ks[d]), np.arange(count), np.ones(count, np.int64)))
                 size += count
-            if size >= 1 << 19:
+            if size >= 1 << 18:
                 yield sent()
                 held, size = [], 0
         if held:
