@@ -16,7 +16,7 @@ round, until every such node has been one.  So no pair of a bucket that could jo
 out, while no round makes more than PIVOTS pairs of a node and bucket.
 
 *Verification.*  A pair whose sketches agree in less than ``PLAUSIBLE`` of the registers is dropped (at
-similarity 0.8 that has a chance of about 1e-8).  The others are compared exactly, on all shingles of
+similarity 0.8 that has a chance of about 1e-9).  The others are compared exactly, on all shingles of
 both texts.
 *Classes.*  Components by alternating large and small stars; edges are cut to a shared table.
 
@@ -39,7 +39,7 @@ from .decontam import _rolled, _words
 from .repeats import LEAST, keyed
 
 SHINGLE, SIMILARITY = 5, 0.8
-REGISTERS, ROWS, PIVOTS, PLAUSIBLE = 128, 4, 64, 0.6
+REGISTERS, ROWS, PIVOTS, PLAUSIBLE = 264, 6, 64, 0.65
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -83,7 +83,7 @@ def sketch(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int) -> np.nda
     while len(h):
         number = np.arange(step, step + burst, dtype=np.uint64)
         draw = _mix(h[:, None] + (number + np.uint64(1)) * _A)
-        register = (draw & np.uint64(REGISTERS - 1)).astype(np.int64)
+        register = (draw % np.uint64(REGISTERS)).astype(np.int64)
         waits = -np.log(((draw >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) / weight[:, None]
         arrival = clock[:, None] + np.cumsum(waits, axis=1)
         slot = (doc[:, None] * REGISTERS + register).ravel()
@@ -112,7 +112,7 @@ def signatures(docs: DataFrame, text: str) -> DataFrame:
     """__id, __k, w1, w2 (hashes of the words; w1 null without any), the bands and 16 bits of each register."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, text):
+        for batch in common.slices(batches, text, 1_000_000):
             texts = [(t or "").encode() for t in batch.column(text).to_pylist()]
             doc, h, weight, whole = shingles(texts)
             winners = sketch(doc, h, weight, len(texts))
@@ -157,7 +157,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = pairs.join(sides[0], "a").join(sides[1], "b").select("a.*", F.col("b.id").alias("b_id"), F.col("b.k").alias("b_k"), "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "text_a"):
+        for batch in common.slices(batches, "text_a", 1_000_000):
             alike = [probability_jaccard(_weighted(x), _weighted(y)) >= SIMILARITY for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)]
             yield batch.select(["id", "k", "b_id", "b_k"]).filter(pa.array(alike, pa.bool_()))
 
