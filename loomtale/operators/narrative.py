@@ -23,18 +23,22 @@ def lines_of(text: Column) -> Column:
 
 def non_narrative(text: Column) -> Column:
     """True for blank text, headings, contents, copyright pages, reviews and the like."""
-    lines = lines_of(text)
-    top, opening = F.slice(lines, 1, 5), F.slice(lines, 1, 40)
-    heading = F.exists(top, lambda x: x.rlike(HEADING)) & ~text.rlike(CHAPTER)
-    entries = F.size(F.filter(opening, lambda x: x.rlike(CONTENTS_LINE)))
-    contents = (entries >= 3) & (entries >= 0.35 * F.size(opening))
+
+    def let(value: Column, f) -> Column:  # computed once, also inside a lambda
+        return F.element_at(F.transform(F.array(value), f), 1)
+
+    def by_line(lines: Column) -> Column:
+        top, opening = F.slice(lines, 1, 5), F.slice(lines, 1, 40)
+        heading = F.exists(top, lambda x: x.rlike(HEADING)) & ~text.rlike(CHAPTER)
+        entries = F.size(F.filter(opening, lambda x: x.rlike(CONTENTS_LINE)))
+        contents = (entries >= 3) & (entries >= 0.35 * F.size(opening))
+        found = lambda joined: sum((joined.rlike(_I + rf"\b{p}\b").cast("int") for p in V.HEADINGS), F.lit(0))
+        return heading | contents | (let(F.array_join(top, "\n"), found) >= 2)
+
     rights = F.regexp_count(text, F.lit(COPYRIGHT)) >= 2
     reviews = (F.regexp_count(text, F.lit(REVIEW)) >= 2) & (F.length(strip(text)) < 5000)
-    joined = F.array_join(top, "\n")
-    found = [joined.rlike(_I + rf"\b{p}\b").cast("int") for p in V.HEADINGS]
-    dense = sum(found[1:], found[0]) >= 2
     phrase = F.lower(text).contains("table of contents") | F.lower(text).contains("tabla de contenidos")
-    return F.coalesce((strip(text) == "") | heading | contents | rights | reviews | dense | phrase, F.lit(True))
+    return F.coalesce((strip(text) == "") | let(lines_of(text), by_line) | rights | reviews | phrase, F.lit(True))
 
 
 def narrative_chunks(chunks: DataFrame, *, doc_id: str = "doc_id") -> DataFrame:
