@@ -98,25 +98,36 @@ def _conditional(counts: np.ndarray) -> np.ndarray:
 
 
 _CODES = np.zeros(0x110000, np.uint8)  # 1 letter, 2 sign, 4 mark between single characters, 8 white space
-for _c in range(0x3000):
-    _CODES[_c] = (1 if chr(_c).isalpha() else 0) + (4 if chr(_c) in " ._-*" else 0) + (8 if chr(_c).isspace() else 0)
-_CODES[0x3000:] = 1
+_CODES[0x3001:] = 1
+_LOWER = np.arange(0x110000, dtype=np.uint32)
+for _c in range(0x20000):
+    if _c <= 0x3000:
+        _CODES[_c] = (1 if re.fullmatch(LETTER, chr(_c)) else 0) + (4 if chr(_c) in " ._-*" else 0) + (8 if chr(_c).isspace() else 0)
+    _LOWER[_c] = ord(chr(_c).lower()[0])
 for _c in LOOKS_LIKE:
     _CODES[ord(_c)] |= 2
 
 
 def _suspects(texts: list[str]) -> tuple[list[int], list[int], list[int]]:
-    """The texts that can hold a candidate of each kind: all that do, and few others."""
-    joined = "\n\n\n" + "\n\n\n".join(texts).lower() + "\n\n\n"
+    """The texts that can hold a candidate of each kind: all that do, and few others.
+
+    APART wants a character that a mark follows; after the first marks another such character, unless a ``*``,
+    which is both a mark and a character, is among them.
+    """
+    joined = "\n\n\n" + "\n\n\n".join(texts) + "\n\n\n"
     codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-    starts = np.cumsum([3, *[len(t.lower()) + 3 for t in texts]])[:-1]
+    starts = np.cumsum([3, *[len(t) + 3 for t in texts]])[:-1]
     kind = _CODES[codes]
     letter, sign, mark, space = ((kind & b) > 0 for b in (1, 2, 4, 8))
     single = letter | sign
-    apart = space[:-4] & single[1:-3] & mark[2:-2] & ~space[3:-1] & (mark | space)[4:]
-    among = (letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:])
-    again = letter[:-2] & (codes[:-2] == codes[1:-1]) & (codes[1:-1] == codes[2:])
-    of = lambda x: np.unique(np.searchsorted(starts, np.flatnonzero(x) + 2, "right") - 1).clip(0).tolist()
+    first = np.flatnonzero(space[:-2] & single[1:-1] & mark[2:]) + 1
+    ends = np.flatnonzero(~mark | sign)
+    after = ends[np.searchsorted(ends, first + 1)]
+    apart = first[(sign & mark)[after] | (single[after] & mark[np.minimum(after + 1, len(mark) - 1)])]
+    among = np.flatnonzero((letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:]))
+    low = _LOWER[codes]
+    again = np.flatnonzero(letter[:-2] & (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:]))
+    of = lambda at: np.unique(np.searchsorted(starts, at, "right") - 1).tolist()
     return of(apart), of(among), of(again)
 
 
