@@ -7,7 +7,8 @@ toxic text has learned are mixed in, so that a lattice that can spell one is rea
 *Channel.*  A candidate is a run of single characters set apart, a word with look-alike digits or
 signs among its letters, or a word with a letter three times or more in a row.  It becomes a
 lattice: each character may stand for itself or a letter it looks like, marks between single
-characters vanish, and a run of a letter may shrink to two or one.  Viterbi decoding under the
+characters vanish, and a run of a letter may shrink to two or one; of a longer run than
+``STRETCH`` no more is read.  Candidates may have any length.  Viterbi decoding under the
 trigram model picks the cheapest reading, which replaces the candidate.
 
 *Score.*  Features are words and word beginnings.  Their document frequencies in toxic and other
@@ -22,6 +23,7 @@ Without toxic labelled rows nothing is learned and every score is the share of t
 from __future__ import annotations
 
 import math
+import os.path
 import re
 import zlib
 from collections import Counter
@@ -60,7 +62,9 @@ APART = re.compile(rf"(?<![^\s])(?:{LETTER}|{_SIGN})(?:[ ._\-*]+(?:{LETTER}|{_SI
 AMONG = re.compile(rf"{LETTER}+{_SIGN}+{LETTER}(?:{LETTER}|{_SIGN})*|(?<![^\W_]){_SIGN}+{LETTER}(?:{LETTER}|{_SIGN})*|{LETTER}+{_SIGN}{{1,2}}(?![^\s.,;:?!])")
 AGAIN = re.compile(rf"\w*?({LETTER})\1\1\w*", re.IGNORECASE)
 WORDS = re.compile(rf"{LETTER}+")
-LONGEST_CANDIDATE = 40
+#: Repeats of a character that the lattice keeps of a run; longer candidates' readings aren't cached; characters between commits.
+STRETCH, LONGEST_CACHED, COMMIT = 4, 64, 64
+RUN = re.compile(rf"(.)\1{{{STRETCH},}}", re.DOTALL)
 
 #: Lower-case letters below U+0180 have a number from 1; all else is the word's edge, 0.
 ALPHABET = [chr(c) for c in range(0x180) if chr(c).isalpha() and chr(c) == chr(c).lower()]
@@ -144,8 +148,14 @@ class Model:
         raw = candidate.lower()
         letters = re.sub(r"[ ._\-]+", "", raw) if APART.fullmatch(candidate) else raw
         states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (DROP * (len(raw) - len(letters)), "")}
+        letters = RUN.sub(lambda m: m.group(1) * STRETCH, letters)
         run = 0
+        done: list[str] = []
         for k, c in enumerate(letters):
+            if k % COMMIT == COMMIT - 1:  # what all paths share, so that their texts stay short; one letter stays for shrinking
+                agreed = os.path.commonprefix([out for _, out in states.values()])[:-1]
+                done.append(agreed)
+                states = {at: (cost, out[len(agreed) :]) for at, (cost, out) in states.items()}
             run = run + 1 if k and letters[k - 1] == c else 1
             own = _NUMBER.get(c, 0)
             ways = ([(c, own, 0.0 if c.isalpha() else KEEP)]) + [(x, _NUMBER[x], SWAP) for x in LOOKS_LIKE.get(c, "")]
@@ -159,12 +169,12 @@ class Model:
                     if new.get((b, n), (math.inf,))[0] > total:
                         new[b, n] = (total, out + x)
             states = new
-        return min((cost + float(self.cost[a, b, 0]), out) for (a, b), (cost, out) in states.items())[1]
+        return "".join(done) + min((cost + float(self.cost[a, b, 0]), out) for (a, b), (cost, out) in states.items())[1]
 
     def _read(self, match: re.Match[str]) -> str:
         found = match.group()
-        if len(found) > LONGEST_CANDIDATE and not APART.fullmatch(found):
-            return found
+        if len(found) > LONGEST_CACHED:
+            return self.decode(found)
         if found not in self.readings:
             if len(self.readings) > 100_000:
                 self.readings.clear()

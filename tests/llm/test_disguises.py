@@ -26,3 +26,17 @@ def test_prefilter_is_a_superset():
 def test_wide_separators(model, hidden):
     assert model.restore([f"of {hidden} the"]) == ["of idiot the"]
     assert model.restore([hidden]) == ["idiot"]
+
+
+@pytest.mark.parametrize("hidden", ["id" + "i" * 45 + "ot", "id" + "1" * 45 + "ot", "id" + "!" * 5000 + "ot", "I" * 60 + "D1" + "0" * 60 + "t", "i " * 50 + "d i o t"])
+def test_long_stretches(model, hidden):
+    assert model.restore([f"of {hidden} the"]) == ["of idiot the"]
+    assert model.evidence(model.restore([f"of {hidden} the"]))[0, 2] > 0
+
+
+def test_long_candidates(model):
+    """Committing what all paths share changes no reading, and the time follows the length."""
+    long = "1d10t" * 100
+    whole = model.decode(long)
+    assert whole == "idiot" * 100
+    assert model.decode("1d10t" * 10_000) == "idiot" * 10_000
