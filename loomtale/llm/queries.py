@@ -62,7 +62,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    cut = sentence_dedup.drop_repeated_sentences(docs)
+    cut = sentence_dedup.drop_repeated_sentences(docs, run_length=sentence_dedup.SHORT_RUN, long_words=sentence_dedup.LONG_WORDS)
     return cut.select("doc_id", "n_sentences", "n_removed", F.octet_length("kept").cast("long").alias("kept_bytes"), F.sha2("kept", 256).alias("kept_sha256"))
 
 

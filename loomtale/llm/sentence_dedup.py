@@ -1,13 +1,16 @@
 """Substring dedup on sliding runs of sentences.
 
 A text is cut into sentences after ., ! or ? before white space, and at line ends.  Every run of
-``RUN`` consecutive sentences is hashed (128 bits, white space around sentences aside).  A run that
-occurs before, in a document of a smaller doc_id or earlier in the same one, is a repeat, and the
-sentences it covers are removed.  Repeats inside a batch are settled before anything is sent, so
-that a hot run is one row for each batch; the rest is sorted by hash in one exchange.
-
-Null and empty texts have no sentences; texts of fewer than RUN sentences keep them all.  Rows equal
-in doc_id and text are one document, and each gets its result.
+``run_length`` consecutive sentences is hashed (128 bits, white space around sentences aside), and
+with ``long_words`` every shorter run of more words than that too: a long sentence alone, or a short
+document whole.  A run that occurs before, in a document of a smaller doc_id or earlier in the same
+one, is a repeat, and the sentences it covers are removed.  Repeats inside a batch are settled
+before anything is sent, so that a hot run is one row for each batch; the rest is sorted by hash in
+one exchange.
+
+Only whole sentences are seen: of a passage that begins or ends inside a sentence, the sentences
+it holds whole.  Null and empty texts have no sentences.  Rows equal in doc_id and text are one
+document, and each gets its result.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from . import common
 from .repeats import KEY, ROWS, keyed, ranked, rows, spans_of
 
 RUN = 3
+#: What op7 removes: runs of two sentences, and one of over 50 words.
+SHORT_RUN, LONG_WORDS = 2, 50
 #: A sentence with the white space after it.
 SENTENCE = re.compile(r"(?:[^.!?\n]|[.!?](?!\s|$))+[.!?]*\s*|[.!?\n]+\s*")
 
@@ -34,9 +39,20 @@ def sentences(text: str) -> list[str]:
     return SENTENCE.findall(text)
 
 
-def _runs(docs: DataFrame, text: str, run_length: int) -> DataFrame:
+def _runs(docs: DataFrame, text: str, run_length: int, long_words: int | None) -> DataFrame:
+    """ROWS whose pos is run_length * sentence + length of the run - 1, so that runs of each length follow each other by run_length."""
     step = np.uint64(0x9E3779B97F4A7C15)
 
+    def lengths(parts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+        """Each length of a run, with the sentences where one starts."""
+        yield run_length, np.arange(max(0, len(parts) - run_length + 1))
+        if long_words is not None and run_length > 1:
+            # a run of more than long_words words has as many characters and blanks between
+            words = np.array([len(p.split()) for p in parts] if sum(map(len, parts)) > 2 * long_words else [0] * len(parts), np.int64)
+            total = np.concatenate(([0], np.cumsum(words)))
+            for n in range(1, run_length):
+                yield n, np.flatnonzero(total[n:] - total[:-n] > long_words)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
@@ -48,16 +64,18 @@ def _runs(docs: DataFrame, text: str, run_length: int) -> DataFrame:
             ids, ks = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in KEY)
             for d, t in enumerate(batch.column(text).to_pylist()):
                 parts = sentences(t or "")
-                count = len(parts) - run_length + 1
-                if count <= 0:
+                found = [(n, at) for n, at in lengths(parts) if len(at)]
+                if not found:
                     continue
                 digests = b"".join(xxhash.xxh3_128_digest(p.strip()) for p in parts)
                 h = np.frombuffer(digests, np.uint64).reshape(-1, 2)
-                mixed = np.zeros((count, 2), np.uint64)
-                for k in range(run_length):
-                    mixed = (mixed ^ (mixed >> np.uint64(29))) * step + h[k : k + count]
-                held.append((mixed[:, 0], mixed[:, 1], np.full(count, ids[d]), np.full(count, ks[d]), np.arange(count), np.ones(count, np.int64)))
-                size += count
+                for n, at in found:
+                    count = len(at)
+                    mixed = np.full((count, 2), run_length - n, np.uint64)  # runs of each length have hashes of their own
+                    for k in range(n):
+                        mixed = (mixed ^ (mixed >> np.uint64(29))) * step + h[at + k]
+                    held.append((mixed[:, 0], mixed[:, 1], np.full(count, ids[d]), np.full(count, ks[d]), at * run_length + n - 1, np.full(count, run_length)))
+                    size += count
             if size >= 1 << 18:
                 yield sent()
                 held, size = [], 0
@@ -67,11 +85,12 @@ def _runs(docs: DataFrame, text: str, run_length: int) -> DataFrame:
     return docs.select(*KEY, text).mapInArrow(run, ROWS)
 
 
-def drop_repeated_sentences(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", run_length: int = RUN) -> DataFrame:
+def drop_repeated_sentences(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", run_length: int = RUN, long_words: int | None = None) -> DataFrame:
     """``docs`` with n_sentences, n_removed and ``kept``, the text without repeated sentences."""
     docs = keyed(docs.drop("n_sentences", "n_removed", "kept"), doc_id, text)
-    repeats = ranked(_runs(docs, text, run_length)).where("later")
-    spans = spans_of(repeats, F.col("pos"), F.col("pos") + F.col("n") + (run_length - 1))
+    repeats = ranked(_runs(docs, text, run_length, long_words)).where("later")
+    start = F.floor(F.col("pos") / run_length).cast("int")
+    spans = spans_of(repeats, start, start + (F.col("n") / run_length).cast("int") + F.col("pos") % run_length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, text):
