@@ -11,7 +11,8 @@ Every text is scored whole, in blocks of ``BLOCK`` bytes.  Without rows of both
 is the share of good rows among the labelled (0.5 without any).
 
 Null text is empty; an empty text has sizes of zero and gets what the curve says of it.  Repeated
-label rows of a document count once, the least label; rows with a null label don't count.
+label rows of a document count once, the least label; rows with a null label don't count.  Of
+several documents of one doc_id the sample takes the one of the least text hash; all are scored.
 """
 
 from __future__ import annotations
@@ -44,6 +45,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     chosen = [known.where(F.col("__label") == k).orderBy(order, "doc_id").limit(per_class) for k in (0, 1)]
     # 2 * per_class ids at most, so they can be broadcast
     texts = docs.select("doc_id", "text").where(F.octet_length("text") <= longest).join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
+    texts = texts.groupBy("doc_id", "__label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))  # a row for each id
     rows = sorted((r["doc_id"], r["text"], r["__label"]) for r in texts.collect())
     total = sum(counts.values())
     return [(t, y) for _, t, y in rows], counts.get(1, 0) / total if total else 0.5
