@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Text bytes handled at a time inside a Python task, so that memory doesn't follow the batch size.
 SLICE_BYTES = 4_000_000
@@ -22,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset and Spark is local."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = spark.conf.get("loomtale.stage.dir", None)
     if not own:
         own = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
@@ -52,28 +56,20 @@ def workspace() -> Iterator[Callable[[Staged], Staged]]:
             t.drop()
 
 
-@contextlib.contextmanager
-def noted(into: list[Staged]) -> Iterator[None]:
-    """Adds the tables that are staged inside, and still there at the end, to a list."""
-    earlier = list(_live)
-    yield
-    into.extend(t for t in _live if t not in earlier)
-
-
 class Staged:
     """A table written to the shared folder: a cut in the lineage that outlives executors.
 
-    A lasting one is left alone by ``workspace`` and ``noted``.
+    It is deleted by ``drop``, at the end of a ``workspace``, or when the driver ends; what a driver
+    that dies leaves is found in the shared folder under ``loomtale-``.
     """
 
-    def __init__(self, df: DataFrame, label: str, lasting: bool = False):
+    def __init__(self, df: DataFrame, label: str):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/loomtale-{label}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
         atexit.register(self.drop)
-        if not lasting:
-            _live.append(self)
+        _live.append(self)
 
     def drop(self) -> None:
         """Deletes the table; call it once nothing lazy reads it."""
@@ -109,23 +105,35 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
 
 
 def with_columns(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBatch:
-    """``batch`` and the new columns; a new column takes the place of one of the same name."""
-    kept = {n: batch.column(i) for i, n in enumerate(batch.schema.names) if n not in new}
-    return pa.RecordBatch.from_pydict(kept | new)
-
-
-def schema_with(df: DataFrame, new: str, drop: tuple[str, ...] = ()) -> str:
-    """DDL of ``df`` and the new columns, as ``with_columns`` orders them."""
-    names = {part.split()[0].lower().strip("`") for part in _parts(new)} | {d.lower() for d in drop}
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name.lower() not in names]
-    return ", ".join([*kept, new])
-
-
-def _parts(ddl: str) -> list[str]:
-    parts, depth, at = [], 0, 0
-    for i, c in enumerate(ddl):
-        depth += (c in "<(") - (c in ">)")
-        if c == "," and not depth:
-            parts.append(ddl[at:i].strip())
-            at = i + 1
-    return [*parts, ddl[at:].strip()]
+    """``batch`` and the new columns; one of the same name gives way."""
+    return pa.RecordBatch.from_pydict({n: batch.column(i) for i, n in enumerate(batch.schema.names) if n not in new} | new)
+
+
+def schema_with(df: DataFrame, new: str) -> StructType:
+    """The schema of ``df`` and the new columns, as ``with_columns`` orders them."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(new).fields])
+
+
+class Inner:
+    """A table's columns under names of the operator's own, so that no name of the user's can clash with them.
+
+    ``roles`` maps the operator's names to the user's (in any case); all other columns are carried as
+    c0, c1, ...  ``new`` are the names of the results: columns of the same name, in any case, give way.
+    Names may hold any character.
+    """
+
+    def __init__(self, docs: DataFrame, new: Iterable[str], **roles: str):
+        low = [c.lower() for c in docs.columns]
+        at = {}
+        for role, name in roles.items():
+            if name.lower() not in low:
+                raise ValueError(f"there is no column {name} among {docs.columns}")
+            at[low.index(name.lower())] = role
+        gone = {n.lower() for n in new}
+        names = [at.get(i, f"c{i}") for i in range(len(low))]
+        self.kept = [(n, c) for i, (n, c) in enumerate(zip(names, docs.columns, strict=True)) if i in at or low[i] not in gone]
+        self.df = docs.toDF(*names).select(*[n for n, _ in self.kept])
+
+    def outer(self, df: DataFrame, *new: Column | str) -> DataFrame:
+        """``df`` with the user's names and order of columns, and the results."""
+        return df.select(*[F.col(n).alias(c) for n, c in self.kept], *new)

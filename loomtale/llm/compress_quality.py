@@ -130,14 +130,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, modulus: int = 3, remainder: int
 
 def score_quality(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     """``docs`` with ``score``, the probability of label 1."""
+    inner = common.Inner(docs, ("score",), text=text)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of at most DICTIONARY bytes
     ready: list[list[zstandard.ZstdCompressor]] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not ready:
             ready.append(shared.value.compressors() if shared.value.beta is not None else [])
-        for batch in common.slices(batches, text):
-            texts = [t or "" for t in batch.column(text).to_pylist()]
+        for batch in common.slices(batches, "text"):
+            texts = [t or "" for t in batch.column("text").to_pylist()]
             yield common.with_columns(batch, {"score": pa.array(shared.value.score(texts, ready[0]), pa.float64())})
 
-    return docs.mapInArrow(run, common.schema_with(docs, "score double"))
+    return inner.outer(inner.df.mapInArrow(run, common.schema_with(inner.df, "score double")), "score")

@@ -6,20 +6,22 @@ Tasks hash the windows of their documents with numpy, look them up in the broadc
 compare the words of each match, so that a hit is exact.  Hit words are reported as spans and
 can be cut out, or the documents dropped.
 
-The set is broadcast only up to ``MAX_WINDOWS`` windows; a larger benchmark is dealt into blocks
-of about that many, and the documents are scanned once for each block.
+The distinct windows of all items are made on Spark.  Up to ``MAX_WINDOWS`` of them, with their
+items, are broadcast as one set of numpy arrays (some 100 bytes each), which a worker holds once for all its
+tasks; more are dealt into blocks by a hash of the window, and the documents are scanned once for each
+block.  So neither a long item nor repeated items make a block larger.
 
 Null or empty texts have no words and no hits, null or empty items no windows.  Repeated items
-count once by their item_id.  Rows of documents are independent of each other.
+count once by their item_id; a null item_id is the empty string.  Rows of documents are independent of each other.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,27 +73,27 @@ def _rolled(h: np.ndarray, width: int) -> np.ndarray:
 
 
 class Windows:
-    """The windows of some items, by width and hash."""
-
-    def __init__(self, items: list[tuple[str, str]]):
-        self.items: dict[bytes, set[str]] = {}
-        pattern = re.compile(WORD)
-        for item, text in items:
-            words = pattern.findall(text.encode().translate(_LOWERED).decode())
-            width = min(WINDOW, len(words))
-            for i in range(len(words) - width + 1 if width else 0):
-                self.items.setdefault(" ".join(words[i : i + width]).encode(), set()).add(item)
-        hashes: dict[int, list[int]] = {}
-        for w in self.items:
-            width = w.count(b" ") + 1
-            hashes.setdefault(width, []).append(int(_rolled(_words(w)[2], width)[0]))
+    """Windows of words joined by spaces, with their items: all in numpy arrays, by width and hash."""
+
+    def __init__(self, rows: pa.Table):
+        """rows: window and item, distinct, in any order."""
+        windows = rows.column("window").combine_chunks()
+        data = b"\n".join(w.encode() for w in windows.to_pylist())
+        starts, _, h = _words(data)
+        sizes = np.array(pc.binary_length(windows), np.int64) + 1
+        first = np.searchsorted(starts, np.cumsum(sizes) - sizes)
+        widths = np.diff(np.append(first, len(starts)))
+        self.items = rows.column("item").combine_chunks()
         self.sets = {}
-        for width, found in hashes.items():
-            known = np.unique(np.array(found, np.uint64))
+        for width in np.unique(widths).tolist():
+            at = np.flatnonzero(widths == width)
+            hashes = _rolled(h, width)[first[at]]
+            order = np.argsort(hashes, kind="stable")
+            known, at = hashes[order], at[order]
             bits = max(12, min(26, int(len(known)).bit_length() + 6))
             table = np.zeros(1 << bits, bool)
             table[known & np.uint64((1 << bits) - 1)] = True
-            self.sets[width] = (known, table, np.uint64((1 << bits) - 1))
+            self.sets[width] = (known, table, np.uint64((1 << bits) - 1), windows.cast(pa.binary()).take(pa.array(at)), at)
 
     def scan(self, texts: list[bytes]) -> list[tuple[int, list[tuple[int, int]], set[str], np.ndarray, np.ndarray]]:
         """For each text: its words, the runs of words hit, the items, and the words' byte starts and ends."""
@@ -103,21 +105,32 @@ class Windows:
         doc = np.repeat(np.arange(len(texts)), np.diff(np.append(first, len(starts))))
         items: list[set[str]] = [set() for _ in texts]
         runs: list[list[tuple[int, int]]] = [[] for _ in texts]
-        for width, (known, table, mask) in self.sets.items():
+        for width, (known, table, mask, windows, rows) in self.sets.items():
             w = _rolled(h, width)
             at = np.flatnonzero(table[w & mask])
             at = at[doc[at] == doc[at + width - 1]]
-            i = np.minimum(np.searchsorted(known, w[at]), len(known) - 1)
-            for k in at[known[i] == w[at]].tolist():
+            low, high = np.searchsorted(known, w[at]), np.searchsorted(known, w[at], "right")
+            for k, a, b in zip(at.tolist(), low.tolist(), high.tolist(), strict=True):
+                if a == b:
+                    continue
                 words = b" ".join(data[s:e] for s, e in zip(starts[k : k + width].tolist(), ends[k : k + width].tolist(), strict=True)).translate(_LOWERED)
-                if found := self.items.get(words):
+                if found := [self.items[int(rows[i])].as_py() for i in range(a, b) if windows[i].as_py() == words]:
                     d = int(doc[k])
-                    items[d] |= found
+                    items[d].update(found)
                     runs[d].append((k - int(first[d]), k - int(first[d]) + width))
         stops = np.append(first[1:], len(starts))
         return [(int(b - a), r, x, starts[a:b] - at, ends[a:b] - at) for a, b, r, x, at in zip(first.tolist(), stops.tolist(), runs, items, bounds.tolist(), strict=True)]
 
 
+def windows_of(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """The distinct (window, item) of all items."""
+    inner = common.Inner(benchmark, (), item=item_id, text=text).df
+    items = inner.select(F.coalesce(F.col("item").cast("string"), F.lit("")).alias("item"), F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(WORD), F.lit(0)).alias("w"))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (WINDOW - 1)))
+    windows = items.where(F.size("w") > 0).select("item", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, WINDOW), " "))).alias("window"))
+    return windows.select("window", "item").distinct()
+
+
 def _union(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs of what ``runs`` cover."""
     out: list[list[int]] = []
@@ -137,22 +150,19 @@ def _cut(text: bytes, spans: list[tuple[int, int]]) -> str:
     return b"".join([*kept, text[at:]]).decode()
 
 
+RESULTS = ("n_words", "n_hit", "hit_items", "hit_words", "hit_bytes")
 _STATE = "n_words bigint, n_hit bigint, hit_items array<string>, hit_words array<int>, hit_bytes array<int>"
 
 
-def _scan(docs: DataFrame, items: list[tuple[str, str]], text: str, cleaned: str | None) -> DataFrame:
-    """One pass with one broadcast block; adds to what earlier blocks have found."""
-    again = "hit_words" in docs.columns
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-    ready: list[Windows] = []
+def _scan(docs: DataFrame, windows: pa.Table, first: bool, last: bool) -> DataFrame:
+    """One pass with one broadcast block; adds to what earlier blocks have found, and the last one cuts."""
+    shared = docs.sparkSession.sparkContext.broadcast(Windows(windows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not ready:
-            ready.append(Windows(shared.value))
-        for batch in common.slices(batches, text, 1_000_000):
-            texts = [(t or "").encode() for t in batch.column(text).to_pylist()]
-            rows = ready[0].scan(texts)
-            if again:
+        for batch in common.slices(batches, "text", 1_000_000):
+            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
+            rows = shared.value.scan(texts)
+            if not first:
                 before = zip(batch.column("hit_words").to_pylist(), batch.column("hit_items").to_pylist(), strict=True)
                 rows = [(n, r + list(zip(w[::2], w[1::2], strict=True)), x | set(i), s, e) for (n, r, x, s, e), (w, i) in zip(rows, before, strict=True)]
             runs = [_union(r) for _, r, _, _, _ in rows]
@@ -164,11 +174,12 @@ def _scan(docs: DataFrame, items: list[tuple[str, str]], text: str, cleaned: str
                 "hit_words": pa.array([[k for run in r for k in run] for r in runs], pa.list_(pa.int32())),
                 "hit_bytes": pa.array([[k for span in r for k in span] for r in spans], pa.list_(pa.int32())),
             }
-            if cleaned:
-                new[cleaned] = pa.array([_cut(t, s) if s else t.decode() for t, s in zip(texts, spans, strict=True)], pa.string())
+            if last:
+                new["cleaned"] = pa.array([_cut(t, s) if s else t.decode() for t, s in zip(texts, spans, strict=True)], pa.string())
             yield common.with_columns(batch, new)
 
-    return docs.mapInArrow(run, common.schema_with(docs, _STATE + (f", {cleaned} string" if cleaned else "")))
+    kept = docs if first else docs.drop(*RESULTS)
+    return docs.mapInArrow(run, common.schema_with(kept, _STATE + (", cleaned string" if last else "")))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", cleaned: str | None = None, max_windows: int = MAX_WINDOWS) -> DataFrame:
@@ -177,16 +188,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     The last two hold from, to of each maximal run of hit words, as word numbers and as UTF-8
     bytes of the text.  ``cleaned`` names a column for the text without the hit spans.
     """
-    docs = docs.drop("n_words", "n_hit", "hit_items", "hit_words", "hit_bytes")
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
-    size = F.regexp_count(F.translate("text", UPPER, LOWER), F.lit(WORD))
-    total = items.agg(F.coalesce(F.sum(F.greatest(size - WINDOW + 1, F.least(size, F.lit(1)))), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, -(-total // max_windows))
-    dealt = items.withColumn("__block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
-    for k in range(blocks):
-        some = dealt.where(F.col("__block") == k).select("item", "text")
-        block = [(r.item, r.text) for r in some.collect()]  # about max_windows windows
-        docs = _scan(docs, block, text, cleaned if k == blocks - 1 else None)
-        if k < blocks - 1:
-            docs = common.Staged(docs, "decontam").df
-    return docs
+    inner = common.Inner(docs, (*RESULTS, *([cleaned] if cleaned else [])), text=text)
+    out = inner.df
+    with common.workspace() as keep:
+        windows = common.Staged(windows_of(benchmark), "windows").df
+        blocks = max(1, -(-windows.count() // max_windows))
+        dealt = windows.withColumn("block", F.pmod(F.xxhash64("window", "item"), F.lit(blocks)))
+        before = None
+        for k in range(blocks):
+            block = dealt.where(F.col("block") == k).select("window", "item").toArrow()  # about max_windows rows
+            out = _scan(out, block, k == 0, bool(cleaned) and k == blocks - 1)
+            if blocks > 1:
+                staged = keep(common.Staged(out, "decontam"))
+                if before:
+                    before.drop()
+                before, out = staged, staged.df
+    return inner.outer(out, *RESULTS, *([F.col("cleaned").alias(cleaned)] if cleaned else []))

@@ -67,10 +67,13 @@ def _covered(windows: Column) -> Column:
     return _let(order, lambda o: _let(places(o), width))
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    words = words_of(F.col(text))
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def _measure(docs: DataFrame) -> DataFrame:
+    """``docs``, which has a column text, with MEASURES and base_failed."""
+    t = F.coalesce(F.col("text"), F.lit(""))
+    words = words_of(F.col("text"))
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
     def repeats(w: Column) -> Column:
@@ -91,20 +94,25 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         ),
     )
     # a generator keeps the optimizer from writing the expression out once for each field
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    out = docs.drop(*names, "base_failed").select("*", F.explode(F.array(counted)).alias("__c"))
-    out = out.select(*[c for c in out.columns if c != "__c"], *[F.col(f"__c.{n}").alias(n) for n in names])
+    out = docs.select("*", F.explode(F.array(counted)).alias("counted"))
+    out = out.select(*docs.columns, *[F.col(f"counted.{n}").alias(n) for n in MEASURES])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed)
 
 
+def measure(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
+    inner = common.Inner(docs, (*MEASURES, "base_failed"), text=text)
+    return inner.outer(_measure(inner.df), *MEASURES, "base_failed")
+
+
 def host_verdicts(measured: DataFrame, host: str = "source") -> DataFrame:
-    """A row for each host: __host, n_docs, n_failed, host_rate (shrunk), host_rejected.
+    """A row for each host: host, n_docs, n_failed, host_rate (shrunk), host_rejected.
 
     The prior's mean is the share of failures over all hosts, its weight comes from how far the
     hosts' rates differ beyond chance, each host weighing by its documents.
     """
-    hosts = measured.groupBy(F.col(host).alias("__host")).agg(F.count(F.lit(1)).alias("n_docs"), F.count_if("base_failed").alias("n_failed"))
+    hosts = measured.groupBy(F.col(f"`{host.replace('`', '``')}`").alias("host")).agg(F.count(F.lit(1)).alias("n_docs"), F.count_if("base_failed").alias("n_failed"))
     n, x = F.col("n_docs").cast("double"), F.col("n_failed").cast("double")
     prior = hosts.agg(F.sum(n).alias("n"), F.sum(x).alias("x"), F.sum(n * n).alias("nn"), F.sum(x * x / n).alias("xx"), F.count(F.lit(1)).alias("k"))
     mean = F.col("x") / F.col("n")
@@ -113,27 +121,30 @@ def host_verdicts(measured: DataFrame, host: str = "source") -> DataFrame:
     chance = mean * (1 - mean)
     rho = (between / F.nullif(chance, F.lit(0.0)) - (F.col("k") - 1) / F.col("n")) / F.nullif(1 - F.col("nn") / (F.col("n") * F.col("n")), F.lit(0.0))
     weight = F.coalesce(F.greatest(F.lit(PRIOR_LEAST), F.least(F.lit(PRIOR_MOST), 1 / F.nullif(F.greatest(rho, F.lit(1e-9)), F.lit(0.0)) - 1)), F.lit(PRIOR_LEAST))
-    prior = prior.select(mean.alias("__mean"), weight.alias("__weight"))
-    a = F.col("n_failed") + F.col("__mean") * F.col("__weight")
-    total = F.col("n_docs") + F.col("__weight")
+    prior = prior.select(mean.alias("mean"), weight.alias("weight"))
+    a = F.col("n_failed") + F.col("mean") * F.col("weight")
+    total = F.col("n_docs") + F.col("weight")
     rate = a / total
     low = rate - Z * F.sqrt(rate * (1 - rate) / (total + 1))
     # the prior is one row: an aggregate without keys, broadcast to the hosts
     joined = hosts.join(F.broadcast(prior), on=F.lit(True))
-    return joined.select("__host", "n_docs", "n_failed", rate.alias("host_rate"), F.coalesce(low > HOST_LIMIT, F.lit(False)).alias("host_rejected"))
+    return joined.select("host", "n_docs", "n_failed", rate.alias("host_rate"), F.coalesce(low > HOST_LIMIT, F.lit(False)).alias("host_rejected"))
 
 
 def judge(docs: DataFrame, *, text: str = "text", host: str = "source", keep_text: bool = True) -> DataFrame:
-    """``docs`` with the measures, host_rate and ``kept``.
+    """``docs`` with the measures, host_rate and ``kept``; without ``keep_text`` the text is null.
 
     The measures are written once, so that texts are read and matched once; hosts are aggregated
     from them with partial sums, so that a hot host costs no more than another.  Verdicts are
     broadcast while there are at most ``MOST_BROADCAST`` hosts; beyond, Spark shuffles both sides and
     splits a hot host.
     """
-    measured = measure(docs, text)
-    stage = common.Staged(measured if keep_text else measured.drop(text), "measures")
-    verdicts = common.Staged(host_verdicts(stage.df, host).select("__host", "host_rate", "host_rejected"), "hosts").df
+    inner = common.Inner(docs, (*MEASURES, "base_failed", "host_rate", "kept"), text=text, source=host)
+    measured = _measure(inner.df)
+    if not keep_text:
+        measured = measured.withColumn("text", F.lit(None).cast("string"))
+    stage = common.Staged(measured, "measures")
+    verdicts = common.Staged(host_verdicts(stage.df).select("host", "host_rate", "host_rejected"), "hosts").df
     few = verdicts.count() <= MOST_BROADCAST
-    out = stage.df.join(F.broadcast(verdicts) if few else verdicts, F.col(host).eqNullSafe(F.col("__host")), "left")
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("host_rejected", F.lit(False))).drop("__host", "host_rejected")
+    out = stage.df.join(F.broadcast(verdicts) if few else verdicts, F.col("source").eqNullSafe(F.col("host")), "left")
+    return inner.outer(out, *MEASURES, "base_failed", "host_rate", (~F.col("base_failed") & ~F.coalesce("host_rejected", F.lit(False))).alias("kept"))

@@ -9,29 +9,33 @@ one of ``REGISTERS`` registers, which keeps its earliest.  A process ends as soo
 arrival is later than all registers of its document.  The chance that two documents agree in a
 register is their similarity.  ``ROWS`` registers make a band.
 
-*Candidates.*  Documents of equal words are one node.  In a bucket (nodes that agree in a band) all
-nodes are paired with the least one.  If a bucket then still holds several classes, its nodes outside
-the first class become pivots and are paired with the nodes of other classes, ``PIVOTS`` of them a
-round, until every such node has been one.  So no pair of a bucket that could join two classes is left
-out, while no round makes more than PIVOTS pairs of a node and bucket.
-
-*Verification.*  A pair whose sketches agree in less than ``PLAUSIBLE`` of the registers is dropped (at
-similarity 0.8 that has a chance of about 1e-9).  The others are compared exactly, on all shingles of
-both texts.
+*Candidates.*  Documents of equal words are one node; nodes that agree in a band share a bucket.  All
+nodes of a bucket are compared with one of them, its pivot: the node that shares the most buckets
+with others, which in a group of near copies is what they were copied from.
+*The rest.*  Where a bucket then still holds several classes, every node outside the pivot's class is
+compared with all nodes of the bucket.  Nodes are dealt into blocks of about ``BLOCK`` bytes of
+shingles, and a task holds two blocks at a time, however large the bucket is.  So each pair that
+shares a bucket is compared unless a link through others has put it into one class, and no pair
+becomes a row: a task hands on a link only if it joins two classes for the first time in its blocks.
+
+*Verification.*  Comparisons are exact, on all shingles: common shingles are counted by matrix products,
+and pairs with a weight above one whose shared mass allows it are computed one by one.
 *Classes.*  Components by alternating large and small stars; edges are cut to a shared table.
 
-A text without words is a class of its own.  Rows of equal words, in one doc_id or several, are in
-one class.  The class is named by its least doc_id (null first).
+A pair of similarity 0.8 misses all bands with a chance of 2e-6.  A text without words is a class of
+its own.  Rows of equal words, in one doc_id or several, are in one class.  The class is named by its
+least doc_id (null first).  doc_id must be an integer.  Equal words are told by 128 bits and shingles
+by 64 of hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -39,7 +43,11 @@ from .decontam import _rolled, _words
 from .repeats import LEAST, keyed
 
 SHINGLE, SIMILARITY = 5, 0.8
-REGISTERS, ROWS, PIVOTS, PLAUSIBLE = 264, 6, 64, 0.65
+#: What a similarity may miss by rounding.
+NEAR = 1e-9
+REGISTERS, ROWS = 264, 6
+#: Bytes of shingles of a block, and bytes that a node counts for at least.
+BLOCK, LEAST_BYTES = 1_000_000, 1_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -108,22 +116,36 @@ def bands(winners: np.ndarray) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame, text: str) -> DataFrame:
-    """__id, __k, w1, w2 (hashes of the words; w1 null without any), the bands and 16 bits of each register."""
+def signatures(docs: DataFrame) -> DataFrame:
+    """id, k, w1, w2 (hashes of the words; w1 null without any) and the bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, text, 1_000_000):
-            texts = [(t or "").encode() for t in batch.column(text).to_pylist()]
+        for batch in common.slices(batches, "text", 1_000_000):
+            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
             doc, h, weight, whole = shingles(texts)
-            winners = sketch(doc, h, weight, len(texts))
-            found = bands(winners)
+            found = bands(sketch(doc, h, weight, len(texts)))
             second = np.zeros(len(texts), np.uint64)
             np.add.at(second, doc, _mix(h + weight.astype(np.uint64)))
-            listed = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
+            offsets = pa.array(np.arange(0, found.size + 1, found.shape[1], dtype=np.int32))
             w1 = pa.array(whole.view(np.int64), mask=whole == 0)
-            yield pa.RecordBatch.from_pydict({"__id": batch.column("__id"), "__k": batch.column("__k"), "w1": w1, "w2": pa.array(second.view(np.int64)), "bands": listed(found.view(np.int64)), "sketch": listed(_mix(winners).astype(np.uint16).view(np.int16))})
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "k": batch.column("k"), "w1": w1, "w2": pa.array(second.view(np.int64)), "bands": pa.ListArray.from_arrays(offsets, pa.array(found.view(np.int64).ravel()))})
 
-    return docs.select("__id", "__k", text).mapInArrow(run, "__id bigint, __k bigint, w1 bigint, w2 bigint, bands array<bigint>, sketch array<smallint>")
+    return docs.select("id", "k", "text").mapInArrow(run, "id bigint, k bigint, w1 bigint, w2 bigint, bands array<bigint>")
+
+
+def shingle_table(texts: DataFrame) -> DataFrame:
+    """node, bytes, h (sorted hashes of the shingles) and w (their weights; null: all one) of (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, "text", 1_000_000):
+            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
+            doc, h, weight, _ = shingles(texts)
+            at = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
+            hs = [h[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]
+            ws = [weight[a:b].astype(np.int32).tobytes() if weight[a:b].max(initial=1) > 1 else None for a, b in zip(at, at[1:], strict=False)]
+            yield pa.RecordBatch.from_pydict({"node": batch.column("node"), "bytes": pa.array([max(LEAST_BYTES, len(x)) for x in hs], pa.int64()), "h": pa.array(hs, pa.binary()), "w": pa.array(ws, pa.binary())})
+
+    return texts.select("node", "text").mapInArrow(run, "node struct<id:bigint,k:bigint>, bytes bigint, h binary, w binary")
 
 
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -144,31 +166,155 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float((wa[both] / (above[at] + ratio[both] * below[at])).sum())
 
 
-@lru_cache(maxsize=32)
-def _weighted(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles of a text; pairs of one pivot come together."""
-    _, h, weight, _ = shingles([text.encode()])
-    return h, weight.astype(float)
+class _Side:
+    """Some nodes of a block: their classes, and all their shingles with text number, hash and weight."""
+
+    def __init__(self, rows: list[tuple], classes: dict[tuple, int]):
+        self.classes = np.array([classes.setdefault(c, len(classes)) for c, _, _ in rows])
+        self.sets = [(np.frombuffer(h, np.uint64), np.ones(len(h) // 8) if w is None else np.frombuffer(w, np.int32).astype(float)) for _, h, w in rows]
+        self.heavy = np.array([w is not None for _, _, w in rows])
+        self.sizes = np.array([len(h) for h, _ in self.sets])
+        self.total = np.array([w.sum() for _, w in self.sets])
+        self.row = np.repeat(np.arange(len(rows)), self.sizes)
+        self.h = np.concatenate([h for h, _ in self.sets])
+        self.mass = np.concatenate([w for _, w in self.sets]) / np.repeat(self.total, self.sizes)
+
+
+def _shared(left: _Side, right: _Side) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function of a value for each shingle of either side: the sums of products over common shingles, for all pairs."""
+    known, at = np.unique(left.h, return_inverse=True)
+    to = np.minimum(np.searchsorted(known, right.h), len(known) - 1)
+    both = known[to] == right.h
+    n_left, n_right = np.bincount(at, minlength=len(known)), np.bincount(to[both], minlength=len(known))
+    n, m = len(left.sizes), len(right.sizes)
+    common_to_many = 64 * n_left * n_right >= n * m
+    number = np.cumsum(common_to_many) - 1
+    # entries of shingles that few pairs share, by shingle
+    few = np.flatnonzero(~common_to_many[at] & (n_right[at] > 0))
+    few = few[np.argsort(at[few], kind="stable")]
+    few_right = np.flatnonzero(both & ~common_to_many[to])
+    first = np.searchsorted(at[few], to[few_right])
+    count = n_left[to[few_right]]
+    dense_left, dense_right = np.flatnonzero(common_to_many[at]), np.flatnonzero(both & common_to_many[to])
+
+    def sums(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.zeros(n * m)
+        for some in np.split(np.arange(len(few_right)), np.flatnonzero(np.diff(np.cumsum(count) // 1_000_000)) + 1):
+            pair = np.repeat(some, count[some])
+            a = few[np.arange(len(pair)) - np.repeat(np.cumsum(count[some]) - count[some], count[some]) + first[pair]]
+            b = few_right[pair]
+            out += np.bincount(left.row[a] * m + right.row[b], x[a] * y[b], n * m)
+        out = out.reshape(n, m)
+        for start in range(0, int(number[-1]) + 1, 2048):
+            sides = []
+            for side, entries, column, value in ((left, dense_left, at, x), (right, dense_right, to, y)):
+                e = entries[(number[column[entries]] >= start) & (number[column[entries]] < start + 2048)]
+                table = np.zeros((len(side.sizes), 2048), np.float32)
+                table[side.row[e], number[column[e]] - start] = value[e]
+                sides.append(table)
+            out += sides[0] @ sides[1].T
+        return out
+
+    return sums
+
+
+def _joined(rows: list[tuple]) -> list[tuple[tuple, tuple]]:
+    """Links between classes that similar nodes of a block's two sides make, none twice.  A row: left, class, h, w."""
+    classes: dict[tuple, int] = {}
+    sides = [[(c, h, w) for left, c, h, w in rows if left == x and h] for x in (True, False)]
+    if not all(sides):
+        return []
+    left, right = (_Side(x, classes) for x in sides)
+    sums = _shared(left, right)
+    shared = np.rint(sums(np.ones(len(left.h)), np.ones(len(right.h))))
+    other = left.classes[:, None] != right.classes[None, :]
+    alike = other & (shared >= (SIMILARITY - NEAR) * (left.sizes[:, None] + right.sizes[None, :] - shared))
+    heavy = left.heavy[:, None] | right.heavy[None, :]
+    up = list(range(len(classes)))
+    names = list(classes)
+    out = []
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    def link(i: int, j: int) -> None:
+        if (a := top(i)) != (b := top(j)):
+            up[a] = b
+            out.append((names[i], names[j]))
+
+    i, j = np.nonzero(alike & ~heavy)
+    for code in np.unique(left.classes[i] * len(up) + right.classes[j]).tolist():
+        link(*divmod(code, len(up)))
+    if heavy.any():
+        # probability Jaccard is never above the mass that either side has on common shingles
+        mass = np.minimum(sums(left.mass, np.ones(len(right.h))), sums(np.ones(len(left.h)), right.mass))
+        for i, j in np.argwhere(other & heavy & (mass >= SIMILARITY - 1e-4)).tolist():
+            a, b = int(left.classes[i]), int(right.classes[j])
+            if top(a) != top(b) and probability_jaccard(left.sets[i], right.sets[j]) >= SIMILARITY - NEAR:
+                link(a, b)
+    return out
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts are similar."""
-    sides = [texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab"]
-    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a.*", F.col("b.id").alias("b_id"), F.col("b.k").alias("b_k"), "text_a", "text_b")
+def _compared(rows: DataFrame, shingled: DataFrame) -> DataFrame:
+    """Links (a, b) of classes in the blocks of ``rows``: block, left, node, class."""
+    dealt = rows.join(shingled.select("node", "h", "w"), "node").select("block", "left", F.col("class.id").alias("id"), F.col("class.k").alias("k"), "h", "w")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "text_a", 1_000_000):
-            alike = [probability_jaccard(_weighted(x), _weighted(y)) >= SIMILARITY for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)]
-            yield batch.select(["id", "k", "b_id", "b_k"]).filter(pa.array(alike, pa.bool_()))
-
-    found = both.mapInArrow(run, "id bigint, k bigint, b_id bigint, b_k bigint")
-    return found.select(F.struct("id", "k").alias("a"), F.struct(F.col("b_id").alias("id"), F.col("b_k").alias("k")).alias("b"))
+        def every() -> Iterator[tuple]:
+            for batch in batches:
+                yield from zip(*(batch.column(c).to_pylist() for c in ("block", "left", "id", "k", "h", "w")), strict=True)
+
+        def sent(found: list[tuple[tuple, tuple]]) -> pa.RecordBatch:
+            flat = [(*a, *b) for a, b in found]
+            return pa.RecordBatch.from_pydict({n: pa.array([x[i] for x in flat], pa.int64()) for i, n in enumerate(("id", "k", "b_id", "b_k"))})
+
+        found: list[tuple[tuple, tuple]] = []
+        for _, block in groupby(every(), lambda r: r[0]):
+            found += _joined([(left, (i, k), h, w) for _, left, i, k, h, w in block])
+            if len(found) > 10_000:
+                yield sent(found)
+                found = []
+        yield sent(found)
+
+    # a block's rows are bounded by BLOCK for each side; blocks of one hash are compared together, which is harmless
+    links = dealt.repartition("block").sortWithinPartitions("block").mapInArrow(run, "id bigint, k bigint, b_id bigint, b_k bigint")
+    return links.select(F.struct("id", "k").alias("a"), F.struct(F.col("b_id").alias("id"), F.col("b_k").alias("k")).alias("b")).distinct()
+
+
+def _parts(n_bytes: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(n_bytes / BLOCK)).cast("long")
+
+
+def _star_blocks(stars: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Blocks of pivots with their nodes; stars: pivot, node."""
+    members = stars.join(sizes, "node")
+    parts = members.groupBy("pivot").agg(_parts(F.sum("bytes")).alias("parts"))
+    right = members.join(parts, "pivot").select(F.xxhash64("pivot", F.pmod(F.xxhash64("node"), "parts")).alias("block"), F.lit(False).alias("left"), "node", F.col("node").alias("class"))
+    left = parts.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    return right.unionByName(left.select(F.xxhash64("pivot", "part").alias("block"), F.lit(True).alias("left"), F.col("pivot").alias("node"), F.col("pivot").alias("class")))
+
+
+def _rest_blocks(starred: DataFrame, classes: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Blocks of the nodes outside their pivot's class with all nodes of the bucket."""
+    known = starred.where("n > 2").join(sizes, "node").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    whole = known.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max(F.when(F.col("node") == F.col("pivot"), F.col("class"))).alias("home"), _parts(F.sum("bytes")).alias("all"))
+    mixed = known.join(whole.where("low != high").select("bucket", "home", "all"), "bucket").withColumn("outside", F.col("class") != F.col("home"))
+    mixed = common.Staged(mixed.select("bucket", "node", "class", "bytes", "outside", "all"), "mixed").df
+    some = mixed.where("outside").groupBy("bucket").agg(_parts(F.sum("bytes")).alias("some"))
+    mixed = mixed.join(some, "bucket")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = mixed.where("outside").withColumn("g", F.pmod(F.xxhash64("node"), "some")).withColumn("h", every("all"))
+    right = mixed.withColumn("h", F.pmod(F.xxhash64("node"), "all")).withColumn("g", every("some"))
+    blocks = [x.select(F.xxhash64("bucket", "g", "h").alias("block"), F.lit(is_left).alias("left"), "node", "class") for x, is_left in ((left, True), (right, False))]
+    return blocks[0].unionByName(blocks[1])
 
 
 def _components(edges: DataFrame) -> DataFrame:
     """(node, class): the least node of each node's component, for nodes with an edge."""
     stage = common.Staged(edges.select("a", "b"), "edges")
-    before = None
+    before = -1
     while True:
         edges = stage.df
         ways = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -178,75 +324,40 @@ def _components(edges: DataFrame) -> DataFrame:
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = small.unionByName(least.select("a", F.col("m").alias("b"))).where("a != b").distinct()
-        new = common.Staged(after, "edges")
-        stage.drop()
-        stage = new
-        now = stage.df.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
-        if now == before:
+        last, stage = edges, common.Staged(after, "edges")
+        n = stage.df.count()
+        if n == before and stage.df.join(last, ["a", "b"], "left_anti").isEmpty():
             return stage.df.select(F.col("a").alias("node"), F.col("b").alias("class"))
-        before = now
-
-
-def _plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs whose sketches agree often enough."""
-    sides = [sketches.select(F.col("node").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab"]
-    same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
-    return pairs.join(sides[0], "a").join(sides[1], "b").where(same >= PLAUSIBLE * REGISTERS).select("a", "b")
-
-
-def _mixed(buckets: DataFrame, classes: DataFrame) -> DataFrame:
-    """bucket, node, class of buckets with several classes; rank numbers the nodes outside the first one."""
-    known = buckets.join(classes, "node", "left").select("bucket", "node", F.coalesce("class", "node").alias("class"))
-    first = known.groupBy("bucket").agg(F.min("class").alias("first"), F.max("class").alias("last")).where("first != last").select("bucket", "first")
-    out = known.join(first, "bucket").withColumn("outside", F.col("class") != F.col("first"))
-    order = Window.partitionBy("bucket", "outside").orderBy("node")
-    return out.select("bucket", "node", "class", F.when(F.col("outside"), F.row_number().over(order)).alias("rank"))
-
-
-def _cross(mixed: DataFrame, round_no: int) -> DataFrame:
-    """Pairs of this round's pivots with the nodes of other classes in their buckets."""
-    chosen = (F.col("rank") > round_no * PIVOTS) & (F.col("rank") <= (round_no + 1) * PIVOTS)
-    pivots = mixed.where(chosen).select("bucket", F.col("node").alias("pivot"), F.col("class").alias("pivot_class"))
-    pairs = mixed.join(pivots, "bucket").where("class != pivot_class")
-    return pairs.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
-
-
-def _classes(docs: DataFrame, text: str) -> DataFrame:
-    """(__id, __k, __class, class_size) of the keyed documents; __class is a node."""
-    signed = common.Staged(signatures(docs, text), "signatures").df
-    key = F.struct(F.col("__id").alias("id"), F.col("__k").alias("k"))
-    worded = signed.where(F.col("w1").isNotNull())
-    nodes = worded.groupBy("w1", "w2").agg(F.min(key).alias("node"))
-    member = signed.select("__id", "__k", "w1", "w2").join(nodes, ["w1", "w2"], "left").select("__id", "__k", F.coalesce("node", key).alias("node")).distinct()
-    own = worded.select(key.alias("node"), "bands", "sketch").join(nodes.select("node"), "node").dropDuplicates(["node"])
-    placed = own.select("node", F.explode("bands").alias("bucket"))
-    crowd = placed.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "pivot")
-    buckets = common.Staged(placed.join(crowd, "bucket").select("bucket", "node", "pivot"), "buckets").df
-    wanted = buckets.select("node").distinct()
-    sketches = common.Staged(own.select("node", "sketch").join(wanted, "node"), "sketches").df
-    stars = buckets.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    pairs = common.Staged(_plausible(stars, sketches), "pairs").df
+        before = n
+def _classes(docs: DataFrame) -> DataFrame:
+    """(id, k, class, class_size) of the keyed documents; class is a node, the least (id, k) of its words."""
+    signed = common.Staged(signatures(docs), "signatures").df
+    key = F.struct("id", "k")
+    member = signed.select("id", "k", "w1", "w2").distinct()
+    least = signed.where("w1 is not null").groupBy("w1", "w2").agg(F.min(F.struct("id", "k", "bands")).alias("x"))
+    nodes = common.Staged(least.select("w1", "w2", F.struct("x.id", "x.k").alias("node"), "x.bands"), "nodes").df
+    placed = nodes.select("node", F.explode("bands").alias("bucket"))
+    crowd = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    buckets = common.Staged(placed.join(crowd, "bucket").select("bucket", "node", "n"), "buckets").df
+    seen = buckets.groupBy("node").agg(F.sum("n").alias("met"))
+    pivots = buckets.join(seen, "node").groupBy("bucket").agg(F.max(F.struct("met", "node")).alias("most"))
+    starred = common.Staged(buckets.join(pivots, "bucket").select("bucket", "node", "n", F.col("most.node").alias("pivot")), "starred").df
     # the texts of nodes in buckets are moved once
-    texts = docs.select(key.alias("node"), F.col(text).alias("text")).join(wanted, "node").dropDuplicates(["node"])
-    texts = common.Staged(texts, "texts").df
-    edges = common.Staged(_verified(pairs, texts), "links").df
-    classes, tested = _components(edges), pairs
-    while True:
-        mixed = common.Staged(_mixed(buckets.select("bucket", "node"), classes), "mixed").df
-        top = mixed.agg(F.max("rank").alias("r")).first()["r"] or 0
-        before = edges
-        for k in range(-(-top // PIVOTS)):
-            more = _plausible(_cross(mixed, k), sketches).join(tested, ["a", "b"], "left_anti")
-            more = common.Staged(more, "pairs").df
-            if not more.isEmpty():
-                tested = tested.unionByName(more)
-                edges = edges.unionByName(common.Staged(_verified(more, texts), "links").df)
-        if edges is before or edges.exceptAll(before).isEmpty():
-            break
-        classes = _components(edges)
-    named = member.join(classes, "node", "left").select("__id", "__k", F.coalesce("class", "node").alias("__class"))
-    sizes = named.groupBy("__class").agg(F.count(F.lit(1)).alias("class_size"))
-    return named.join(sizes, "__class").select("__id", "__k", "__class", "class_size")
+    texts = docs.select(key.alias("node"), "text").join(starred.select("node").distinct(), "node").dropDuplicates(["node"])
+    shingled = common.Staged(shingle_table(texts), "shingles").df
+    sizes = shingled.select("node", "bytes")
+    stars = starred.where("node != pivot").select("pivot", "node").distinct()
+    classes = _components(_compared(_star_blocks(stars, sizes), shingled))
+    wider = _components(_compared(_rest_blocks(starred, classes, sizes), shingled))
+    classes = classes.join(wider.select(F.col("node").alias("class"), F.col("class").alias("wider")), "class", "left").select("node", F.coalesce("wider", "class").alias("class"))
+    alone = wider.join(classes, "node", "left_anti")
+    # sizes are summed by node first, so that neither many copies nor a large class meets in one task
+    counts = member.where("w1 is not null").groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("copies"))
+    named = nodes.select("w1", "w2", "node").join(counts, ["w1", "w2"]).join(classes.unionByName(alone), "node", "left").withColumn("class", F.coalesce("class", "node"))
+    named = common.Staged(named, "named").df
+    summed = common.Staged(named.groupBy("class").agg(F.sum("copies").alias("class_size")), "sizes").df
+    named = common.Staged(named.join(summed, "class").select("w1", "w2", "class", "class_size"), "named").df
+    return member.join(named, ["w1", "w2"], "left").select("id", "k", F.coalesce("class", key).alias("class"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -255,12 +366,12 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     class_size counts rows equal in doc_id and text once.  ``first`` marks one row of each class,
     one of the least doc_id.
     """
-    docs = keyed(docs.drop("class_id", "class_size", "first"), doc_id, text)
+    inner = common.Inner(docs, ("class_id", "class_size", "first"), doc_id=doc_id, text=text)
+    rows = keyed(inner.df)
     with common.workspace() as keep:
-        named = keep(common.Staged(_classes(docs, text), "classes")).df
-    out = docs.join(named, ["__id", "__k"])
-    name = F.when(F.col("__class.id") != LEAST, F.col("__class.id"))
+        named = keep(common.Staged(_classes(rows), "classes")).df
+    out = rows.join(named, ["id", "k"])
     # the join has dealt the rows by document, so that equal rows are numbered without moving them
-    copy = F.row_number().over(Window.partitionBy("__id", "__k").orderBy("__k"))
-    first = (F.col("__class.id") == F.col("__id")) & (F.col("__class.k") == F.col("__k")) & (copy == 1)
-    return out.withColumn("class_id", name).withColumn("first", first).drop("__class", "__id", "__k")
+    copy = F.row_number().over(Window.partitionBy("id", "k").orderBy("k"))
+    first = (F.col("class.id") == F.col("id")) & (F.col("class.k") == F.col("k")) & (copy == 1)
+    return inner.outer(out, F.when(F.col("class.id") != LEAST, F.col("class.id")).alias("class_id"), "class_size", first.alias("first"))

@@ -123,7 +123,7 @@ def _parts(texts: list[bytes], width: int) -> Iterator[tuple[np.ndarray, np.ndar
         yield joined()
 
 
-def _parse(docs: DataFrame, text: str, width: int, gram: int) -> DataFrame:
+def _parse(docs: DataFrame, width: int, gram: int) -> DataFrame:
     """The phrases of all documents, with repeats inside a batch already known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,8 +134,8 @@ def _parse(docs: DataFrame, text: str, width: int, gram: int) -> DataFrame:
             start, n, a, b, ids, ks = (np.concatenate(x) for x in zip(*held, strict=True))
             return rows(a, b, ids, ks, start, n)
 
-        for batch in common.slices(batches, text):
-            texts = [(t or "").encode() for t in batch.column(text).to_pylist()]
+        for batch in common.slices(batches, "text"):
+            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
             ids, ks = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in KEY)
             for data, ends, doc, shift in _parts(texts, width):
                 start, n, a, b = _phrases(data, ends, width, gram)
@@ -147,17 +147,17 @@ def _parse(docs: DataFrame, text: str, width: int, gram: int) -> DataFrame:
         if held:
             yield sent()
 
-    return docs.select(*KEY, text).mapInArrow(run, ROWS)
+    return docs.select(*KEY, "text").mapInArrow(run, ROWS)
 
 
-def _suffixes(docs: DataFrame, text: str, width: int) -> DataFrame:
-    """The suffixes of the phrases in ``__phrases``, each by its first ``width`` bytes."""
+def _suffixes(docs: DataFrame, width: int) -> DataFrame:
+    """The suffixes of the phrases in ``phrases``, each by its first ``width`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, text, 1_000_000):
-            texts = [(t or "").encode() for t in batch.column(text).to_pylist()]
+        for batch in common.slices(batches, "text", 1_000_000):
+            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
             ids, ks = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in KEY)
-            lists = batch.column("__phrases")
+            lists = batch.column("phrases")
             flat, bounds = lists.flatten(), np.cumsum([0, *(x or 0 for x in lists.value_lengths().to_pylist())])
             pos, n, trigger = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
             out, size = [], 0
@@ -183,7 +183,7 @@ def _suffixes(docs: DataFrame, text: str, width: int) -> DataFrame:
             if out:
                 yield rows(*(np.concatenate(x) for x in zip(*out, strict=True)))
 
-    return docs.select(*KEY, text, "__phrases").mapInArrow(run, ROWS)
+    return docs.select(*KEY, "text", "phrases").mapInArrow(run, ROWS)
 
 
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -222,31 +222,32 @@ def drop_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     With ``kept_text`` the kept bytes come as a string instead, in which a character of which
     only a part is repeated stays whole.
     """
-    docs = keyed(docs.drop("removed", "kept"), doc_id, text)
-    found = ranked(_parse(docs, text, width, gram)).where(F.col("later") | F.col("several"))
+    inner = common.Inner(docs, ("removed", "kept"), doc_id=doc_id, text=text)
+    docs = keyed(inner.df)
+    found = ranked(_parse(docs, width, gram)).where(F.col("later") | F.col("several"))
     parse = common.Staged(found.select("a", *KEY, "pos", "n", "later"), "parse")
-    open_ones = parse.df.where(~F.col("later")).groupBy(*KEY).agg(F.collect_list(F.struct("pos", "n", "a")).alias("__phrases"))
-    suffixes = ranked(_suffixes(docs.select(*KEY, text).join(open_ones, list(KEY)), text, width)).where("later")
+    open_ones = parse.df.where(~F.col("later")).groupBy(*KEY).agg(F.collect_list(F.struct("pos", "n", "a")).alias("phrases"))
+    suffixes = ranked(_suffixes(docs.select(*KEY, "text").join(open_ones, list(KEY)), width)).where("later")
     ends = common.Staged(suffixes.select(*KEY, "pos", "n"), "suffixes")
     repeats = parse.df.where("later").select(*KEY, "pos", "n").unionByName(ends.df)
     spans = spans_of(repeats, F.col("pos"), F.col("pos") + F.col("n") + (width - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, text):
+        for batch in common.slices(batches, "text"):
             removed, kept = [], []
-            lists = batch.column("__spans")
+            lists = batch.column("spans")
             flat = lists.flatten()
             starts, stops = flat.field(0).to_pylist(), flat.field(1).to_pylist()
             at = 0
-            for t, k in zip(batch.column(text).to_pylist(), lists.value_lengths().to_pylist(), strict=True):
+            for t, k in zip(batch.column("text").to_pylist(), lists.value_lengths().to_pylist(), strict=True):
                 data, k = (t or "").encode(), k or 0
                 union = _union(list(zip(starts[at : at + k], stops[at : at + k], strict=True)))
                 at += k
                 removed.append([x for span in union for x in span])
                 kept.append(_without(data, _whole(data, union)).decode() if kept_text else _without(data, union))
             new = {"removed": pa.array(removed, pa.list_(pa.int32())), "kept": pa.array(kept, pa.string() if kept_text else pa.binary())}
-            yield common.with_columns(batch, new).select([*[c for c in batch.schema.names if c[:2] != "__"], *new])
+            yield common.with_columns(batch.drop_columns(["spans"]), new)
 
     both = docs.join(spans, list(KEY), "left")
-    schema = common.schema_with(both, f"removed array<int>, kept {'string' if kept_text else 'binary'}", ("__id", "__k", "__spans"))
-    return both.mapInArrow(run, schema)
+    out = both.mapInArrow(run, common.schema_with(both.drop("spans"), f"removed array<int>, kept {'string' if kept_text else 'binary'}"))
+    return inner.outer(out, "removed", "kept")

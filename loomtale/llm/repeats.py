@@ -1,6 +1,6 @@
 """First and later occurrences of hashed pieces of documents: what both exact span dedups share.
 
-An occurrence is (__id, __k, pos): the doc_id (null: the least long), a hash of the row that
+An occurrence is (id, k, pos): the doc_id (null: the least long), a hash of the row that
 tells rows of one doc_id apart, and a place in the text.  Rows equal in doc_id and text are one
 document; each of them gets its result.
 """
@@ -11,13 +11,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 LEAST = -(1 << 63)
-KEY = ("__id", "__k")
+KEY = ("id", "k")
 
 
-def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.withColumns({"__id": F.coalesce(F.col(doc_id).cast("long"), F.lit(LEAST)), "__k": F.xxhash64(doc_id, text)})
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text and others) with id and k; doc_id must be of an integer type."""
+    kind = docs.schema["doc_id"].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"doc_id must be an integer, for its order decides; it is {kind.simpleString()}")
+    return docs.withColumns({"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)), "k": F.xxhash64("doc_id", "text")})
 
 
 def local_repeats(a: np.ndarray, b: np.ndarray, ids: np.ndarray, ks: np.ndarray, pos: np.ndarray) -> np.ndarray:
@@ -44,7 +49,7 @@ def runs_of(mask: np.ndarray, ids: np.ndarray, ks: np.ndarray, pos: np.ndarray,
     return np.flatnonzero(np.concatenate(([True], ~joined)))
 
 
-ROWS = "a bigint, b bigint, __id bigint, __k bigint, pos int, n int, known boolean"
+ROWS = "a bigint, b bigint, id bigint, k bigint, pos int, n int, known boolean"
 
 
 def rows(a: np.ndarray, b: np.ndarray, ids: np.ndarray, ks: np.ndarray, pos: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -64,8 +69,8 @@ def rows(a: np.ndarray, b: np.ndarray, ids: np.ndarray, ks: np.ndarray, pos: np.
         {
             "a": join(a[new].view(np.int64), spread),
             "b": join(b[new].view(np.int64), np.zeros(len(run), np.int64)),
-            "__id": join(ids[new], ids[run]),
-            "__k": join(ks[new], ks[run]),
+            "id": join(ids[new], ids[run]),
+            "k": join(ks[new], ks[run]),
             "pos": join(pos[new].astype(np.int32), pos[run].astype(np.int32)),
             "n": join(n[new].astype(np.int32), widths.astype(np.int32)),
             "known": join(np.zeros(int(new.sum()), bool), np.ones(len(run), bool)),
@@ -79,13 +84,13 @@ def ranked(found: DataFrame) -> DataFrame:
     later: the piece (a, b) occurs before; several: pieces of the same a and another b exist.
     A hot piece has a row for each batch at most, so that no partition stands out.
     """
-    group, piece = Window.partitionBy("a"), Window.partitionBy("a", "b").orderBy("__id", "__k", "pos")
+    group, piece = Window.partitionBy("a"), Window.partitionBy("a", "b").orderBy("id", "k", "pos")
     known = F.col("known")
     low, high = F.min(F.when(~known, F.col("b"))).over(group), F.max(F.when(~known, F.col("b"))).over(group)
-    dealt = found.repartition("a").sortWithinPartitions("a", "b", "__id", "__k", "pos")
+    dealt = found.repartition("a").sortWithinPartitions("a", "b", "id", "k", "pos")
     return dealt.withColumn("several", low != high).withColumn("later", known | (F.rank().over(piece) > 1))
 
 
 def spans_of(spans: DataFrame, start: Column, stop: Column) -> DataFrame:
-    """(__id, __k, __spans): the spans of each document, as many as it has places at most."""
-    return spans.select(*KEY, F.struct(start.alias("s"), stop.alias("e")).alias("x")).groupBy(*KEY).agg(F.collect_list("x").alias("__spans"))
+    """(id, k, spans): the spans of each document, as many as it has places at most."""
+    return spans.select(*KEY, F.struct(start.alias("s"), stop.alias("e")).alias("x")).groupBy(*KEY).agg(F.collect_list("x").alias("spans"))

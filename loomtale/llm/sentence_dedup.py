@@ -39,7 +39,7 @@ def sentences(text: str) -> list[str]:
     return SENTENCE.findall(text)
 
 
-def _runs(docs: DataFrame, text: str, run_length: int, long_words: int | None) -> DataFrame:
+def _runs(docs: DataFrame, run_length: int, long_words: int | None) -> DataFrame:
     """ROWS whose pos is run_length * sentence + length of the run - 1, so that runs of each length follow each other by run_length."""
     step = np.uint64(0x9E3779B97F4A7C15)
 
@@ -60,9 +60,9 @@ def _runs(docs: DataFrame, text: str, run_length: int, long_words: int | None) -
         def sent() -> pa.RecordBatch:
             return rows(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-        for batch in common.slices(batches, text):
+        for batch in common.slices(batches, "text"):
             ids, ks = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in KEY)
-            for d, t in enumerate(batch.column(text).to_pylist()):
+            for d, t in enumerate(batch.column("text").to_pylist()):
                 parts = sentences(t or "")
                 found = [(n, at) for n, at in lengths(parts) if len(at)]
                 if not found:
@@ -82,20 +82,21 @@ def _runs(docs: DataFrame, text: str, run_length: int, long_words: int | None) -
         if held:
             yield sent()
 
-    return docs.select(*KEY, text).mapInArrow(run, ROWS)
+    return docs.select(*KEY, "text").mapInArrow(run, ROWS)
 
 
 def drop_repeated_sentences(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", run_length: int = RUN, long_words: int | None = None) -> DataFrame:
     """``docs`` with n_sentences, n_removed and ``kept``, the text without repeated sentences."""
-    docs = keyed(docs.drop("n_sentences", "n_removed", "kept"), doc_id, text)
-    repeats = ranked(_runs(docs, text, run_length, long_words)).where("later")
+    inner = common.Inner(docs, ("n_sentences", "n_removed", "kept"), doc_id=doc_id, text=text)
+    docs = keyed(inner.df)
+    repeats = ranked(_runs(docs, run_length, long_words)).where("later")
     start = F.floor(F.col("pos") / run_length).cast("int")
     spans = spans_of(repeats, start, start + (F.col("n") / run_length).cast("int") + F.col("pos") % run_length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, text):
+        for batch in common.slices(batches, "text"):
             counts, removed, kept = [], [], []
-            for t, found in zip(batch.column(text).to_pylist(), batch.column("__spans").to_pylist(), strict=True):
+            for t, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 parts = sentences(t or "")
                 gone = bytearray(len(parts))
                 for x in found or ():
@@ -104,7 +105,8 @@ def drop_repeated_sentences(docs: DataFrame, *, doc_id: str = "doc_id", text: st
                 removed.append(sum(gone))
                 kept.append("".join(p for p, g in zip(parts, gone, strict=True) if not g))
             new = {"n_sentences": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.string())}
-            yield common.with_columns(batch, new).select([*[c for c in batch.schema.names if c[:2] != "__"], *new])
+            yield common.with_columns(batch.drop_columns(["spans"]), new)
 
     both = docs.join(spans, list(KEY), "left")
-    return both.mapInArrow(run, common.schema_with(both, "n_sentences bigint, n_removed bigint, kept string", ("__id", "__k", "__spans")))
+    out = both.mapInArrow(run, common.schema_with(both.drop("spans"), "n_sentences bigint, n_removed bigint, kept string"))
+    return inner.outer(out, "n_sentences", "n_removed", "kept")

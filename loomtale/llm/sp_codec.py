@@ -213,16 +213,17 @@ def model(path: str) -> PieceModel:
 def encode_decode(docs: DataFrame, path: str, *, end: bool = True, text: str = "text") -> DataFrame:
     """``docs`` with ``ids`` array<int> and ``decoded`` string, the library's decode(ids).
 
-    Other columns stay; columns called ids or decoded give way to the new ones.
+    Other columns stay; columns called ids or decoded, in any case, give way to the new ones.
     """
+    inner = common.Inner(docs, ("ids", "decoded"), text=text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model(path)
-        for batch in common.slices(batches, text, 2_000_000):
-            ids = pieces.encode([t or "" for t in batch.column(text).to_pylist()], end)
+        for batch in common.slices(batches, "text", 2_000_000):
+            ids = pieces.encode([t or "" for t in batch.column("text").to_pylist()], end)
             flat = np.fromiter((i for x in ids for i in x), np.int32, sum(map(len, ids)))
             offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
             yield common.with_columns(batch, {"ids": lists, "decoded": pa.array(pieces.lib.decode(ids), pa.string())})
 
-    return docs.mapInArrow(run, common.schema_with(docs, "ids array<int>, decoded string"))
+    return inner.outer(inner.df.mapInArrow(run, common.schema_with(inner.df, "ids array<int>, decoded string")), "ids", "decoded")

@@ -1,13 +1,11 @@
 """Token counts of whole texts by a two-tier lookup on the map side.
 
-Tier one is a compact hash table, broadcast to every worker: the token lengths of
-the pre-tokens that are frequent in the whole table.  It is found in one pass in
-which every task keeps a bounded lossy count of its own pre-tokens and hands on
-the ``PER_TASK`` heaviest; those short summaries are all that is ever shuffled,
-and at most ``FREQUENT`` rows of their sum reach the driver.  Tier two is a cache
-in each Python worker: pre-tokens that the table lacks are encoded by the library
-once in a batch and remembered.  Pre-tokens themselves are never shuffled, and the
-table only saves time: counts don't depend on what it holds.
+Tier one is a compact hash table, broadcast to every worker: the token lengths of frequent
+pre-tokens.  Which they are is read off about ``SAMPLE`` rows drawn at random, texts of over
+``SAMPLE_BYTES`` aside, so that the driver holds a bounded sample and no pre-token is ever
+shuffled.  Tier two is a cache in each Python worker: pre-tokens that the table lacks are encoded
+by the library once in a batch and remembered.  The table only saves time: every pre-token of every
+text is counted, whatever it holds.
 
 Null and empty texts have 0 bytes and 0 tokens.  Rows are independent, so repeated
 rows, ties and very long texts have no special case.
@@ -24,30 +22,21 @@ from pyspark.sql import functions as F
 
 from . import common, sp_codec
 
-#: Rows of the broadcast table, heaviest pre-tokens a task hands on, counters a task keeps, characters of a pre-token in the table.
-FREQUENT, PER_TASK, COUNTERS, LONGEST = 32_768, 2_048, 150_000, 32
+#: Rows of the broadcast table, characters of a pre-token in it, rows of the sample it comes from, bytes of their texts at most.
+FREQUENT, LONGEST, SAMPLE, SAMPLE_BYTES = 32_768, 32, 2_000, 16_384
 #: Lengths that a worker remembers.
 CACHE = 500_000
 
 
-def frequent(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The pre-tokens with the largest summed counts: unit, n (a lower bound of its count)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
-        for batch in common.slices(batches, text):
-            for t in batch.column(text).to_pylist():
-                if t:
-                    seen.update(sp_codec.UNITS.findall(" " + t.replace(sp_codec.MARK, " ")))
-            floor = 1
-            while len(seen) > COUNTERS:  # lossy counting: the rarest go
-                seen = Counter({u: n for u, n in seen.items() if n > floor})
-                floor *= 2
-        top = [(u, n) for u, n in seen.most_common(PER_TASK) if len(u) <= LONGEST]
-        yield pa.RecordBatch.from_pydict({"unit": pa.array([u for u, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())})
-
-    sums = docs.select(text).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    return sums.orderBy(F.desc("n"), "unit").limit(FREQUENT)
+def frequent(docs: DataFrame, text: str = "text") -> list[str]:
+    """The most frequent pre-tokens of about ``SAMPLE`` rows drawn at random, of texts up to ``SAMPLE_BYTES``."""
+    some = docs.select(F.col(text).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
+    share = SAMPLE / max(SAMPLE, docs.count())
+    rows = some.where(F.rand(1) < share).limit(2 * SAMPLE).collect()  # 2 * SAMPLE * SAMPLE_BYTES at most
+    seen: Counter[str] = Counter()
+    for r in rows:
+        seen.update(sp_codec.UNITS.findall(" " + r["text"].replace(sp_codec.MARK, " ")) if r["text"] else ())
+    return [u for u, _ in seen.most_common(FREQUENT) if len(u) <= LONGEST]
 
 
 class _Lengths:
@@ -70,15 +59,16 @@ _caches: dict[str, _Lengths] = {}
 
 def count_tokens(docs: DataFrame, path: str, *, text: str = "text") -> DataFrame:
     """``docs`` with ``n_tokens`` long, as the library counts them without begin or end id."""
-    top = [r.unit for r in frequent(docs, text).collect()]  # FREQUENT rows at most
+    inner = common.Inner(docs, ("n_tokens",), text=text)
+    top = frequent(inner.df)
     lengths = map(len, sp_codec.model(path).library([u.replace(" ", sp_codec.MARK) for u in top]))
     first = docs.sparkSession.sparkContext.broadcast(dict(zip(top, lengths, strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tier1 = first.value
         cache = _caches.setdefault(path, _Lengths(path))
-        for batch in common.slices(batches, text):
-            cut = [sp_codec.UNITS.findall(" " + t.replace(sp_codec.MARK, " ")) if t else [] for t in batch.column(text).to_pylist()]
+        for batch in common.slices(batches, "text"):
+            cut = [sp_codec.UNITS.findall(" " + t.replace(sp_codec.MARK, " ")) if t else [] for t in batch.column("text").to_pylist()]
             tier2 = cache.known
             distinct = set().union(*cut)
             misses = [u for u in distinct if u not in tier1 and u not in tier2]
@@ -90,4 +80,4 @@ def count_tokens(docs: DataFrame, path: str, *, text: str = "text") -> DataFrame
                 local |= {u: cache.known[u] for u in lost}
             yield common.with_columns(batch, {"n_tokens": pa.array([sum(map(local.__getitem__, units)) for units in cut], pa.int64())})
 
-    return docs.mapInArrow(run, common.schema_with(docs, "n_tokens bigint"))
+    return inner.outer(inner.df.mapInArrow(run, common.schema_with(inner.df, "n_tokens bigint")), "n_tokens")

@@ -264,11 +264,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, modulus: int = 4, remainder: int
 
 def score_toxicity(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     """``docs`` with ``restored``, the text as it is read, and ``score``."""
+    inner = common.Inner(docs, ("restored", "score"), text=text)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by SIZE and FEATURES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, text):
-            restored = shared.value.restore([t or "" for t in batch.column(text).to_pylist()])
+        for batch in common.slices(batches, "text"):
+            restored = shared.value.restore([t or "" for t in batch.column("text").to_pylist()])
             yield common.with_columns(batch, {"restored": pa.array(restored, pa.string()), "score": pa.array(shared.value.score(restored), pa.float64())})
 
-    return docs.mapInArrow(run, common.schema_with(docs, "restored string, score double"))
+    return inner.outer(inner.df.mapInArrow(run, common.schema_with(inner.df, "restored string, score double")), "restored", "score")
