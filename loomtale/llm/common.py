@@ -114,6 +114,20 @@ def schema_with(df: DataFrame, new: str) -> StructType:
     return StructType([*df.schema.fields, *StructType.fromDDL(new).fields])
 
 
+def _place(columns: list[str], name: str) -> int:
+    """Where a column is: of this very name, or else the first of it in another case."""
+    for spelled, wanted in ((columns, name), ([c.lower() for c in columns], name.lower())):
+        if wanted in spelled:
+            return spelled.index(wanted)
+    raise ValueError(f"there is no column {name} among {columns}")
+
+
+def only(docs: DataFrame, names: Iterable[str]) -> DataFrame:
+    """These columns alone, whatever other columns are called."""
+    apart = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return apart.select(*[F.col(f"c{_place(docs.columns, n)}").alias(n) for n in names])
+
+
 class Inner:
     """A table's columns under names of the operator's own, so that no name of the user's can clash with them.
 
@@ -123,15 +137,10 @@ class Inner:
     """
 
     def __init__(self, docs: DataFrame, new: Iterable[str], **roles: str):
-        low = [c.lower() for c in docs.columns]
-        at = {}
-        for role, name in roles.items():
-            if name.lower() not in low:
-                raise ValueError(f"there is no column {name} among {docs.columns}")
-            at[low.index(name.lower())] = role
+        at = {_place(docs.columns, name): role for role, name in roles.items()}
         gone = {n.lower() for n in new}
-        names = [at.get(i, f"c{i}") for i in range(len(low))]
-        self.kept = [(n, c) for i, (n, c) in enumerate(zip(names, docs.columns, strict=True)) if i in at or low[i] not in gone]
+        names = [at.get(i, f"c{i}") for i in range(len(docs.columns))]
+        self.kept = [(n, c) for i, (n, c) in enumerate(zip(names, docs.columns, strict=True)) if i in at or c.lower() not in gone]
         self.df = docs.toDF(*names).select(*[n for n, _ in self.kept])
 
     def outer(self, df: DataFrame, *new: Column | str) -> DataFrame:
