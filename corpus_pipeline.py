@@ -1,13 +1,17 @@
 """A corpus pipeline over ``documents``; each stage is written as Parquet and read again by the next.
 
-A stage begins by deleting the tables that earlier ones staged: nothing reads them once their result
-is written.
+Every stage takes documents with doc_id (an integer), text, lang, source and n_chars, in any order and
+with any further columns of any name, which it drops.  Nulls: a null text has no words, so quality_rules
+rejects it; near_duplicates and decontamination keep it, repeated_strings drops it as a document with
+nothing left, encode gives it the end id alone.  Empty texts are handled as null ones.  A null doc_id
+counts as the least, and a null source is a host of its own.  Very long texts stay whole.  Repeated rows (equal in doc_id and text) are one document to the
+dedup stages: near_duplicates keeps one, the others treat each alike.  Ties of doc_id are ordered by a
+hash of the text.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,56 +19,35 @@ from pyspark.sql import functions as F
 from loomtale.llm import common, decontam, host_quality, near_dedup, phrase_dedup, queries, sp_codec
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_earlier: list[common.Staged] = []
-
-
-def _stage(stage: Stage) -> Stage:
-    """Deletes what the stage before has staged, and notes what this one stages."""
-
-    @wraps(stage)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _earlier:
-            _earlier.pop().drop()
-        with common.noted(_earlier):
-            return stage(spark, docs, sf_dir)
-
-    return run
-
-
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass their own rules and whose host isn't rejected."""
-    return host_quality.judge(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
+    return host_quality.judge(common.only(docs, COLUMNS)).where("kept").select(*COLUMNS)
 
 
-@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each class of near-duplicates."""
-    return near_dedup.near_duplicates(docs.select(*COLUMNS)).where("first").select(*COLUMNS)
+    return near_dedup.near_duplicates(common.only(docs, COLUMNS)).where("first").select(*COLUMNS)
 
 
-@_stage
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without what an earlier text has, whole characters only; documents with nothing left go."""
-    cut = phrase_dedup.drop_repeats(docs.select(*COLUMNS), kept_text=True).where(F.length(F.trim("kept")) > 0)
+    cut = phrase_dedup.drop_repeats(common.only(docs, COLUMNS), kept_text=True).where(F.length(F.trim("kept")) > 0)
     return cut.withColumns({"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}).select(*COLUMNS)
 
 
-@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the spans of benchmark items; documents that are nothing else go."""
     benchmark = common.table(spark, sf_dir, "benchmark")
-    cut = decontam.decontaminate(docs.select(*COLUMNS), benchmark, cleaned="cleaned").where((F.col("n_hit") == 0) | (F.col("n_hit") < F.col("n_words")))
+    cut = decontam.decontaminate(common.only(docs, COLUMNS), benchmark, cleaned="cleaned").where((F.col("n_hit") == 0) | (F.col("n_hit") < F.col("n_words")))
     return cut.withColumns({"text": F.col("cleaned"), "n_chars": F.length("cleaned").cast("long")}).select(*COLUMNS)
 
 
-@_stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids with the end id, for training."""
-    coded = sp_codec.encode_decode(docs.select(*COLUMNS), queries.PIECES)
+    coded = sp_codec.encode_decode(common.only(docs, COLUMNS), queries.PIECES)
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
@@ -83,11 +66,10 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     before = None
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            written = common.Staged(docs, name, lasting=True)
-            if before:
-                before.drop()
-            docs, before = written.df, written
-    return docs
+    for name, stage in STAGES[:-1]:
+        with common.workspace() as keep:
+            written = keep(common.Staged(stage(spark, docs, sf_dir), name))
+        if before:
+            before.drop()
+        before, docs = written, written.df
+    return STAGES[-1][1](spark, docs, sf_dir)
