@@ -1,8 +1,8 @@
 """Quality by compression: two zstandard dictionaries, one of good and one of bad labelled text.
 
 A text that compresses better beside good text than beside bad text is likelier good.  The
-normalised difference of its two compressed sizes, with the sizes' ratio to the text, goes through
-a logistic curve, so that the score is a calibrated probability.
+difference of its two compressed sizes, divided by its own size, is all that is known of a text; it
+and its square go through a logistic curve, so that the score is a calibrated probability.
 
 Fitting takes a bounded sample of the labelled rows: of each class the ``PER_CLASS`` rows that come
 first by a hash of doc_id, texts of over ``LONGEST`` bytes aside.  Half of them make the
@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-PER_CLASS, LONGEST = 3_000, 65_536
-DICTIONARY, BLOCK, LEVEL = 112_640, 4_096, 3
+PER_CLASS, LONGEST = 3_000, 16_384
+#: A short block leaves most of the saving to the dictionary, not to the text's own repeats.
+DICTIONARY, BLOCK, LEVEL = 112_640, 512, 3
 
 
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
@@ -103,13 +104,11 @@ class Model:
 
 
 def features(texts: list[str], compressors: list[zstandard.ZstdCompressor]) -> np.ndarray:
-    """1, the normalised size difference, the size ratio, their squares and product, the log length."""
-    sizes = np.array([(sum(len(compressors[0].compress(b)) for b in p), sum(len(compressors[1].compress(b)) for b in p), sum(map(len, p))) for p in map(blocks, texts)], float).reshape(-1, 3)
-    good, bad, raw = sizes.T
-    difference = 5 * (bad - good) / np.maximum(1, np.maximum(good, bad))
-    ratio = 3 * (good / np.maximum(raw, 1)) - 1
-    length = np.log1p(raw) / 10
-    return np.stack([np.ones(len(sizes)), difference, ratio, difference**2, ratio**2, difference * ratio, length], axis=1)
+    """1, the normalised size difference and its square."""
+    sizes = [[sum(len(c.compress(b)) for b in p) for c in compressors] + [sum(map(len, p))] for p in map(blocks, texts)]
+    good, bad, raw = np.array(sizes, float).reshape(-1, 3).T
+    difference = 10 * (bad - good) / np.maximum(raw, 1)
+    return np.stack([np.ones(len(texts)), difference, difference**2], axis=1)
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, modulus: int = 3, remainder: int = 1) -> Model:
