@@ -14,7 +14,8 @@ trigram model picks the cheapest reading, which replaces the candidate.
 *Score.*  Features are words and word beginnings.  Their document frequencies in toxic and other
 labelled text give log odds; a logistic curve over the strongest and the number of such words
 gives the score.  Fitting takes a bounded sample of labelled rows: the ``PER_CLASS`` rows of each
-class that come first by a hash, texts of over ``LONGEST`` bytes aside; whole texts are scored.
+class that come first by a hash, texts of over ``LONGEST`` bytes aside; of near copies among them (by
+bottom hashes of their shingles, one row against another) the first counts.  Whole texts are scored.
 
 Null and empty texts have no words and get the score of none.  Repeated label rows count once.
 Without toxic labelled rows nothing is learned and every score is the share of toxic rows.
@@ -38,11 +39,11 @@ from pyspark.sql import functions as F
 from . import common
 from .compress_quality import labelled_sample, logistic, sigmoid
 
-PER_CLASS, LONGEST = 4_000, 65_536
+PER_CLASS, LONGEST = 4_000, 16_384
 #: Lengths of word beginnings, rows and share of toxic rows that a feature needs, odds it needs, features kept at most.
 BEGINNINGS, LEAST_ROWS, LEAST_SHARE, LEAST_ODDS, FEATURES = (4, 5, 6), 3, 0.015, 20.0, 20_000
-#: Letters of a word that is rare enough to tell copies by.
-RARE = 9
+#: Shingles of so many words, of which a row's so many least hashes tell copies, if so many are those of one earlier row.
+COPY_WORDS, COPY_HASHES, COPY_SHARED = 3, 24, 6
 #: Share of the feature trigrams in the mixed language model.
 MIX = 0.3
 
@@ -218,20 +219,31 @@ class Model:
         return sigmoid(self.evidence(restored) @ self.beta)
 
 
+def copies(texts: list[str]) -> list[bool]:
+    """Which texts share many of their least shingle hashes with one earlier text that isn't itself such a copy."""
+    having: dict[int, list[int]] = {}
+    out = []
+    for i, t in enumerate(texts):
+        words = WORDS.findall(t.lower())
+        least = sorted({zlib.crc32(" ".join(words[k : k + COPY_WORDS]).encode()) for k in range(max(1, len(words) - COPY_WORDS + 1))})[:COPY_HASHES]
+        shared = Counter(j for h in least for j in having.get(h, ()))
+        out.append(bool(shared) and max(shared.values()) >= min(COPY_SHARED, len(least)))
+        if not out[-1]:
+            for h in least:
+                having.setdefault(h, []).append(i)
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, modulus: int = 4, remainder: int = 2) -> Model:
     rows, share = labelled_sample(docs, labels, "toxic", PER_CLASS, LONGEST, modulus, remainder)
     seen: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
     total = [0, 0]
-    known: set[int] = set()
     turn = [0, 0]
     rest: list[tuple[str, int]] = []
-    for t, y in rows:
-        found = set(WORDS.findall(t.lower()))
-        least = sorted(zlib.crc32(w.encode()) for w in found if len(w) >= RARE)[:6]
-        copy = len(known.intersection(least)) >= 3  # near copies would make any of their words a feature
-        known.update(least)
-        if copy:
+    for (t, y), copy in zip(rows, copies([t for t, _ in rows]), strict=True):
+        if copy:  # near copies would make any of their words a feature
             continue
+        found = set(WORDS.findall(t.lower()))
         turn[y] += 1
         if turn[y] % 3 == 0:  # a third fits the curve
             rest.append((t, y))
