@@ -340,7 +340,8 @@ def _classes(docs: DataFrame) -> DataFrame:
     crowd = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = common.Staged(placed.join(crowd, "bucket").select("bucket", "node", "n"), "buckets").df
     seen = buckets.groupBy("node").agg(F.sum("n").alias("met"))
-    pivots = buckets.join(seen, "node").groupBy("bucket").agg(F.max(F.struct("met", "node")).alias("most"))
+    # written, so that the join below isn't bound to the aggregate's partitions and a hot bucket can be split
+    pivots = common.Staged(buckets.join(seen, "node").groupBy("bucket").agg(F.max(F.struct("met", "node")).alias("most")), "pivots").df
     starred = common.Staged(buckets.join(pivots, "bucket").select("bucket", "node", "n", F.col("most.node").alias("pivot")), "starred").df
     # the texts of nodes in buckets are moved once
     texts = docs.select(key.alias("node"), "text").join(starred.select("node").distinct(), "node").dropDuplicates(["node"])
