@@ -6,18 +6,27 @@ of a smaller doc_id, or earlier in the same one.
 *Triggers.*  A rolling hash over ``GRAM`` bytes is taken at every place; in each string of WIDTH
 bytes the gram of the least hash (the rightmost of equals) is its trigger.  So equal strings have
 equal triggers at equal offsets, wherever they stand.  *Phrases.*  Strings that start side by side
-and share a trigger form a phrase; phrases overlap by WIDTH-1 bytes, and each string of WIDTH bytes
-starts in exactly one phrase of its document.  *Parse.*  The documents as sequences of phrases are
-sorted by trigger, phrase and place in the corpus: a phrase that is there before is a repeat from
-end to end, which settles the inside of long repeats without looking at its bytes again.
-*Dictionary.*  Distinct phrases that share their trigger with another one may still have strings in
-common, at the ends of a repeat.  The suffixes of those phrases, each by its first WIDTH bytes (as a
-128-bit hash: only equality counts, not the alphabet), are sorted with the places of their phrases
-in the parse.  The first of each run of equal suffixes stays, the others are repeats.  Sorting in
-both steps is Spark's; a task never holds more than a batch.
+and share a trigger form a phrase; phrases overlap by WIDTH-1 bytes instead of a trigger's width, so
+that each string of WIDTH bytes starts in exactly one phrase of its document, and no string of one
+trigger has to be compared with a string of another.
+
+*Parse.*  The documents as sequences of phrases are put in corpus order by phrase: one that is there
+before is a repeat from end to end, which settles the inside of long repeats without looking at its
+bytes again.  *Dictionary.*  Distinct phrases that share their trigger with another one may still
+have strings in common, at the ends of a repeat.  They go to tasks by trigger, with their bytes, and
+a task builds the suffix array of some triggers' phrases: suffixes of WIDTH bytes at least, sorted by
+trigger and then by bytes, eight at a time, as long as there are ties.  *Combined.*  Equal suffixes stand
+side by side in that array; with the places of their phrases in the parse they are put in corpus
+order, and all but the first are repeats.  The arrays of all triggers, one after the other, are the
+suffix array of the dictionary.
+
+A trigger with over ``CROWD`` bytes of such phrases would make a task too large.  Its suffixes are sorted
+by Spark instead, a row for each, by a 128-bit hash of their first WIDTH bytes.  There and for whole
+phrases equality is by 128 bits of hashes: among n strings a false match has a chance of n * n / 2**129.
 
 Null text is empty; empty and short texts keep all they have.  Rows equal in doc_id and text are
-one document, and each gets its result; other rows of one doc_id are ordered by a hash.
+one document, and each gets its result; other rows of one doc_id are ordered by a hash.  doc_id must
+be an integer, a null one is the least.
 """
 
 from __future__ import annotations
@@ -30,11 +39,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .repeats import KEY, ROWS, keyed, ranked, rows, spans_of
+from .repeats import KEY, ROWS, keyed, marked, rows, runs_of, spans_of, with_several
 
 WIDTH, GRAM = 100, 32
 #: Bytes hashed at a time, and rows among which repeats are found before they are sent.
 PART, ROWS_AT_ONCE = 1 << 19, 1 << 18
+#: Bytes of a trigger's phrases that a task sorts, and bytes of phrases that it sorts together.
+CROWD, TOGETHER = 4_000_000, 2_000_000
 _BASE, _MIX, _MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _LOW = np.uint64((1 << 20) - 1)
 
@@ -150,27 +161,138 @@ def _parse(docs: DataFrame, width: int, gram: int) -> DataFrame:
     return docs.select(*KEY, "text").mapInArrow(run, ROWS)
 
 
+def _places(batch: pa.RecordBatch, d: int, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """pos, n, trigger and crowded of the phrases listed for a row, by place."""
+    some = batch.column("phrases").flatten().slice(bounds[d], bounds[d + 1] - bounds[d])
+    pos, n, trigger, crowded = (some.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+    order = np.argsort(pos)
+    return pos[order].astype(np.int64), n[order].astype(np.int64), trigger[order], crowded[order]
+
+
+def _bounds(batch: pa.RecordBatch) -> np.ndarray:
+    return np.cumsum([0, *(x or 0 for x in batch.column("phrases").value_lengths().to_pylist())])
+
+
+PHRASE = "trigger bigint, id bigint, k bigint, pos int, n int, bytes binary"
+
+
+def _dictionary(docs: DataFrame, width: int) -> DataFrame:
+    """PHRASE: the phrases listed in ``phrases`` whose trigger isn't crowded, with their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, "text", 1_000_000):
+            bounds, out = _bounds(batch), []
+            ids, ks = (batch.column(c).to_pylist() for c in KEY)
+            for d, t in enumerate(batch.column("text").to_pylist()):
+                data = (t or "").encode()
+                for p, n, m, crowded in zip(*(x.tolist() for x in _places(batch, d, bounds)), strict=True):
+                    if not crowded:
+                        out.append((m, ids[d], ks[d], p, n, data[p : p + n + width - 1]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=[c.split()[0] for c in PHRASE.split(", ")])
+
+    return docs.select(*KEY, "text", "phrases").mapInArrow(run, PHRASE)
+
+
+def equal_suffixes(data: np.ndarray, start: np.ndarray, group: np.ndarray, width: int) -> np.ndarray:
+    """The rank of each suffix in the suffix array by group and then by ``width`` bytes; -1 where no other is equal.
+
+    Suffixes are sorted by eight bytes at a time, and only those that are still tied go on.
+    """
+    padded = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint64)
+    word = np.zeros(len(data) + 1, np.uint64)
+    for k in range(8):
+        word = (word << np.uint64(8)) | padded[k : k + len(word)]
+    rank = np.zeros(len(start), np.int64)
+    order = np.argsort(group, kind="stable")
+    starts = np.concatenate(([0], np.flatnonzero(np.diff(group[order])) + 1)) if len(order) else np.empty(0, np.int64)
+    rank[order] = np.repeat(starts, np.diff(np.append(starts, len(order))))
+    tied = np.arange(len(start))
+    for offset in [*range(0, width - 7, 8), *([width - 8] if width % 8 else [])]:
+        w = word[start[tied] + offset]
+        order = np.lexsort((w, rank[tied]))
+        tied, w = tied[order], w[order]
+        r = rank[tied]
+        same_rank = np.concatenate(([False], r[1:] == r[:-1]))
+        same = same_rank & np.concatenate(([False], w[1:] == w[:-1]))
+        at = np.arange(len(tied))
+        first_of_rank = np.maximum.accumulate(np.where(same_rank, 0, at))
+        first_of_run = np.maximum.accumulate(np.where(same, 0, at))
+        rank[tied] = r + first_of_run - first_of_rank
+        more = same | np.append(same[1:], False)
+        tied = tied[more]
+        if not len(tied):
+            break
+    out = np.full(len(start), -1, np.int64)
+    out[tied] = rank[tied]
+    return out
+
+
+def _later(phrases: list[tuple], width: int) -> list[np.ndarray]:
+    """id, k, pos and n of the runs of suffixes that come before in the corpus; phrases as in PHRASE."""
+    trigger, ids, ks, pos, n = (np.array([p[i] for p in phrases], np.int64) for i in range(5))
+    data = np.frombuffer(b"".join(p[5] for p in phrases), np.uint8)
+    sizes = n + width - 1
+    begin = np.cumsum(sizes) - sizes
+    phrase = np.repeat(np.arange(len(phrases)), n)
+    inside = np.arange(len(phrase)) - np.repeat(np.cumsum(n) - n, n)
+    rank = equal_suffixes(data, begin[phrase] + inside, trigger[phrase], width)
+    several = np.flatnonzero(rank >= 0)
+    ph, place = phrase[several], pos[phrase[several]] + inside[several]
+    order = np.lexsort((place, ks[ph], ids[ph], rank[several]))
+    ph, place, r = ph[order], place[order], rank[several][order]
+    first = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1]))) if len(r) else np.empty(0, np.int64)
+    lead = np.repeat(first, np.diff(np.append(first, len(r))))
+    # rows of one document are the same suffix, not an earlier one
+    gone = (ids[ph] != ids[ph[lead]]) | (ks[ph] != ks[ph[lead]]) | (place != place[lead])
+    ph, place = ph[gone], place[gone]
+    order = np.lexsort((place, ks[ph], ids[ph]))
+    ph, place = ph[order], place[order]
+    ones = np.ones(len(ph), np.int64)
+    starts = runs_of(np.ones(len(ph), bool), ids[ph], ks[ph], place, ones)
+    return [ids[ph][starts], ks[ph][starts], place[starts], np.diff(np.append(starts, len(ph)))]
+
+
+def _sorted(dictionary: DataFrame, width: int) -> DataFrame:
+    """(id, k, pos, n): runs of repeated suffixes in the phrases of PHRASE."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def some() -> Iterator[list[tuple]]:
+            """Phrases of whole triggers, about TOGETHER bytes of them."""
+            held: list[tuple] = []
+            size = 0
+            for batch in batches:
+                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if size > TOGETHER and row[0] != held[-1][0]:
+                        yield held
+                        held, size = [], 0
+                    held.append(row)
+                    size += len(row[5])
+            if held:
+                yield held
+
+        for phrases in some():
+            i, k, p, n = _later(phrases, width)
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(k), pa.array(p.astype(np.int32)), pa.array(n.astype(np.int32))], names=["id", "k", "pos", "n"])
+
+    return dictionary.repartition("trigger").sortWithinPartitions("trigger").mapInArrow(run, "id bigint, k bigint, pos int, n int")
+
+
 def _suffixes(docs: DataFrame, width: int) -> DataFrame:
-    """The suffixes of the phrases in ``phrases``, each by its first ``width`` bytes."""
+    """ROWS of the suffixes of the crowded phrases in ``phrases``, each by its first ``width`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text", 1_000_000):
-            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
             ids, ks = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in KEY)
-            lists = batch.column("phrases")
-            flat, bounds = lists.flatten(), np.cumsum([0, *(x or 0 for x in lists.value_lengths().to_pylist())])
-            pos, n, trigger = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-            out, size = [], 0
-            for d, t in enumerate(texts):
-                p, c, m = (x[bounds[d] : bounds[d + 1]] for x in (pos, n, trigger))
-                order = np.argsort(p)
-                p, c, m = p[order].astype(np.int64), c[order].astype(np.int64), m[order]
-                data = np.frombuffer(t, np.uint8)
-                for at in range(0, len(data), PART):  # a long document piece by piece
+            bounds, out, size = _bounds(batch), [], 0
+            for d, t in enumerate(batch.column("text").to_pylist()):
+                p, c, m, crowded = _places(batch, d, bounds)
+                p, c, m = p[crowded], c[crowded], m[crowded]
+                data = np.frombuffer((t or "").encode(), np.uint8)
+                for at in range(0, len(data) if len(p) else 0, PART):  # a long document piece by piece
                     here = (p < at + PART) & (p + c > at)
                     if not here.any():
                         continue
-                    sums = _Sums(data[at : at + 2 * PART + width - 1][: PART + width - 1])
+                    sums = _Sums(data[at : at + PART + width - 1])
                     lo, hi = np.maximum(p[here], at), np.minimum(p[here] + c[here], at + PART)
                     k = hi - lo
                     start = np.repeat(lo - (np.cumsum(k) - k), k) + np.arange(k.sum())
@@ -216,6 +338,26 @@ def _whole(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _repeats(docs: DataFrame, width: int, gram: int) -> DataFrame:
+    """(id, k, spans): the repeated bytes of each document, in spans that may touch or overlap."""
+    found = with_several(marked(_parse(docs, width, gram))).where("later or several")
+    parse = common.Staged(found.select("a", *KEY, "pos", "n", "later"), "parse").df
+    open_ones = parse.where("not later")
+    sizes = open_ones.groupBy("a").agg(F.sum(F.col("n").cast("long") + (width - 1)).alias("bytes"))
+    crowds = common.Staged(sizes.where(F.col("bytes") > CROWD).select("a", F.lit(True).alias("crowded")), "crowds").df
+    listed = open_ones.join(crowds, "a", "left").groupBy(*KEY).agg(F.collect_set(F.struct("pos", "n", "a", F.coalesce("crowded", F.lit(False)).alias("crowded"))).alias("phrases"))
+    with_text = docs.select(*KEY, "text").join(listed, list(KEY))
+    if crowded := not crowds.isEmpty():
+        with_text = common.Staged(with_text, "open").df
+    ends = [_sorted(_dictionary(with_text, width), width)]
+    if crowded:
+        ends.append(marked(_suffixes(with_text, width)).where("later").select(*KEY, "pos", "n"))
+    repeats = parse.where("later").select(*KEY, "pos", "n")
+    for x in ends:
+        repeats = repeats.unionByName(x)
+    return spans_of(repeats, F.col("pos"), F.col("pos") + F.col("n") + (width - 1))
+
+
 def drop_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, kept_text: bool = False) -> DataFrame:
     """``docs`` with ``removed`` array<int> (from, to of each maximal run of bytes) and ``kept`` binary.
 
@@ -224,13 +366,8 @@ def drop_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """
     inner = common.Inner(docs, ("removed", "kept"), doc_id=doc_id, text=text)
     docs = keyed(inner.df)
-    found = ranked(_parse(docs, width, gram)).where(F.col("later") | F.col("several"))
-    parse = common.Staged(found.select("a", *KEY, "pos", "n", "later"), "parse")
-    open_ones = parse.df.where(~F.col("later")).groupBy(*KEY).agg(F.collect_list(F.struct("pos", "n", "a")).alias("phrases"))
-    suffixes = ranked(_suffixes(docs.select(*KEY, "text").join(open_ones, list(KEY)), width)).where("later")
-    ends = common.Staged(suffixes.select(*KEY, "pos", "n"), "suffixes")
-    repeats = parse.df.where("later").select(*KEY, "pos", "n").unionByName(ends.df)
-    spans = spans_of(repeats, F.col("pos"), F.col("pos") + F.col("n") + (width - 1))
+    with common.workspace() as keep:
+        spans = keep(common.Staged(_repeats(docs, width, gram), "spans")).df
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):

@@ -78,19 +78,22 @@ def rows(a: np.ndarray, b: np.ndarray, ids: np.ndarray, ks: np.ndarray, pos: np.
     )
 
 
-def ranked(found: DataFrame) -> DataFrame:
-    """``found`` by ``a`` in one exchange, with ``later`` and ``several``.
+def marked(found: DataFrame) -> DataFrame:
+    """``found`` by piece (a, b) in one exchange, with ``later``: the piece occurs before.
 
-    later: the piece (a, b) occurs before; several: pieces of the same a and another b exist.
     A hot piece has a row for each batch at most, so that no partition stands out.
     """
-    group, piece = Window.partitionBy("a"), Window.partitionBy("a", "b").orderBy("id", "k", "pos")
-    known = F.col("known")
-    low, high = F.min(F.when(~known, F.col("b"))).over(group), F.max(F.when(~known, F.col("b"))).over(group)
-    dealt = found.repartition("a").sortWithinPartitions("a", "b", "id", "k", "pos")
-    return dealt.withColumn("several", low != high).withColumn("later", known | (F.rank().over(piece) > 1))
+    piece = Window.partitionBy("a", "b").orderBy("id", "k", "pos")
+    return found.withColumn("later", F.col("known") | (F.rank().over(piece) > 1))
+
+
+def with_several(pieces: DataFrame) -> DataFrame:
+    """``pieces``, which are marked, with ``several``: other pieces of the same ``a`` exist.  Pieces of one ``a`` never meet in one task."""
+    # later and n are asked for so that both sides of the join have the same columns of one exchange
+    new = pieces.where("not later and n > 0").groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"))
+    return pieces.join(new.where("low != high").select("a", F.lit(True).alias("several")), "a", "left").withColumn("several", F.coalesce("several", F.lit(False)))
 
 
 def spans_of(spans: DataFrame, start: Column, stop: Column) -> DataFrame:
     """(id, k, spans): the spans of each document, as many as it has places at most."""
-    return spans.select(*KEY, F.struct(start.alias("s"), stop.alias("e")).alias("x")).groupBy(*KEY).agg(F.collect_list("x").alias("spans"))
+    return spans.select(*KEY, F.struct(start.alias("s"), stop.alias("e")).alias("x")).groupBy(*KEY).agg(F.collect_set("x").alias("spans"))

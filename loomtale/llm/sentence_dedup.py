@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .repeats import KEY, ROWS, keyed, ranked, rows, spans_of
+from .repeats import KEY, ROWS, keyed, marked, rows, spans_of
 
 RUN = 3
 #: What op7 removes: runs of two sentences, and one of over 50 words.
@@ -89,7 +89,7 @@ def drop_repeated_sentences(docs: DataFrame, *, doc_id: str = "doc_id", text: st
     """``docs`` with n_sentences, n_removed and ``kept``, the text without repeated sentences."""
     inner = common.Inner(docs, ("n_sentences", "n_removed", "kept"), doc_id=doc_id, text=text)
     docs = keyed(inner.df)
-    repeats = ranked(_runs(docs, run_length, long_words)).where("later")
+    repeats = marked(_runs(docs, run_length, long_words)).where("later")
     start = F.floor(F.col("pos") / run_length).cast("int")
     spans = spans_of(repeats, start, start + (F.col("n") / run_length).cast("int") + F.col("pos") % run_length)
 

@@ -61,7 +61,7 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     before = docs.count()
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        out = stage(spark, docs, data).checkpoint()
+        out = stage(spark, docs, data).cache()
         ids = [r["doc_id"] for r in out.select("doc_id").collect()]
         assert len(ids) == len(set(ids)) <= before, name
         before = len(ids)
