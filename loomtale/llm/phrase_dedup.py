@@ -35,17 +35,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .repeats import KEY, ROWS, keyed, marked, rows, runs_of, spans_of, with_several
+from .repeats import KEY, ROWS, keyed, marked, rows, runs_of, spans_of
 
 WIDTH, GRAM = 100, 32
 #: Bytes hashed at a time, and rows among which repeats are found before they are sent.
 PART, ROWS_AT_ONCE = 1 << 19, 1 << 18
 #: Bytes of a trigger's phrases that a task sorts, and bytes of phrases that it sorts together.
 CROWD, TOGETHER = 4_000_000, 2_000_000
+#: Rows of the sample that common triggers are read off, and phrases in it that make one common.
+SAMPLE, COMMON = 4_000, 8
 _BASE, _MIX, _MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _LOW = np.uint64((1 << 20) - 1)
 
@@ -134,8 +136,19 @@ def _parts(texts: list[bytes], width: int) -> Iterator[tuple[np.ndarray, np.ndar
         yield joined()
 
 
-def _parse(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    """The phrases of all documents, with repeats inside a batch already known."""
+def common_triggers(docs: DataFrame, width: int, gram: int) -> list[int]:
+    """Triggers with many phrases in a sample of about SAMPLE rows drawn at random.
+
+    They only decide where rows meet: phrases of a common trigger are dealt out by phrase, not by trigger.
+    """
+    some = docs.where(F.rand(1) < SAMPLE / max(SAMPLE, docs.count()))
+    counts = _parse(some, width, gram, []).groupBy("a").agg(F.count_distinct("b").alias("n"))
+    return sorted(r["a"] for r in counts.where(F.col("n") >= COMMON).select("a").collect())  # of the sample's phrases a COMMON-th at most
+
+
+def _parse(docs: DataFrame, width: int, gram: int, common_ones: list[int]) -> DataFrame:
+    """The phrases of all documents, with repeats inside a batch already known; ``part`` is what rows meet by."""
+    hot = docs.sparkSession.sparkContext.broadcast(np.array(common_ones, np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -143,7 +156,11 @@ def _parse(docs: DataFrame, width: int, gram: int) -> DataFrame:
 
         def sent() -> pa.RecordBatch:
             start, n, a, b, ids, ks = (np.concatenate(x) for x in zip(*held, strict=True))
-            return rows(a, b, ids, ks, start, n)
+            out = rows(a, b, ids, ks, start, n)
+            a, b = (out.column(c).to_numpy() for c in "ab")
+            is_common = np.isin(a, hot.value)
+            part = np.where(is_common, _mix(a.view(np.uint64) ^ _mix(b.view(np.uint64))).view(np.int64), a)
+            return out.append_column("part", pa.array(part)).append_column("common", pa.array(is_common))
 
         for batch in common.slices(batches, "text"):
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
@@ -158,7 +175,19 @@ def _parse(docs: DataFrame, width: int, gram: int) -> DataFrame:
         if held:
             yield sent()
 
-    return docs.select(*KEY, "text").mapInArrow(run, ROWS)
+    return docs.select(*KEY, "text").mapInArrow(run, ROWS + ", part bigint, common boolean")
+
+
+def _met(found: DataFrame) -> DataFrame:
+    """``found`` by part in one exchange, with ``later`` (the phrase is there before) and ``several`` (others of its trigger may be).
+
+    A hot phrase has a row for each batch at most, and a common trigger's phrases are apart and taken to be several.
+    """
+    group, phrase = Window.partitionBy("part"), Window.partitionBy("part", "a", "b").orderBy(*KEY, "pos")
+    new = F.when(~F.col("known"), F.col("b"))
+    dealt = found.repartition("part").sortWithinPartitions("part", "a", "b", *KEY, "pos")
+    several = F.col("common") | F.coalesce(F.min(new).over(group) != F.max(new).over(group), F.lit(False))
+    return dealt.withColumn("several", several).withColumn("later", F.col("known") | (F.rank().over(phrase) > 1))
 
 
 def _places(batch: pa.RecordBatch, d: int, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -340,7 +369,7 @@ def _whole(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _repeats(docs: DataFrame, width: int, gram: int) -> DataFrame:
     """(id, k, spans): the repeated bytes of each document, in spans that may touch or overlap."""
-    found = with_several(marked(_parse(docs, width, gram))).where("later or several")
+    found = _met(_parse(docs, width, gram, common_triggers(docs, width, gram))).where("later or several")
     parse = common.Staged(found.select("a", *KEY, "pos", "n", "later"), "parse").df
     open_ones = parse.where("not later")
     sizes = open_ones.groupBy("a").agg(F.sum(F.col("n").cast("long") + (width - 1)).alias("bytes"))

@@ -87,13 +87,6 @@ def marked(found: DataFrame) -> DataFrame:
     return found.withColumn("later", F.col("known") | (F.rank().over(piece) > 1))
 
 
-def with_several(pieces: DataFrame) -> DataFrame:
-    """``pieces``, which are marked, with ``several``: other pieces of the same ``a`` exist.  Pieces of one ``a`` never meet in one task."""
-    # later and n are asked for so that both sides of the join have the same columns of one exchange
-    new = pieces.where("not later and n > 0").groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"))
-    return pieces.join(new.where("low != high").select("a", F.lit(True).alias("several")), "a", "left").withColumn("several", F.coalesce("several", F.lit(False)))
-
-
 def spans_of(spans: DataFrame, start: Column, stop: Column) -> DataFrame:
     """(id, k, spans): the spans of each document, as many as it has places at most."""
     return spans.select(*KEY, F.struct(start.alias("s"), stop.alias("e")).alias("x")).groupBy(*KEY).agg(F.collect_set("x").alias("spans"))
