@@ -11,6 +11,7 @@ from ..functions.text import strip
 CHAPTERS = [r"(?U)\n(?:Capítulo|Capitulo|Chapter)\s+[\w\dIVXLC]+", r"(?U)\n(?:Parte|Part)\s+[\w\dIVXLC]+"]
 PARAGRAPHS = [r"\n\n", r"\.\n", r"\n"]
 MAX_CHARS, OVERLAP = 5000, 1
+STRETCH = 128
 
 
 def _let(value: Column, f) -> Column:
@@ -23,20 +24,24 @@ def clean(parts: Column) -> Column:
 
 def split_first(text: Column, patterns: list[str]) -> Column:
     """Clean parts by the first pattern that splits the text, else the text itself; none of a blank text."""
-    ways = []
-    for p in patterns:
-        parts = F.split(text, p, -1)
-        ways.append(F.when((F.size(parts) > 1) & (F.size(clean(parts)) > 0), clean(parts)))
-    return F.when(strip(text) == "", F.array().cast("array<string>")).otherwise(F.coalesce(*ways, F.array(strip(text))))
+
+    def way(p: str) -> Column:
+        some = lambda c: F.when(F.size(c) > 0, c)
+        return _let(F.split(text, p, -1), lambda parts: F.when(F.size(parts) > 1, _let(clean(parts), some)))
+
+    whole = lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.coalesce(*map(way, patterns), F.array(t)))
+    return _let(strip(text), whole)
 
 
 def bounds(lengths: Column, max_chars: int, overlap: int) -> Column:
     """First and last paragraph of every chunk, by a fold over the paragraphs' lengths.
 
     The state holds the chunk's first paragraph, the characters since it and what has been emitted.
+    Emitting copies the list, so there is one for each ``STRETCH`` paragraphs, and the time follows
+    the number of paragraphs.
     """
     state = "struct<start:int,chars:int,done:array<struct<f:int,t:int>>>"
-    init = F.struct(F.lit(0).alias("start"), F.get(lengths, F.lit(0)).alias("chars"), F.array().cast("array<struct<f:int,t:int>>").alias("done")).cast(state)
+    init = {"start": F.lit(0), "chars": F.get(lengths, F.lit(0))}
 
     def step(s: Column, i: Column) -> Column:
         n = F.get(lengths, i)
@@ -50,8 +55,17 @@ def bounds(lengths: Column, max_chars: int, overlap: int) -> Column:
         ).cast(state)
 
     last = F.size(lengths) - 1
-    places = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, init, step, lambda s: F.concat(s["done"], F.array(F.struct(s["start"].alias("f"), last.alias("t")))))
+    outer = "struct<start:int,chars:int,done:array<array<struct<f:int,t:int>>>>"
+    nothing = F.array().cast("array<struct<f:int,t:int>>")
+
+    def stretch(s: Column, first: Column) -> Column:
+        begin = F.struct(s["start"].alias("start"), s["chars"].alias("chars"), nothing.alias("done")).cast(state)
+        inner = F.aggregate(F.sequence(first, F.least(last, first + (STRETCH - 1))), begin, step)
+        return _let(inner, lambda x: F.struct(x["start"].alias("start"), x["chars"].alias("chars"), F.concat(s["done"], F.array(x["done"])).alias("done")).cast(outer))
+
+    stretches = F.when(last >= 1, F.sequence(F.lit(1), last, F.lit(STRETCH))).otherwise(F.array().cast("array<int>"))
+    begin = F.struct(init["start"].alias("start"), init["chars"].alias("chars"), F.array().cast("array<array<struct<f:int,t:int>>>").alias("done")).cast(outer)
+    return F.aggregate(stretches, begin, stretch, lambda s: F.concat(F.flatten(s["done"]), F.array(F.struct(s["start"].alias("f"), last.alias("t")))))
 
 
 def pack(paragraphs: Column, max_chars: int, overlap: int) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,12 +12,16 @@ from ..functions import vocabulary as V
 from ..functions.text import strip
 
 _I = "(?idU)"
+# Headings, lines of a table of contents, chapter starts, copyright and review phrases.
 HEADING = _I + r"^\s*(?:" + "|".join(V.HEADINGS) + r")\s*[:.\-–—]?\s*$"
-# Lines of a table of contents, chapter starts, copyright and review phrases.
 CONTENTS_LINE = _I + r"^\s*(?:(?:cap[ií]tulo|chapter|parte|part)\s+[\w\dIVXLC]+|[A-ZÁÉÍÓÚÑ][^.\n]{2,80})\s*(?:\.{2,}|\s{2,})\s*\d+\s*$"
 CHAPTER = _I + r"(?:^|\n)\s*(?:cap[ií]tulo|chapter|parte|part)\s+[\w\dIVXLC]+\b"
 COPYRIGHT = _I + r"(?:copyright|all rights reserved|todos los derechos reservados|isbn|publicado por|published by|editorial|primera edici[oó]n|no se permite la reproducci[oó]n)"
 REVIEW = _I + r"(?:\b(?:dijo|dice|seg[uú]n|says)\b|[\"“”])[^.\n]{0,160}(?:new york times|publishers weekly|kirkus|booklist|autor(?:a)?|escritor(?:a)?|novelist)"
+# What every match of the two holds, in lower case; letters that case folding may hide are looked for too.
+COPYRIGHT_STEMS = ["copyright", "rights reserved", "derechos reservados", "isbn", "publicado por", "published by", "editorial", "primera edici", "no se permite"]
+REVIEW_STEMS = ["new york times", "publishers weekly", "kirkus", "booklist", "autor", "escritor", "novelist"]
+FOLDED = ["ſ", "ı", "i̇", "İ"]
 
 
 def lines_of(text: Column) -> Column:
@@ -30,13 +37,20 @@ def non_narrative(text: Column) -> Column:
     def by_line(lines: Column) -> Column:
         top, opening = F.slice(lines, 1, 5), F.slice(lines, 1, 40)
         heading = F.exists(top, lambda x: x.rlike(HEADING)) & ~text.rlike(CHAPTER)
-        entries = F.size(F.filter(opening, lambda x: x.rlike(CONTENTS_LINE)))
+        # a line ends in a digit, which is cheap to see
+        entries = F.size(F.filter(opening, lambda x: F.substring(x, -1, 1).rlike(r"(?U)\d") & x.rlike(CONTENTS_LINE)))
         contents = (entries >= 3) & (entries >= 0.35 * F.size(opening))
-        found = lambda joined: sum((joined.rlike(_I + rf"\b{p}\b").cast("int") for p in V.HEADINGS), F.lit(0))
-        return heading | contents | (let(F.array_join(top, "\n"), found) >= 2)
+        # nearly no text has any of them, so one pattern of all goes first
+        any_of = _I + r"\b(?:" + "|".join(V.HEADINGS) + r")\b"
+        found = lambda joined: joined.rlike(any_of) & (sum((joined.rlike(_I + rf"\b{p}\b").cast("int") for p in V.HEADINGS), F.lit(0)) >= 2)
+        return heading | contents | let(F.array_join(top, "\n"), found)
+
+    def twice(pattern: str, stems: list[str]) -> Column:
+        some = let(F.lower(text), lambda low: reduce(or_, [low.contains(s) for s in [*stems, *FOLDED]]))
+        return some & (F.regexp_count(text, F.lit(pattern)) >= 2)
 
-    rights = F.regexp_count(text, F.lit(COPYRIGHT)) >= 2
-    reviews = (F.regexp_count(text, F.lit(REVIEW)) >= 2) & (F.length(strip(text)) < 5000)
+    rights = twice(COPYRIGHT, COPYRIGHT_STEMS)
+    reviews = twice(REVIEW, REVIEW_STEMS) & (F.length(strip(text)) < 5000)
     phrase = F.lower(text).contains("table of contents") | F.lower(text).contains("tabla de contenidos")
     return F.coalesce((strip(text) == "") | let(lines_of(text), by_line) | rights | reviews | phrase, F.lit(True))
 

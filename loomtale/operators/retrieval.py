@@ -53,12 +53,24 @@ def snippets(references: DataFrame, chunks: DataFrame, *, limit: int = MAX_SNIPP
 def mentions(chunks: DataFrame, terms: DataFrame, *, limit: int = MAX_MENTIONS, width: int = MENTION_CHARS) -> DataFrame:
     """(doc_id, query, chunk_index, matched_text, snippet): the first ``limit`` per document, by chunk and term.
 
-    terms: doc_id, term_ord, term.  Terms meet the chunks of their own document: an equi-join.
+    terms: doc_id, term_ord, term.  A document's terms become one array, and texts meet it in one equi-join.
     """
-    at = F.col("__at")
-    both = chunks.join(terms, "doc_id").where(F.position(F.lower("term"), F.lower("chunk_text")) > 0)
-    found = both.withColumn("__at", find_term(F.col("chunk_text"), F.col("term"))).where(at.isNotNull())
-    order = Window.partitionBy("doc_id").orderBy("chunk_index", "term_ord")
+    arrays = terms.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("term_ord", "term"))), lambda x: x["term"]).alias("terms"))
+    return mentions_of(chunks.join(arrays, "doc_id"), limit=limit, width=width)
+
+
+def mentions_of(chunks: DataFrame, *, limit: int = MAX_MENTIONS, width: int = MENTION_CHARS) -> DataFrame:
+    """The same where the document's ``terms`` are an array in the chunk's row: no join."""
+
+    def places(text: Column, low: Column) -> Column:
+        # terms that don't occur, most of them, cost a plain search only
+        at = lambda t: F.when(F.position(F.lower(t), low) > 0, find_term(text, t))
+        hits = F.transform(F.col("terms"), lambda t, i: F.struct(i.alias("term_ord"), t.alias("term"), at(t).alias("at")))
+        return F.filter(hits, lambda h: h["at"].isNotNull())
+
+    lowered = chunks.withColumn("__low", F.lower("chunk_text"))
+    found = lowered.select("doc_id", "chunk_index", "chunk_text", F.explode(places(F.col("chunk_text"), F.col("__low"))).alias("hit"))
+    order = Window.partitionBy("doc_id").orderBy("chunk_index", "hit.term_ord")
     top = found.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= limit)
-    size = F.length("term")
-    return top.select("doc_id", F.col("term").alias("query"), "chunk_index", F.substring(F.col("chunk_text"), at + 1, size).alias("matched_text"), window_around(F.col("chunk_text"), at, at + size, width).alias("snippet"))
+    at, size = F.col("hit.at"), F.length("hit.term")
+    return top.select("doc_id", F.col("hit.term").alias("query"), "chunk_index", F.substring(F.col("chunk_text"), at + 1, size).alias("matched_text"), window_around(F.col("chunk_text"), at, at + size, width).alias("snippet"))

@@ -265,8 +265,12 @@ r as (select *, row_number() over (partition by doc_id order by chunk_index, o)
 select doc_id, term as query, chunk_index, substring(chunk_text, pos + 1, length(term)) as matched_text, {_window("chunk_text", "pos", "length(term)", retrieval.MENTION_CHARS)} as snippet from r where n <= {retrieval.MAX_MENTIONS}""")
 def mention_search(spark, d):
     docs = _t(spark, d, "documents")
-    chunks = chunking.chunk(docs, max_chars=CHUNK_CHARS).withColumnRenamed("raw_index", "chunk_index")
-    return retrieval.mentions(chunks, _terms(docs))
+    words = F.split("text", r"[^\p{L}]+", -1)
+    terms = retrieval.clean_terms(F.array(*[F.get(words, F.lit(k)) for k in (5, 20, 40)]))
+    # a generator of one row: the terms are found once a document, not once a chunk
+    with_terms = docs.select("doc_id", "text", F.explode(F.array(terms)).alias("terms"))
+    chunks = with_terms.select("doc_id", "terms", F.posexplode(chunking.chunks_of(F.array("text"), CHUNK_CHARS)).alias("chunk_index", "chunk_text"))
+    return retrieval.mentions_of(chunks)
 
 
 _HEAD900 = f"case when length({_strip('chunk_text')}) <= 900 then {_strip('chunk_text')} else regexp_replace(substring({_strip('chunk_text')}, 1, 900), '\\s+$', '') || '...' end"
@@ -461,12 +465,10 @@ def terminal_cut(spark, d):
     return progress.until_terminal(e).groupBy(F.col("job_id").alias("user_id")).agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_ts"))
 
 
-@query("select user_id, arg_max(event_type, ts) as status, max(ts) as ts from events group by user_id having count(*) = count(distinct ts)")
+@query("select user_id, arg_max(event_type, {'ts': ts, 'event_id': event_id}) as status, arg_max(props, {'ts': ts, 'event_id': event_id}) as error, max(ts) as ts from events group by user_id")
 def latest_status(spark, d):
-    e = _t(spark, d, "events")
-    single = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ts").alias("k")).where("n = k")
-    updates = e.select(F.col("user_id").alias("job_id"), "ts", F.col("event_type").alias("status"), F.lit(None).cast("string").alias("error"))
-    return progress.latest_status(updates).join(single, F.col("job_id") == F.col("user_id"), "left_semi").select(F.col("job_id").alias("user_id"), "status", "ts")
+    updates = _t(spark, d, "events").select(F.col("user_id").alias("job_id"), "ts", "event_id", F.col("event_type").alias("status"), F.col("props").alias("error"))
+    return progress.latest_status(updates, "event_id").select(F.col("job_id").alias("user_id"), "status", "error", "ts")
 
 
 @query("select event_id, (props::json ->> '$.k')::bigint as k from events")
@@ -475,11 +477,10 @@ def props_json(spark, d):
     return _t(spark, d, "events").select("event_id", F.get_json_object(json_object(answer), "$.k").cast("long").alias("k"))
 
 
-@query("select event_id, 'event: progress' || chr(10) || 'data: {\"step\":\"' || event_type || '\",\"message\":\"' || user_id || '\"}' || chr(10) || chr(10) as line from events")
+@query("select 'event: progress' || chr(10) || 'data: {\"step\":\"' || event_type || '\",\"message\":\"' || user_id || ' ' || event_id || '\"}' || chr(10) || chr(10) as line from events")
 def sse_lines(spark, d):
-    e = _t(spark, d, "events").select("event_id", F.lit(None).cast("string").alias("ts"), F.col("event_type").alias("step"), F.lit(None).cast("int").alias("pct"), F.col("user_id").cast("string").alias("message"))
-    body = F.to_json(F.struct("ts", "step", "pct", "message"))
-    return e.select("event_id", F.concat(F.lit("event: progress\ndata: "), body, F.lit("\n\n")).alias("line"))
+    e = _t(spark, d, "events").select(F.lit(None).cast("string").alias("ts"), F.col("event_type").alias("step"), F.lit(None).cast("int").alias("pct"), F.concat_ws(" ", "user_id", "event_id").alias("message"))
+    return progress.as_sse(e).withColumnRenamed("value", "line")
 
 
 @query("select conv_id, turn, substring(sha256(text), 1, 12) as file_id, replace(replace('{{ROLE}}: {{TEXT}}', '{{ROLE}}', role), '{{TEXT}}', text) as prompt from conversations")
@@ -497,18 +498,25 @@ def text_windows(spark, d):
     return _t(spark, d, "documents").select("doc_id", X.head(t, 60).alias("head"), X.window_around(t, F.lit(100), F.lit(110), 120).alias("around"))
 
 
-@query()
+_NO_CODE = "html"
+for _pattern in ("<script[^>]*>.*?</script>", "<style[^>]*>.*?</style>", "<!--.*?-->"):
+    _NO_CODE = f"regexp_replace({_NO_CODE}, '{_pattern}', '<>', 'gs')"
+_TEXTS = f"array_to_string(list_filter(string_split_regex({_NO_CODE}, '<[^>]*>'), lambda x: x <> ''), chr(10))"
+
+
+@query(f"""select page_id, replace(replace(replace(replace({_strip(_TEXTS)}, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') as text from pages""")
 def html_text(spark, d):
     return pages_text(_t(spark, d, "pages"))
 
 
-@query(f"""with p as (select doc_id, {_language("text")} as n from documents where lang in ('en', 'es')), e as (select doc_id, lang as n from documents where lang in ('en', 'es')),
-c as (select count(*) filter (where p.n = e.n) as hits, (select count(*) from p where n <> 'source') as found, count(*) as wanted from p join e using (doc_id))
+@query(f"""with p as (select doc_id, {_language("text")} as n from documents), e as (select doc_id, lang as n from documents where lang in ('en', 'es')),
+c as (select count(*) filter (where p.n = e.n) as hits, (select count(*) from p where n <> 'source') as found, count(e.n) as wanted from p left join e using (doc_id))
 select hits, found, wanted, hits / found as precision, hits / wanted as recall, 2 * hits / (found + wanted) as f1 from c""")
 def eval_metrics(spark, d):
-    docs = _t(spark, d, "documents").where(F.col("lang").isin("en", "es"))
+    docs = _t(spark, d, "documents")
     predicted = docs.select(F.col("doc_id").alias("case_id"), X.detect_language(F.col("text")).alias("name")).where("name <> 'source'")
-    return evaluation.name_metrics(predicted, docs.select(F.col("doc_id").alias("case_id"), F.col("lang").alias("name")))
+    # what the detector can name is expected of it; all documents are asked
+    return evaluation.name_metrics(predicted, docs.where(F.col("lang").isin("en", "es")).select(F.col("doc_id").alias("case_id"), F.col("lang").alias("name")))
 
 
 @query("select count(*) as leak_count from conversations c join (select conv_id, substring(text, 1, 12) as s from conversations where turn = 0) f using (conv_id) where contains(c.text, f.s)")

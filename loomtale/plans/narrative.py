@@ -46,9 +46,9 @@ class Pipeline:
 def language_report(docs: DataFrame, max_chars: int = 400) -> DataFrame:
     """The flagship query: usable documents by detected language, with their narrative chunks."""
     usable = guardrails.passed(docs, guardrails.text_error(F.col("text"))).withColumn("language", detect_language(F.col("text")))
-    # generators of one row each keep the optimizer from writing the chunking out for every use
-    made = usable.select("language", F.explode(F.array(chunking.chunks_of(F.array("text"), max_chars, 1))).alias("chunks"))
-    split = made.select("language", F.size("chunks").alias("n"), F.explode(F.array(F.filter("chunks", lambda c: ~narrative.non_narrative(c)))).alias("kept"))
-    chars = F.aggregate(F.transform("kept", F.length), F.lit(0), lambda a, n: a + n)
-    per_doc = split.select("language", "n", F.size("kept").alias("k"), chars.alias("c"))
-    return per_doc.groupBy("language").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("chunks"), F.sum("k").alias("narrative_chunks"), F.sum("c").alias("narrative_chars"))
+    chunks = usable.select("language", F.posexplode(chunking.chunks_of(F.array("text"), max_chars, 1)).alias("n", "chunk"))
+    # a generator of one row keeps the optimizer from writing the predicate out for every use
+    judged = chunks.select("language", "n", F.length("chunk").alias("chars"), F.explode(F.array(~narrative.non_narrative(F.col("chunk")))).alias("kept"))
+    return judged.groupBy("language").agg(
+        F.count_if(F.col("n") == 0).alias("documents"), F.count(F.lit(1)).alias("chunks"), F.count_if("kept").alias("narrative_chunks"), F.coalesce(F.sum(F.when(F.col("kept"), F.col("chars"))), F.lit(0)).alias("narrative_chars")
+    )

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import html
 import io
+import posixpath
 import zipfile
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -55,10 +56,23 @@ def read_txt(data: bytes) -> list[str]:
 
 
 def read_docx(data: bytes) -> list[str]:
+    """The paragraphs of the body itself, not of tables or text boxes; tabs and breaks are kept."""
     w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+    inline = {f"{w}tab": "\t", f"{w}br": "\n", f"{w}cr": "\n", f"{w}noBreakHyphen": "-"}
+
+    def text(run: ElementTree.Element) -> str:
+        return "".join((c.text or "") if c.tag == f"{w}t" else inline.get(c.tag, "") for c in run)
+
+    def runs(paragraph: ElementTree.Element) -> Iterator[ElementTree.Element]:
+        for c in paragraph:
+            if c.tag == f"{w}r":
+                yield c
+            elif c.tag == f"{w}hyperlink":
+                yield from c.findall(f"{w}r")
+
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        root = ElementTree.fromstring(z.read("word/document.xml"))
-    return ["\n".join("".join(t.text or "" for t in p.iter(f"{w}t")) for p in root.iter(f"{w}p"))]
+        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{w}body")
+    return ["\n".join("".join(map(text, runs(p))) for p in body.findall(f"{w}p"))]
 
 
 def read_epub(data: bytes) -> list[str]:
@@ -68,8 +82,9 @@ def read_epub(data: bytes) -> list[str]:
         package = next(e.get("full-path") for e in container.iter() if e.tag.endswith("rootfile"))
         folder = package.rpartition("/")[0]
         items = [e for e in ElementTree.fromstring(z.read(package)).iter() if e.tag.endswith("}item")]
-        names = [f"{folder}/{e.get('href')}".lstrip("/") for e in items if e.get("media-type") == "application/xhtml+xml"]
-        blocks = [html_text(html.unescape(z.read(n).decode("utf-8", "replace")) if n.endswith(".txt") else z.read(n).decode("utf-8", "replace")) for n in names]
+        hrefs = [unquote(e.get("href").partition("#")[0]) for e in items if e.get("media-type") == "application/xhtml+xml"]
+        names = [posixpath.normpath(posixpath.join(folder, h)).lstrip("/") for h in hrefs]
+        blocks = [html_text(z.read(n).decode("utf-8", "replace")) for n in names]
     return [b for b in blocks if b]
 
 

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 TERMINAL = ("done", "error")
+FORGET_MS = 24 * 3600 * 1000
 EVENT = "job_id string, ts timestamp_ntz, step string, pct int, message string"
 
 
@@ -29,34 +30,56 @@ def log_lines(logs: DataFrame) -> DataFrame:
     return lines.where(F.trim("message") != "")
 
 
+#: Events of one time are in the order of their percent, a terminal one last, then of step and message.
+ORDER = ("ts", "terminal", "pct", "step", "message")
+
+
 def until_terminal(stream: DataFrame) -> DataFrame:
-    """Batch: the events of each job up to its first terminal one."""
-    job = Window.partitionBy("job_id")
-    end = F.min(F.when(F.col("step").isin(*TERMINAL), F.col("ts"))).over(job)
-    return stream.withColumn("__end", end).where(F.col("__end").isNull() | (F.col("ts") <= F.col("__end"))).drop("__end")
+    """Batch: the events of each job up to its first terminal one, in ORDER; none after it.
+
+    Of the events a job ends with, equal rows of the first terminal one all stay.
+    """
+    missing = [F.lit(None).alias(c) for c in ("pct", "message") if c not in stream.columns]
+    keyed = stream.select("*", *missing, F.col("step").isin(*TERMINAL).alias("terminal")) if missing else stream.withColumn("terminal", F.col("step").isin(*TERMINAL))
+    place = F.struct(*ORDER)
+    end = F.min(F.when(F.col("terminal"), place)).over(Window.partitionBy("job_id"))
+    return keyed.withColumn("__end", end).where(F.col("__end").isNull() | (place <= F.col("__end"))).select(*stream.columns)
 
 
 def _open_only(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     closed = state.exists and state.get[0]
-    for rows in batches:
-        if closed:
-            continue
-        rows = rows.sort_values("ts", kind="stable")
-        ends = rows["step"].isin(TERMINAL).to_numpy().nonzero()[0]
+    # the events of one trigger, which are few for a job, are put in order together
+    rows = pd.concat(list(batches), ignore_index=True)
+    if not closed:
+        rows = rows.assign(terminal=rows["step"].isin(TERMINAL)).sort_values(list(ORDER), kind="stable")
+        ends = rows["terminal"].to_numpy().nonzero()[0]
         if len(ends):
             closed, rows = True, rows.iloc[: ends[0] + 1]
-        yield rows
+        yield rows.drop(columns="terminal")
     state.update((bool(closed),))
+    state.setTimeoutDuration(FORGET_MS)
 
 
 def stream_until_terminal(stream: DataFrame) -> DataFrame:
-    """Stream: a job's events until a terminal one has been seen; the state is one flag a job."""
-    return stream.groupBy("job_id").applyInPandasWithState(_open_only, EVENT, "closed boolean", "append", GroupStateTimeout.NoTimeout)
+    """Stream: a job's events until a terminal one has been seen, those of a trigger in ORDER.
+
+    The state is one flag a job; it is forgotten when a job has been silent for FORGET_MS.
+    """
+    return stream.groupBy("job_id").applyInPandasWithState(_open_only, EVENT, "closed boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def latest_status(updates: DataFrame, *tie: str) -> DataFrame:
+    """The last status of each job with its error, both of one event; of events of one time the last by ``tie``, then status and error."""
+    last = F.max_by(F.struct("status", "error", "ts"), F.struct("ts", *tie, "status", "error"))
+    return updates.groupBy("job_id").agg(last.alias("last")).select("job_id", "last.status", "last.error", "last.ts")
 
 
-def latest_status(updates: DataFrame) -> DataFrame:
-    """The last status, error and result of each job."""
-    return updates.groupBy("job_id").agg(F.max_by("status", "ts").alias("status"), F.max_by("error", "ts").alias("error"), F.max("ts").alias("ts"))
+def write_results(cards: DataFrame, path: str) -> None:
+    """The cards of each job as one JSON line a card, in a folder for each document; a second run replaces the folders it writes."""
+    cards.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").json(path)
 
 
 def as_sse(stream: DataFrame) -> DataFrame:
