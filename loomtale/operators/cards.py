@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -69,22 +70,40 @@ CARD = "main_name string, aliases array<string>, description string, image_promp
 Generator = Callable[[dict], dict]
 
 
+#: What a generator is told of a character.
+PAYLOAD = ("canonical_name", "entity_type", "aliases", "identity_names", "specific_appellations", "traits", "scalars", "confidence", "needs_llm_review", "reasons", "references")
+
+
+def payload(characters: DataFrame) -> DataFrame:
+    """``characters`` with ``payload``, JSON of PAYLOAD, references_count and, where there is one, ``source``."""
+    more = ["source"] if "source" in characters.columns else []
+    facts = F.struct(*PAYLOAD, F.size("references").alias("references_count"), *more)
+    return characters.withColumn("payload", F.to_json(facts))
+
+
 def plain_card(character: dict) -> dict:
-    """A card without a model: the facts in a sentence each."""
-    facts = [f"{k}: {', '.join(v)}" for k, v in sorted((character.get("facts") or {}).items()) if v is not None and len(v)]
+    """A card without a model: a sentence for each field that has values."""
+    single = {k: [x["value"]] for k, x in (character.get("scalars") or {}).items()}
+    lists = {k: [x["value"] for x in v] for k, v in (character.get("traits") or {}).items()}
+    named = {"names": [x["value"] for x in character.get("identity_names") or []]}
+    facts = [f"{k}: {', '.join(v)}" for k, v in sorted((named | single | lists).items()) if v]
     name = character["canonical_name"]
-    return {"main_name": name, "aliases": list(character["aliases"]), "description": ". ".join(facts), "image_prompt": ", ".join([name, *facts]), "confidence": character["confidence"], "warnings": []}
+    return {"main_name": name, "aliases": list(character.get("aliases") or []), "description": ". ".join(facts), "image_prompt": ", ".join([name, *facts]), "confidence": character.get("confidence"), "warnings": []}
 
 
 def generate_cards(characters: DataFrame, generator: Generator = plain_card) -> DataFrame:
-    """``characters`` with the generator's card; a failure gives a low card with a warning.
+    """The generator's card for each character (a row with ``payload``, or all its columns); a failure gives a low card with a warning.
 
-    Calls run in Arrow batches, one for each eligible character, wherever its row is.
+    Calls run in Arrow batches, one for each row, wherever it is; ``Pipeline.cards`` gives eligible characters only.
     """
+    if "payload" not in characters.columns:
+        characters = characters.withColumn("payload", F.to_json(F.struct("*")))
+    review = F.col("needs_llm_review") if "needs_llm_review" in characters.columns else F.lit(False)
+    rows = characters.select("doc_id", "canonical_name", review.alias("needs_llm_review"), "payload")
 
     def one(row: dict) -> dict:
         try:
-            card = generator(row)
+            card = generator(json.loads(row["payload"]))
         except Exception as e:  # noqa: BLE001 - the provider's errors end in the card
             card = {"main_name": row["canonical_name"], "aliases": [], "description": "", "image_prompt": "", "confidence": "low", "warnings": [str(e)]}
         if row.get("needs_llm_review"):
@@ -96,4 +115,4 @@ def generate_cards(characters: DataFrame, generator: Generator = plain_card) ->
             made = pd.DataFrame([one(r) for r in rows.to_dict("records")], columns=["main_name", "aliases", "description", "image_prompt", "confidence", "warnings"])
             yield pd.concat([rows[["doc_id", "canonical_name"]].reset_index(drop=True), made], axis=1)
 
-    return normalize_cards(characters.mapInPandas(run, "doc_id long, canonical_name string, " + CARD))
+    return normalize_cards(rows.mapInPandas(run, "doc_id long, canonical_name string, " + CARD))

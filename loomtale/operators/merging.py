@@ -22,22 +22,25 @@ def merge_references(observed: DataFrame, by: tuple[str, ...] = GROUP) -> DataFr
     return first.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "chunk_index", "local_id"))), lambda r: F.struct(r["chunk_index"].alias("chunk_index"), r["local_id"].alias("local_id"))).alias("references"))
 
 
-def merge_values(traits: DataFrame, attributes: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each distinct normal value of a field: the first item's value and attributes, all references."""
+def merge_values(traits: DataFrame, attributes: tuple[str, ...] = (), keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each distinct normal value of a field (and normal ``keys``): the first item's value and attributes, all references."""
     keyed = traits.withColumn("value_norm", normalize(F.col("value"))).where(F.coalesce(F.col("value_norm"), F.lit("")) != "")
-    by = (*GROUP, "section", "field", "value_norm")
+    keyed = keyed.withColumns({f"{k}_norm": F.coalesce(normalize(F.col(k)), F.lit("")) for k in keys}) if keys else keyed
+    by = (*GROUP, "section", "field", "value_norm", *[f"{k}_norm" for k in keys])
     items = keyed.groupBy(*by).agg(F.min("ord").alias("ord"), *[F.min_by(c, "ord").alias(c) for c in ("value", *attributes)])
     return items.join(merge_references(keyed, by), list(by))
 
 
 def merge_scalars(traits: DataFrame) -> DataFrame:
-    """One row for each group and field: the first value, its number of references, the other values in order."""
+    """One row for each group and field: the first value with its references, and the other values with theirs, in order."""
     keyed = traits.withColumn("value_norm", normalize(F.col("value"))).where(F.coalesce(F.col("value_norm"), F.lit("")) != "")
     by = (*GROUP, "section", "field")
-    values = keyed.groupBy(*by, "value_norm").agg(F.min("ord").alias("ord"), F.min_by("value", "ord").alias("value"), F.count_distinct("chunk_index", "local_id").alias("n_references"))
-    ordered = F.array_sort(F.collect_list(F.struct("ord", "value", "n_references")))
-    out = values.groupBy(*by).agg(ordered.alias("__v"))
-    return out.select(*by, F.col("__v")[0]["value"].alias("value"), F.col("__v")[0]["n_references"].alias("n_references"), F.transform(F.slice("__v", 2, F.size("__v")), lambda v: v["value"]).alias("conflicts"))
+    values = keyed.groupBy(*by, "value_norm").agg(F.min("ord").alias("ord"), F.min_by("value", "ord").alias("value"))
+    values = values.join(merge_references(keyed, (*by, "value_norm")), [*by, "value_norm"])
+    out = values.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("ord", "value", "references"))).alias("v"))
+    others = F.transform(F.slice("v", 2, F.size("v")), lambda v: F.struct(v["value"].alias("value"), v["references"].alias("references")))
+    first = F.col("v")[0]
+    return out.select(*by, first["value"].alias("value"), first["references"].alias("references"), F.size(first["references"]).cast("long").alias("n_references"), others.alias("conflicts"))
 
 
 def type_rank(kind: Column) -> Column:
@@ -69,3 +72,10 @@ def append_unique(values: DataFrame, by: tuple[str, ...] = GROUP) -> DataFrame:
 
 def confidence(needs_review: Column, n_reasons: Column, n_references: Column, n_aliases: Column) -> Column:
     return F.when(needs_review | (n_reasons > 0), "low").when((n_references >= 3) | (n_aliases >= 2), "high").otherwise("medium")
+
+
+def append_unique_objects(items: DataFrame, key: str, by: tuple[str, ...] = GROUP) -> DataFrame:
+    """Structs (column ``item``) distinct by the normal form of one of their fields, the first of each, in order, as an array."""
+    keyed = items.withColumn("key_norm", normalize(F.col(f"item.{key}"))).where(F.coalesce(F.col("key_norm"), F.lit("")) != "")
+    first = keyed.groupBy(*by, "key_norm").agg(F.min("ord").alias("ord"), F.min_by("item", "ord").alias("item"))
+    return first.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "item"))), lambda x: x["item"]).alias("items"))

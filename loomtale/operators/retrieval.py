@@ -59,8 +59,8 @@ def mentions(chunks: DataFrame, terms: DataFrame, *, limit: int = MAX_MENTIONS,
     return mentions_of(chunks.join(arrays, "doc_id"), limit=limit, width=width)
 
 
-def mentions_of(chunks: DataFrame, *, limit: int = MAX_MENTIONS, width: int = MENTION_CHARS) -> DataFrame:
-    """The same where the document's ``terms`` are an array in the chunk's row: no join."""
+def mentions_of(chunks: DataFrame, *, limit: int = MAX_MENTIONS, width: int = MENTION_CHARS, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The same where the ``terms`` are an array in the chunk's row: no join; the limit is for each ``by``."""
 
     def places(text: Column, low: Column) -> Column:
         # terms that don't occur, most of them, cost a plain search only
@@ -69,8 +69,23 @@ def mentions_of(chunks: DataFrame, *, limit: int = MAX_MENTIONS, width: int = ME
         return F.filter(hits, lambda h: h["at"].isNotNull())
 
     lowered = chunks.withColumn("__low", F.lower("chunk_text"))
-    found = lowered.select("doc_id", "chunk_index", "chunk_text", F.explode(places(F.col("chunk_text"), F.col("__low"))).alias("hit"))
-    order = Window.partitionBy("doc_id").orderBy("chunk_index", "hit.term_ord")
+    found = lowered.select(*by, "chunk_index", "chunk_text", F.explode(places(F.col("chunk_text"), F.col("__low"))).alias("hit"))
+    order = Window.partitionBy(*by).orderBy("chunk_index", "hit.term_ord")
     top = found.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= limit)
     at, size = F.col("hit.at"), F.length("hit.term")
-    return top.select("doc_id", F.col("hit.term").alias("query"), "chunk_index", F.substring(F.col("chunk_text"), at + 1, size).alias("matched_text"), window_around(F.col("chunk_text"), at, at + size, width).alias("snippet"))
+    return top.select(*by, F.col("hit.term").alias("query"), "chunk_index", F.substring(F.col("chunk_text"), at + 1, size).alias("matched_text"), window_around(F.col("chunk_text"), at, at + size, width).alias("snippet"))
+
+
+def source_context(asked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(doc_id, key, snippets, mentions) for characters: doc_id, key, references, terms.
+
+    Snippets are of chunks that refer to the character, mentions of any chunk of its document; both are
+    bounded in number and length, so that a character's row stays small.
+    """
+    refs = asked.select("doc_id", F.col("key").alias("char_ord"), F.posexplode("references").alias("ord", "r"), "terms")
+    refs = refs.select("doc_id", "char_ord", "ord", "r.chunk_index", "r.local_id", "terms")
+    shown = snippets(refs, chunks).groupBy("doc_id", F.col("char_ord").alias("key")).agg(F.array_sort(F.collect_list(F.struct("ord", "chunk_index", "snippet"))).alias("snippets"))
+    named = asked.select("doc_id", "key", clean_terms(F.col("terms")).alias("terms"))
+    met = mentions_of(chunks.select("doc_id", "chunk_index", "chunk_text").join(named, "doc_id"), by=("doc_id", "key"))
+    met = met.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "query", "snippet"))).alias("mentions"))
+    return asked.select("doc_id", "key").join(shown, ["doc_id", "key"], "left").join(met, ["doc_id", "key"], "left")

@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..functions import vocabulary as V
 from ..functions.json_repair import json_object
 from ..operators import cards, chunking, consolidation, evaluation, extraction, guardrails, merging, narrative, pairing, retrieval
+from ..operators.lineage import cut
 from ..sources.readers import pages_text
 from ..streaming import progress
 from .narrative import Pipeline, language_report
@@ -386,7 +387,7 @@ def merge_traits(spark, d):
 select user_id as doc_id, arg_min(event_type, o) as value, arg_min(n, o) as n_references, coalesce(array_to_string(list_slice(list(event_type order by o), 2, 99), ','), '') as conflicts from v group by user_id""")
 def scalar_conflicts(spark, d):
     merged = merging.merge_scalars(_traits(spark, d))
-    return merged.select("doc_id", "value", "n_references", F.array_join("conflicts", ",").alias("conflicts"))
+    return merged.select("doc_id", "value", "n_references", F.array_join(F.transform("conflicts", lambda c: c["value"]), ",").alias("conflicts"))
 
 
 _TYPES = ["name", "alias", "title", "specific_appellation"]
@@ -527,20 +528,50 @@ def leak_count(spark, d):
 
 
 def _observations(spark, d):
-    """Parts as observed characters: a brand is a book, a size is a chunk."""
-    p = _t(spark, d, "part")
+    """Parts as observed characters: 40 parts are a book, so that there are more books as the table grows, not larger ones."""
+    p, k = _t(spark, d, "part"), F.col("p_partkey")
+    name = F.when(k % 7 == 0, F.substring_index("p_name", " ", 1)).when(k % 11 == 0, F.concat(F.lit("Dr. "), "p_name")).when(k % 13 == 0, "un hombre").otherwise(F.col("p_name"))
+    value = lambda v: F.struct(v.alias("value"))
+    gender = F.when(F.col("p_size") % 3 == 0, "Femenino").when(F.col("p_size") % 3 == 1, "masculino")
     character = F.to_json(
         F.struct(
-            F.concat(F.lit("char_"), F.col("p_partkey").cast("string")).alias("local_id"), F.initcap("p_name").alias("display_name"), F.lit("named").alias("reference_type"),
-            F.struct(F.array(F.struct(F.initcap(F.substring_index("p_name", " ", 2)).alias("value"))).alias("name_variants")).alias("identity"),
+            F.concat(F.lit("char_"), k.cast("string")).alias("local_id"), name.alias("display_name"), F.when(k % 3 != 0, "named").otherwise("descriptive").alias("reference_type"),
+            F.struct(F.array(value(name)).alias("name_variants"), F.when(k % 11 == 0, F.array(value(F.lit("doctor")))).alias("titles_roles_descriptors")).alias("identity"),
+            F.struct(value(gender).alias("gender"), value(F.when(F.col("p_size") % 5 == 0, "adulto")).alias("apparent_age"), F.when(k % 2 == 0, F.array(value(F.col("p_type")))).alias("physical_traits")).alias("appearance"),
+            F.struct(F.when(k % 4 == 0, F.array(F.struct(F.col("p_brand").alias("target"), F.lit("rival").alias("relation")))).alias("relationships")).alias("social_context"),
+            F.struct(F.when(k % 5 == 0, F.array(value(F.lit("runs")))).alias("actions")).alias("scene_context"),
         )
     )
     one = F.from_json(character, extraction.CHARACTER)
-    rows = p.select(F.substring("p_brand", 7, 3).cast("long").alias("doc_id"), F.col("p_size").cast("int").alias("chunk_index"), F.col("p_partkey"), one.alias("c"))
+    rows = p.select(F.floor(k / 40).cast("long").alias("doc_id"), (F.col("p_size") % 9).cast("int").alias("chunk_index"), k, one.alias("c"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", F.struct("c").alias("x")))), lambda r: r["x"]["c"])
     return rows.groupBy("doc_id", "chunk_index").agg(ordered.alias("characters"))
 
 
+@query("""with o as (select p_partkey // 40 as doc_id, {'c': p_size % 9, 'k': p_partkey} as o, p_partkey as k, p_type, p_brand,
+  case when p_partkey % 7 = 0 then split_part(p_name, ' ', 1) when p_partkey % 11 = 0 then p_name when p_partkey % 13 = 0 then 'unknown' else p_name end as name,
+  p_partkey % 7 > 0 and p_partkey % 11 = 0 as titled, p_partkey % 7 > 0 and p_partkey % 11 > 0 and p_partkey % 13 = 0 as nobody, case p_size % 3 when 0 then 'Femenino' when 1 then 'masculino' end as gender, case when p_size % 5 = 0 then 'adulto' end as age from part),
+g as (select doc_id, name as canonical_name, case when arg_min(k % 3 <> 0, o) then 'named' else 'descriptive' end as entity_type, count(*) as n_references,
+  case when bool_or(nobody) then 0 else 1 + bool_or(titled)::int end as n_names, not bool_or(nobody) as named_once, arg_min(gender, o) filter (where gender is not null) as gender, greatest(count(distinct gender) - 1, 0) as n_conflicts,
+  count(age) > 0 as aged, count(distinct p_type) filter (where k % 2 = 0) as ph, count(distinct p_brand) filter (where k % 4 = 0) as re, (count(*) filter (where k % 5 = 0) > 0)::int as ac, (count(*) filter (where k % 11 = 0) > 0)::int as ti from o group by doc_id, name),
+h as (select *, ph + re + ac + ti as n_items, case when n_conflicts > 0 then 'low' when n_references >= 3 then 'high' else 'medium' end as confidence, (gender is not null)::int + aged::int + least(ph, 3) + least(re, 3) + ac + ti as substance from g)
+select doc_id, canonical_name, entity_type, n_references, n_names, gender, n_conflicts, n_items, confidence, substance::int as substance, canonical_name <> 'unknown' and n_references >= 1 and
+  ((entity_type = 'named' and substance >= 1) or substance >= 2) as eligible from h
+where not (n_references < 2 and n_names < 1 and entity_type <> 'named' and ac = 0) and not (confidence = 'low' and n_references <= 1 and n_names < 1)""")
+def grouped_characters(spark, d):
+    """Characters of one name each: traits, scalars and references merged, anecdotal ones dropped, eligibility."""
+    rows = cut(consolidation.observed(_observations(spark, d)))
+    alone = consolidation.groups(rows).select("doc_id", "group_key", F.col("group_key").alias("cluster"), F.lit(0).alias("member"), F.lit(False).alias("needs_review"), F.array().cast("array<string>").alias("reasons"))
+    found = consolidation.characters(rows, alone)
+    found = found.where(~consolidation.anecdotal(found))
+    items = F.aggregate(F.map_values("traits"), F.lit(0), lambda a, x: a + F.size(x)).cast("long")
+    gender = F.try_element_at("scalars", F.lit("gender"))
+    return found.select(
+        "doc_id", "canonical_name", "entity_type", F.size("references").cast("long").alias("n_references"), F.size("identity_names").alias("n_names"), gender["value"].alias("gender"),
+        F.coalesce(F.size(gender["conflicts"]), F.lit(0)).cast("long").alias("n_conflicts"), items.alias("n_items"), "confidence", cards.substance(consolidation.substance_counts(found)).alias("substance"), consolidation.eligible(found).alias("eligible"),
+    )
+
+
 @query()
 def consolidate_full(spark, d):
     found = Pipeline().consolidate(_observations(spark, d))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..functions.text import detect_language
-from ..operators import cards, chunking, consolidation, extraction, guardrails, narrative
+from ..operators import cards, chunking, consolidation, extraction, guardrails, narrative, retrieval
+from ..operators.lineage import cut
+from ..streaming import progress
 
 
 @dataclass(frozen=True)
@@ -30,17 +32,35 @@ class Pipeline:
         return narrative.narrative_chunks(chunking.chunk(usable, max_chars=self.max_chars, overlap=self.overlap))
 
     def characters(self, docs: DataFrame) -> DataFrame:
-        return self.consolidate(extraction.extract(self.chunks(docs), self.extractor))
+        chunks = self.chunks(docs)
+        return self.consolidate(extraction.extract(chunks, self.extractor), chunks)
 
-    def consolidate(self, observations: DataFrame) -> DataFrame:
-        """Observations to characters; they are read twice, so give a table if extraction is costly."""
-        rows = consolidation.observed(observations)
-        assigned = consolidation.clusters(consolidation.groups(rows), self.resolver, merge=self.merge, review=self.review)
-        return consolidation.characters(rows, assigned)
+    def consolidate(self, observations: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+        """Observations to characters, those with too little evidence aside; a resolver is shown their source if there are chunks.
 
-    def cards(self, found: DataFrame) -> DataFrame:
-        facts = found.select("doc_id", "canonical_name", "aliases", "confidence", "needs_llm_review", F.create_map(F.lit("names"), F.col("identity_names")).alias("facts"))
-        return cards.generate_cards(facts, self.generator)
+        Observed characters, their groups and clusters are read more than once, so they are checkpointed:
+        models are asked once, and the rest starts from small plans.
+        """
+        rows = cut(consolidation.observed(observations))
+        found = cut(consolidation.groups(rows))
+        assigned = cut(consolidation.clusters(found, self.resolver, merge=self.merge, review=self.review, chunks=chunks))
+        whole = consolidation.characters(rows, assigned)
+        return whole.where(~consolidation.anecdotal(whole))
+
+    def cards(self, found: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+        """A card for each eligible character; the generator is shown its source if there are chunks."""
+        chosen = found.where(consolidation.eligible(found))
+        if chunks is not None:
+            key = F.struct("ord", "canonical_name")
+            names = F.concat(F.array("canonical_name"), "aliases", "specific_appellations", F.transform("identity_names", lambda n: n["value"]))
+            source = retrieval.source_context(chosen.select("doc_id", key.alias("key"), "references", names.alias("terms")), chunks)
+            chosen = chosen.withColumn("key", key).join(source.select("doc_id", "key", F.struct("snippets", "mentions").alias("source")), ["doc_id", "key"], "left")
+        return cards.generate_cards(cards.payload(chosen), self.generator)
+
+    def events(self, chunks: DataFrame, ts: Column) -> DataFrame:
+        """A progress event for each chunk to be read, by document: what a job reports while it extracts."""
+        counts = chunks.select(F.col("doc_id").cast("string").alias("job_id"), ts.alias("ts"), (F.col("chunk_index") + 1).alias("i"), F.count(F.lit(1)).over(Window.partitionBy("doc_id")).alias("n"))
+        return progress.events(counts, "extraction", "chunk {i} of {n}", 5, 95)
 
 
 def language_report(docs: DataFrame, max_chars: int = 400) -> DataFrame:

@@ -95,9 +95,11 @@ def test_merges(spark):
     rows = [(1, "g", "s", "gender", v, c, l, o) for o, (v, c, l) in enumerate([("femenino", 0, "a"), ("Femenino", 1, "b"), ("masculino", 0, "a")])]
     traits = spark.createDataFrame(rows, "doc_id long, group_key string, section string, field string, value string, chunk_index int, local_id string, ord int")
     scalar = merging.merge_scalars(traits).first()
-    assert (scalar["value"], scalar["n_references"], scalar["conflicts"]) == ("femenino", 2, ["masculino"])
+    assert (scalar["value"], scalar["n_references"], [(c["value"], [tuple(r) for r in c["references"]]) for c in scalar["conflicts"]]) == ("femenino", 2, [("masculino", [(0, "a")])])
     assert [tuple(r) for r in merging.merge_references(traits).first()["references"]] == [(0, "a"), (1, "b")]
     assert merging.append_unique(traits).first()["values"] == ["femenino", "masculino"]
+    objects = traits.withColumn("item", F.struct("value", "chunk_index"))
+    assert [tuple(x) for x in merging.append_unique_objects(objects, "value").first()["items"]] == [("femenino", 0), ("masculino", 0)]
 
 
 def observation(chunk, name, **more):
@@ -122,10 +124,100 @@ def test_review_and_resolver(spark):
     unsure = Pipeline().consolidate(seen).collect()
     assert len(unsure) == 2 and all(r["confidence"] == "low" for r in unsure)
     resolved = Pipeline(resolver=lambda a, b, s: True).consolidate(seen).collect()
-    assert len(resolved) == 1 and resolved[0]["confidence"] == "low"
+    assert len(resolved) == 1 and resolved[0]["confidence"] == "low" and not resolved[0]["needs_llm_review"]
     assert len(Pipeline(resolver=lambda a, b, s: False).consolidate(seen).collect()) == 2
 
 
+def rich(chunk, name, kind="named", **more):
+    """An observed character with traits."""
+    items = lambda *v: [{"value": x} for x in v]
+    return (1, chunk, [{"local_id": f"char_{chunk}", "display_name": name, "reference_type": kind, "identity": {"name_variants": items(name), "titles_roles_descriptors": [{"value": "capitana", "type": "role", "evidence_quote": "q"}] if more.get("title") else []},
+        "appearance": {"gender": {"value": more["gender"]} if more.get("gender") else None, "physical_traits": items(*more.get("physical", []))},
+        "social_context": {"relationships": [{"target": t, "relation": r} for t, r in more.get("relations", [])]}, "motivations_goals": items(*more.get("goals", [])), "scene_context": {"actions": items(*more.get("actions", []))}}])
+
+
+def test_whole_characters(spark, tmp_path):
+    seen = observations(
+        spark, rich(0, "Ines Rios", gender="femenino", physical=["Alta", "morena"], relations=[("Bruno", "hermana"), ("Eva", "hermana")], title=True),
+        rich(1, "Capitana Ines Rios", gender="masculino", physical=["alta"], goals=["volver"]), rich(5, "un hombre", "descriptive"), rich(7, "Bruno", actions=["corre"]),
+    )
+    p = Pipeline()
+    found = p.consolidate(seen)
+    by = {r["canonical_name"]: r for r in found.collect()}
+    assert set(by) == {"Ines Rios", "Bruno"}  # "un hombre" has too little evidence
+    ines = by["Ines Rios"]
+    assert [x["value"] for x in ines["traits"]["physical_traits"]] == ["Alta", "morena"]
+    assert [tuple(r) for r in ines["traits"]["physical_traits"][0]["references"]] == [(0, "char_0"), (1, "char_1")]
+    assert [(x["target"], x["value"]) for x in ines["traits"]["relationships"]] == [("Bruno", "hermana"), ("Eva", "hermana")]
+    assert ines["traits"]["motivations_goals"][0]["value"] == "volver" and ines["traits"]["titles_roles_descriptors"][0]["type"] == "role"
+    gender = ines["scalars"]["gender"]
+    assert gender["value"] == "femenino" and [c["value"] for c in gender["conflicts"]] == ["masculino"]
+    assert ines["needs_llm_review"] and ines["confidence"] == "low" and ines["reasons"] == ["conflict"]
+    chunks = spark.createDataFrame([(1, 0, "Then Ines Rios came."), (1, 1, "Capitana Ines Rios left."), (1, 7, "Bruno runs.")], "doc_id long, chunk_index int, chunk_text string")
+    made = {r["main_name"]: r for r in p.cards(found, chunks).collect()}
+    assert set(made) == {"Ines Rios", "Bruno"} and made["Ines Rios"]["id"] == "ines-rios"
+    assert "physical_traits: Alta, morena" in made["Ines Rios"]["description"] and made["Ines Rios"]["warnings"] == ["identity needs review"]
+    echo = lambda c: {"main_name": c["canonical_name"], "aliases": [], "description": c["source"]["snippets"][0]["snippet"], "image_prompt": str(c["references_count"]), "confidence": "high", "warnings": []}
+    shown = {r["main_name"]: r for r in Pipeline(generator=echo).cards(found, chunks).collect()}
+    assert shown["Ines Rios"]["description"] == "Then Ines Rios came." and shown["Ines Rios"]["image_prompt"] == "2"
+    assert "evidence_quote" not in str(found.schema)
+    for _ in range(2):
+        progress.write_results(p.cards(found), str(tmp_path / "results"))
+    assert {r["main_name"] for r in spark.read.json(str(tmp_path / "results")).collect()} == {"Ines Rios", "Bruno"}
+
+
+def test_resolver_contract(spark):
+    seen = observations(spark, observation(0, "Ines Rios"), observation(9, "Rios"))
+    chunks = spark.createDataFrame([(1, 0, "Here is Ines Rios."), (1, 9, "Only Rios here.")], "doc_id long, chunk_index int, chunk_text string")
+
+    def sees_source(a, b, s):
+        ok = a["source"]["snippets"][0]["snippet"] == "Here is Ines Rios." and [m["chunk_index"] for m in b["source"]["mentions"]] == [0, 9]
+        return {"should_merge": ok, "confidence": "odd", "reason": "same"}
+
+    merged = Pipeline(resolver=sees_source).consolidate(seen, chunks).collect()
+    assert len(merged) == 1 and merged[0]["reasons"] == ["merged with rios: same"]
+    assert len(Pipeline(resolver=lambda a, b, s: '{"should_merge": true}').consolidate(seen).collect()) == 1
+    for answer in ("[1]", {"should_merge": "true"}, None, 1):
+        assert not consolidation.coerced(answer)["should_merge"]
+
+    def fails(a, b, s):
+        raise RuntimeError("no model")
+
+    assert all("no model" in r["reasons"][0] for r in Pipeline(resolver=fails).consolidate(seen).collect())
+    assert consolidation.coerced({"should_merge": 1, "confidence": "high", "reason": 3}) == {"should_merge": False, "confidence": "high", "reason": ""}
+
+
+def test_greedy_passes_against_all_pairs(spark):
+    """Looking at pairs that can meet only, scored by Spark, gives what looking at all pairs gives."""
+    from loomtale.plans import catalog
+
+    found = consolidation.groups(consolidation.observed(catalog._observations(spark, "/root/testdata/sf0.001"))).cache()
+    got = {(r["doc_id"], r["group_key"]): r["cluster"] for r in consolidation.clusters(found).collect()}
+    books = {}
+    for r in found.collect():
+        books.setdefault(r["doc_id"], []).append(r.asDict())
+    merged = 0
+    for doc, rows in books.items():
+        live = [r | {"members": [r["group_key"]], "reasons": []} for r in sorted(rows, key=lambda r: (r["ord"]["chunk_index"], r["ord"]["char_ord"]))]
+        for _ in range(consolidation.PASSES):
+            before, kept = len(live), []
+            while live:
+                base, rest = live[0], []
+                for other in live[1:]:
+                    if consolidation.pair_score(base, other) >= 0.9:
+                        consolidation._absorb(base, other)
+                    else:
+                        rest.append(other)
+                kept.append(base)
+                live = rest
+            live = kept
+            if len(live) == before:
+                break
+        merged += len(rows) - len(live)
+        assert {k: got[doc, k] for g in live for k in g["members"]} == {k: g["group_key"] for g in live for k in g["members"]}
+    assert merged > 5
+
+
 def test_components(spark):
     seen = observations(spark, observation(0, "Elena Vargas", gender="f"), observation(1, "Dra. Elena Vargas", gender="f"), observation(5, "Otro"))
     found = consolidation.groups(consolidation.observed(seen))
@@ -141,8 +233,8 @@ def test_extraction_errors_and_cards(spark):
     assert failed["error"] == "no model" and failed["characters"] == []
     p = Pipeline()
     found = p.consolidate(extraction.extract(chunks))
-    made = {r["main_name"]: r for r in p.cards(found).collect()}
-    assert set(made) == {"Elena Vargas", "Bruno"} and made["Elena Vargas"]["id"] == "elena-vargas"
+    assert {r["canonical_name"] for r in found.collect()} == {"Elena Vargas", "Bruno"}
+    assert p.cards(found).count() == 0  # nothing is known of them but their names
     low = cards.generate_cards(found.select("doc_id", "canonical_name"), broken).first()
     assert low["confidence"] == "low" and low["warnings"] == ["no model"]
 
