@@ -43,7 +43,7 @@ PER_CLASS, LONGEST = 4_000, 16_384
 #: Lengths of word beginnings, rows and share of toxic rows that a feature needs, odds it needs, features kept at most.
 BEGINNINGS, LEAST_ROWS, LEAST_SHARE, LEAST_ODDS, FEATURES = (4, 5, 6), 3, 0.015, 20.0, 20_000
 #: Shingles of so many words, of which a row's so many least hashes tell copies, if so many are those of one earlier row.
-COPY_WORDS, COPY_HASHES, COPY_SHARED = 3, 24, 6
+COPY_WORDS, COPY_HASHES, COPY_SHARED = 3, 24, 3
 #: Share of the feature trigrams in the mixed language model.
 MIX = 0.3
 

@@ -9,14 +9,19 @@ from loomtale.llm import chat, compress_quality, decontam, host_quality, near_de
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 LONG = " ".join(f"word{i % 700} other{i}" for i in range(20_000)) + "."
 SHORT = "A short text. It has a few words in it. And then it ends here."
-CLASHING = "n_words long, score double, kept string, ids string, decoded string, restored string, removed string, class_id string, first string, n_tokens string, hit_items string"
+CLASHING = ["n_words", "Score", "KEPT", "IDS", "decoded", "Restored", "removed", "Class_Id", "first", "class_size", "N_TOKENS", "hit_items", "Cleaned", "n_sentences", "host_rate", "base_failed", "__host", "__spans", "__class", "__id", "id", "k", "node", "host", "w1", "spans", "c0", "c3", "a`b", "x.y", "x y", "item", "part", "counted"]
+#: Of those, what an operator's results replace, by operator, in lower case.
+RESULTS = {
+    "encode": {"ids", "decoded"}, "count": {"n_tokens"}, "judge": {"n_words", "base_failed", "host_rate", "kept"}, "decontaminate": {"n_words", "hit_items", "cleaned"},
+    "sentences": {"n_sentences", "kept"}, "phrases": {"removed", "kept"}, "near": {"class_id", "class_size", "first"}, "quality": {"score"}, "toxicity": {"restored", "score"},
+}
 ROWS = [(1, SHORT, "a"), (1, SHORT, "a"), (2, None, "a"), (3, "", None), (None, SHORT + " More of it.", "b"), (4, LONG, "b"), (5, "  \n\t ", "b"), (6, "ß é 日本 😀 \x00", "b"), (1, "another text of the same number", "a")]
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
     base = spark.createDataFrame(ROWS, "doc_id long, text string, source string")
-    return base.select("*", *[F.lit(None).cast(part.split()[1]).alias(part.split()[0]) for part in CLASHING.split(", ")]).repartition(3)
+    return base.select("*", *[F.lit(f"user's {c}").alias(c) for c in CLASHING]).repartition(3)
 
 
 @pytest.fixture(scope="module")
@@ -51,6 +56,57 @@ def test_odd_rows_keep_their_place(name, docs, labels, benchmark):
     assert twins[0] == twins[1]
 
 
+@pytest.mark.parametrize("name", OPERATORS)
+def test_other_columns_stay_as_they_are(name, docs, labels, benchmark):
+    out = OPERATORS[name](docs, labels, benchmark)
+    low = [c.lower() for c in out.columns]
+    assert len(set(low)) == len(low)
+    others = [c for c in CLASHING if c.lower() not in RESULTS[name]]
+    assert [c for c in out.columns if c in others] == others
+    assert RESULTS[name] <= {c for c in out.columns if c not in others}
+    rows = out.toDF(*[f"n{i}" for i in range(len(out.columns))]).collect()
+    assert all(r[f"n{out.columns.index(c)}"] == f"user's {c}" for r in rows for c in others)
+
+
+@pytest.mark.parametrize("name", ["sentences", "phrases", "near"])
+def test_ids_that_are_no_integers_are_refused(name, docs):
+    with pytest.raises(TypeError, match="doc_id must be an integer"):
+        OPERATORS[name](docs.withColumn("doc_id", F.col("doc_id").cast("string")), None, None)
+
+
+def test_a_missing_column_is_named(docs):
+    with pytest.raises(ValueError, match="no column body"):
+        sp_codec.encode_decode(docs, PIECES, text="body")
+
+
+STAGE_ROWS = [(1, SHORT + " " + LONG[:400], "en", "h", 3), (1, SHORT + " " + LONG[:400], "en", "h", 3), (2, None, None, None, None), (3, "", "en", "h", 0), (None, " ".join(f"z{i}" for i in range(60)), "en", None, 9), (4, LONG, None, "h", 1), (5, " ".join(f"q{i}" for i in range(40)) + " It has a few words", "en", "g", 2)]
+
+
+@pytest.mark.parametrize(("k", "ids"), [(0, [None, 1, 1, 4, 5]), (1, [None, 1, 2, 3, 4, 5]), (2, [None, 1, 1, 4, 5]), (3, [None, 1, 1, 2, 3, 4, 5]), (4, [None, 1, 1, 2, 3, 4, 5])])
+def test_stages_on_odd_rows(k, ids, spark, benchmark, tmp_path):
+    import corpus_pipeline
+
+    benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
+    base = spark.createDataFrame(STAGE_ROWS, "doc_id long, text string, lang string, source string, n_chars long")
+    clashing = base.select("*", *[F.lit(1).alias(c) for c in ["TEXT", "kept", "Source", "ids", "first", "cleaned", "a`b", "__id", "spans"]])
+    stage = corpus_pipeline.STAGES[k][1]
+    out = stage(spark, clashing, str(tmp_path))
+    assert sorted((r["doc_id"] for r in out.collect()), key=lambda i: (i is not None, i or 0)) == ids
+    assert out.columns == (list(corpus_pipeline.COLUMNS) if k < 4 else ["doc_id", "lang", "source", "n_tokens", "ids"])
+    assert stage(spark, clashing.limit(0), str(tmp_path)).collect() == []
+
+
+def test_stages_keep_no_state(spark, tmp_path):
+    """A result that hasn't been read outlives the next stage's call."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(STAGE_ROWS, "doc_id long, text string, lang string, source string, n_chars long")
+    stages = [f for _, f in corpus_pipeline.STAGES]
+    first = stages[0](spark, docs, str(tmp_path))
+    assert stages[3](spark, docs, str(tmp_path)).count() == 7 and first.count() == 5
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_empty_tables(name, spark, docs, labels, benchmark):
     assert OPERATORS[name](docs.limit(0), labels.limit(0), benchmark.limit(0)).collect() == []

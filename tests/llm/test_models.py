@@ -35,17 +35,34 @@ def test_quality(tables):
     model = compress_quality.fit(docs, labels)
     held = docs.join(labels, "doc_id").where(compress_quality.held_out(F.col("doc_id"), 3, 1)).select("doc_id", "text", "quality")
     out = compress_quality.score_quality(held, model).toPandas()
-    assert auc(out.score.to_numpy(), out.quality.to_numpy()) > 0.95
+    assert auc(out.score.to_numpy(), out.quality.to_numpy()) > 0.99
     assert ((out.score >= 0.5) == (out.quality == 1)).mean() > 0.95
     assert abs(out.score.mean() - out.quality.mean()) < 0.05
 
 
+def test_quality_feature(tables):
+    """The only feature is the size difference by the text's size, as the library's own calls give it."""
+    import zstandard
+
+    model = compress_quality.fit(*tables)
+    texts = [r["text"] for r in tables[0].limit(40).collect()] + [""]
+    got = compress_quality.features(texts, model.compressors())
+    for t, row in zip(texts, got, strict=True):
+        data = (t or "").encode()
+        sizes = []
+        for d in (model.good, model.bad):
+            made = zstandard.ZstdCompressor(level=compress_quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append(sum(len(made.compress(data[i : i + compress_quality.BLOCK])) for i in range(0, len(data), compress_quality.BLOCK)))
+        x = 10 * (sizes[1] - sizes[0]) / max(1, len(data))
+        assert row.tolist() == pytest.approx([1, x, x * x])
+
+
 def test_toxicity(tables):
     docs, labels = tables
     model = toxicity.fit(docs, labels)
     held = docs.join(labels, "doc_id").where(compress_quality.held_out(F.col("doc_id"), 4, 2)).select("doc_id", "text", "toxic")
     out = toxicity.score_toxicity(held, model).toPandas()
-    assert auc(out.score.to_numpy(), out.toxic.to_numpy()) > 0.85
+    assert auc(out.score.to_numpy(), out.toxic.to_numpy()) > 0.95
     assert (out.score[out.toxic == 0] >= 0.3).mean() < 0.02
     for hidden, plain in {"1d10t": "idiot", "i d i o t": "idiot", "m.o.r.o.n": "moron", "tr@sh": "trash", "stuuuupid": "stupid", "w0rthl3ss": "worthless", "c l 0 w n": "clown"}.items():
         assert model.restore([f"of {hidden} the"]) == [f"of {plain} the"]
