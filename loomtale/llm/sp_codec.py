@@ -29,7 +29,7 @@ from . import common
 
 MARK, LONG = "▁", 64
 #: Pre-tokens that a worker remembers; beyond it the older half is forgotten.
-CACHE = 200_000
+CACHE = 400_000
 #: Pre-tokens that go through the agenda together.
 ROUND = 8_000
 UNITS = re.compile(r" *[^ \n]+|\n| +")
@@ -219,7 +219,7 @@ def encode_decode(docs: DataFrame, path: str, *, end: bool = True, text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model(path)
-        for batch in common.slices(batches, "text", 2_000_000):
+        for batch in common.slices(batches, "text"):
             ids = pieces.encode([t or "" for t in batch.column("text").to_pylist()], end)
             flat = np.fromiter((i for x in ids for i in x), np.int32, sum(map(len, ids)))
             offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
