@@ -8,7 +8,9 @@ prefixes); of equal conversations the least conv_id stays.  What remains is rend
 Turns are ordered by turn, null first.  Rows of one conversation that are equal in turn, role and
 text are one turn; turns of one number keep an order by hash.  A null role is rendered as
 ``unknown``, a null text as empty, though both differ from those values when compared.  A null
-conv_id is a conversation like another.  An empty table gives no conversations.
+conv_id is a conversation like another.  An empty table gives no conversations.  Texts may have any
+length.  A conversation's turns meet in one task, as windows over hashes first (48 bytes a turn, which
+spill) and as one row of text last; no other key gathers rows, however many conversations begin alike.
 """
 
 from __future__ import annotations

@@ -138,3 +138,9 @@ def test_chat_edges(spark):
     assert "< |im_end|>" in out[3]["rendered"]
     assert out[4]["rendered"].index("x") < out[4]["rendered"].index("y")
     assert chat.render(conv.limit(0)).collect() == []
+
+
+def test_chat_long_texts_and_many_turns(spark):
+    rows = [(1, k, "user", f"turn {k}") for k in range(3000)] + [(2, k, "user", f"turn {k}") for k in range(2999)] + [(3, 0, "user", LONG * 5), (4, 0, "user", LONG * 5), (4, 1, "assistant", LONG)]
+    out = {r["conv_id"]: r for r in chat.render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert set(out) == {1, 4} and out[1]["n_turns"] == 3000 and len(out[4]["rendered"]) > 6 * len(LONG)
