@@ -48,16 +48,22 @@ def slug(name: Column) -> Column:
     return F.coalesce(F.when(joined != "", joined), F.lit("character"))
 
 
-def marker_score(text: Column, markers: list[str]) -> Column:
-    """How often the words occur between spaces in the first 20000 characters, without overlaps."""
-    sample = F.concat(F.lit(" "), F.lower(F.substring(text, 1, 20000)), F.lit(" "))
-    count = lambda m: (F.length(sample) - F.length(F.replace(sample, F.lit(f" {m} "), F.lit("")))) / (len(m) + 2)
+def language_sample(text: Column) -> Column:
+    return F.concat(F.lit(" "), F.lower(F.substring(text, 1, 20000)), F.lit(" "))
+
+
+def marker_score(sample: Column, markers: list[str]) -> Column:
+    """How often the words occur between spaces in a sample, without overlaps; counted by the bytes that go with them."""
+    count = lambda m: (F.octet_length(sample) - F.octet_length(F.replace(sample, F.lit(f" {m} "), F.lit("")))) / (len(m.encode()) + 2)
     return sum((count(m) for m in markers[1:]), count(markers[0])).cast("long")
 
 
 def detect_language(text: Column) -> Column:
-    es, en = marker_score(text, V.SPANISH_MARKERS), marker_score(text, V.ENGLISH_MARKERS)
-    return F.when((es >= en) & (es > 0), "es").when(en > es, "en").otherwise("source")
+    """By the words that the first 20000 characters have; the sample and both scores are computed once a text."""
+    let = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
+    scores = lambda s: F.struct(marker_score(s, V.SPANISH_MARKERS).alias("es"), marker_score(s, V.ENGLISH_MARKERS).alias("en"))
+    label = lambda n: F.when((n["es"] >= n["en"]) & (n["es"] > 0), "es").when(n["en"] > n["es"], "en").otherwise("source")
+    return let(let(language_sample(text), scores), label)
 
 
 def language_label(code: Column) -> Column:

@@ -137,7 +137,7 @@ def upload_ext(spark, d):
   from (select doc_id, {_language("text")} as language, {_lower_count("text", V.SPANISH_MARKERS)} as es, {_lower_count("text", V.ENGLISH_MARKERS)} as en from documents)""")
 def detect_language(spark, d):
     code = X.detect_language(F.col("text"))
-    scores = (X.marker_score(F.col("text"), m) for m in (V.SPANISH_MARKERS, V.ENGLISH_MARKERS))
+    scores = (X.marker_score(X.language_sample(F.col("text")), m) for m in (V.SPANISH_MARKERS, V.ENGLISH_MARKERS))
     return _t(spark, d, "documents").select("doc_id", code.alias("language"), X.language_label(code).alias("label"), *[s.alias(n) for s, n in zip(scores, ("es", "en"), strict=True)])
 
 
