@@ -298,3 +298,58 @@ def test_metrics(spark):
     assert evaluation.alias_accuracy(resolved, wanted).first()["alias_accuracy"] == 0.5
     out = spark.createDataFrame([("a", "call 555-1")], "case_id string, text string")
     assert evaluation.leaks(out, spark.createDataFrame([("a", "555-1"), ("a", "@")], "case_id string, substring string")).first()["leak_count"] == 1
+
+
+def test_documents_inside(spark, tmp_path):
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    p = lambda x: f"<w:p><w:r>{x}</w:r></w:p>"
+    body = p("<w:t>A</w:t><w:tab/><w:t>B</w:t><w:br/><w:t>C</w:t>") + f"<w:tbl><w:tr><w:tc>{p('<w:t>cell</w:t>')}</w:tc></w:tr></w:tbl>" + '<w:p><w:hyperlink><w:r><w:t>link</w:t></w:r></w:hyperlink></w:p>'
+    assert readers.read_docx(zipped({"word/document.xml": f"<w:document {w}><w:body>{body}</w:body></w:document>"})) == ["A\tB\nC\nlink"]
+    opf = '<package xmlns="http://www.idpf.org/2007/opf"><manifest><item href="../text/a%20b.xhtml#x" media-type="application/xhtml+xml"/></manifest></package>'
+    container = '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/c.opf"/></rootfiles></container>'
+    assert readers.read_epub(zipped({"META-INF/container.xml": container, "OEBPS/c.opf": opf, "text/a b.xhtml": "<p>Hola</p>"})) == ["Hola"]
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1.4")
+    assert readers.extract_blocks(readers.read_files(spark, str(tmp_path))).first()["error"].startswith("unreadable: ")
+
+
+def test_events_logs_and_retention(spark):
+    counts = spark.createDataFrame([("j", 1, 2), ("j", 2, 2)], "job_id string, i int, n int").withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    assert [(r["step"], r["pct"], r["message"]) for r in progress.events(counts, "extraction", "chunk {i} of {n}", 5, 95).orderBy("pct").collect()] == [("extraction", 50, "chunk 1 of 2"), ("extraction", 95, "chunk 2 of 2")]
+    logs = spark.createDataFrame([("j", 0, "a\n\n b\n")], "job_id string, ts int, text string")
+    assert [(r["line"], r["message"]) for r in progress.log_lines(logs).orderBy("line").collect()] == [(0, "a"), (2, " b")]
+    files = spark.createDataFrame([("old", "2024-01-01 00:00:00"), ("new", "2024-01-02 00:00:00")], "path string, m string").select("path", F.col("m").cast("timestamp").alias("modificationTime"))
+    assert [r["path"] for r in progress.expired(files, "2024-01-02 06:00:00", 24).collect()] == ["old"]
+    chunks = spark.createDataFrame([(1, 0, "a"), (1, 1, "b")], "doc_id long, chunk_index int, chunk_text string")
+    assert sorted(r["pct"] for r in Pipeline().events(chunks, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).collect()) == [50, 95]
+    docs = spark.createDataFrame([("x",), (" ",), (None,)], "text string")
+    assert [r["error"] for r in chunking.with_errors(docs).collect()] == [None, "blank", "missing"]
+
+
+def test_ties_at_the_end_of_a_job(spark, tmp_path):
+    """Batch and stream keep the same events where times are equal."""
+    rows = [("j", "2024-01-01 00:00:00", "reading", 5, "a"), ("j", "2024-01-01 00:00:01", "done", 100, "b"), ("j", "2024-01-01 00:00:01", "late", 50, "c"), ("j", "2024-01-01 00:00:02", "later", 60, "d")]
+    df = spark.createDataFrame(rows, "job_id string, ts string, step string, pct int, message string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    kept = sorted(r["step"] for r in progress.until_terminal(df).collect())
+    assert kept == ["done", "late", "reading"]
+    df.write.parquet(str(tmp_path / "in"))
+    q = progress.stream_until_terminal(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("tied").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sorted(r["step"] for r in spark.sql("select * from tied").collect()) == kept
+    updates = spark.createDataFrame([("j", 1, "ok", None), ("j", 2, "failed", "x"), ("j", 2, "done", None)], "job_id string, ts int, status string, error string")
+    assert tuple(progress.latest_status(updates).first()) == ("j", "failed", "x", 2)
+
+
+def test_long_books_are_packed_in_linear_time(spark):
+    lengths = [(i * 7919) % 300 + 1 for i in range(3000)]
+    text = "\n\n".join("x" * n for n in lengths)
+    out = spark.createDataFrame([(1, text)], "doc_id long, text string").select(F.explode(chunking.chunks_of(F.array("text"), 1000, 2)).alias("c")).collect()
+    expected, start, chars = [], 0, lengths[0]
+    for i in range(1, 3000):
+        if chars + 1 + lengths[i] <= 1000:
+            chars += 1 + lengths[i]
+        else:
+            expected.append((start, i - 1))
+            start = max(start, i - 2)
+            chars = sum(lengths[start : i + 1]) + i - start
+    expected.append((start, 2999))
+    assert [len(r["c"]) for r in out] == [sum(lengths[a : b + 1]) + b - a for a, b in expected]
