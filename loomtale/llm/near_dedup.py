@@ -300,7 +300,8 @@ def _rest_blocks(starred: DataFrame, classes: DataFrame, sizes: DataFrame) -> Da
     """Blocks of the nodes outside their pivot's class with all nodes of the bucket."""
     known = starred.where("n > 2").join(sizes, "node").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     whole = known.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max(F.when(F.col("node") == F.col("pivot"), F.col("class"))).alias("home"), _parts(F.sum("bytes")).alias("all"))
-    mixed = known.join(whole.where("low != high").select("bucket", "home", "all"), "bucket").withColumn("outside", F.col("class") != F.col("home"))
+    whole = common.Staged(whole.where("low != high").select("bucket", "home", "all"), "whole").df  # as the pivots were
+    mixed = known.join(whole, "bucket").withColumn("outside", F.col("class") != F.col("home"))
     mixed = common.Staged(mixed.select("bucket", "node", "class", "bytes", "outside", "all"), "mixed").df
     some = mixed.where("outside").groupBy("bucket").agg(_parts(F.sum("bytes")).alias("some"))
     mixed = mixed.join(some, "bucket")
