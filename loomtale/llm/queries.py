@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, compress_quality, decontam, host_quality, near_dedup, phrase_dedup, sentence_dedup, sp_codec, token_counts, toxicity
+from . import chat, compress_quality, decontam, divergence, host_quality, importance, near_dedup, packing, phrase_dedup, sentence_dedup, sp_codec, token_counts, toxicity
 from .common import table
 from .oracles import ORACLE_SQL as ORACLE_SQL
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
 TOKEN_LIMIT = 4096
 
 
@@ -92,6 +93,21 @@ def op10_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    drawn = importance.resample(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, WORDS).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_sentencepiece": op2_sentencepiece,
@@ -103,4 +119,7 @@ QUERIES = {
     "op8_compress_quality": op8_compress_quality,
     "op9_token_counts": op9_token_counts,
     "op10_phrase_dedup": op10_phrase_dedup,
+    "op11_importance": op11_importance,
+    "op12_divergence": op12_divergence,
+    "op13_best_fit": op13_best_fit,
 }
