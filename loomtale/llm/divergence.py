@@ -54,17 +54,17 @@ def radix_order(keys: list[np.ndarray]) -> np.ndarray:
     return order
 
 
-def _runs(changes: list[np.ndarray]) -> np.ndarray:
+def changes(columns: list[np.ndarray]) -> np.ndarray:
     """Where a run begins: at 0, and where any column differs from the row before."""
-    new = np.zeros(len(changes[0]), bool)
+    new = np.zeros(len(columns[0]), bool)
     new[0] = True
-    for c in changes:
+    for c in columns:
         new[1:] |= c[1:] != c[:-1]
     return new
 
 
 def packed(low: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """The terms by length: which they are, in the stable order of their bytes, and columns that tell them apart in that order."""
+    """The terms by length: which they are, in the stable order of their bytes, and columns that tell them apart in that order, but for zero bytes at their ends."""
     words = np.ndarray((len(low) - 7,), ">u8", low, strides=(1,))  # the 8 bytes from each place on
     for least, most in ((1, 8), (9, 16)):
         at = np.flatnonzero((sizes >= least) & (sizes <= most))
@@ -105,8 +105,8 @@ def count_terms(texts: list[bytes], groups: np.ndarray) -> Iterator[tuple[np.nda
     doc = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, "right")
     group = groups[doc]
     for at, keys in packed(low, starts, sizes):
-        first = np.flatnonzero(_runs([*keys, group[at]]))
-        documents = np.add.reduceat(_runs([*keys, doc[at]]).astype(np.int64), first)
+        first = np.flatnonzero(changes([*keys, group[at]]))
+        documents = np.add.reduceat(changes([*keys, doc[at]]).astype(np.int64), first)
         yield group[at[first]], _strings(low, starts[at[first]], sizes[at[first]]), np.diff(np.append(first, len(at))), documents
 
 
