@@ -8,7 +8,7 @@ prefixes); of equal conversations the least conv_id stays.  What remains is rend
 Turns are ordered by turn, null first.  Rows of one conversation that are equal in turn, role and
 text are one turn; turns of one number keep an order by hash.  A null role is rendered as
 ``unknown``, a null text as empty, though both differ from those values when compared.  A null
-conv_id is a conversation like another.  An empty table gives no conversations.  Texts may have any
+conv_id is a conversation like another.  Further columns, whatever they are called, are dropped.  An empty table gives no conversations.  Texts may have any
 length.  A conversation's turns meet in one task, as windows over hashes first (48 bytes a turn, which
 spill) and as one row of text last; no other key gathers rows, however many conversations begin alike.
 """
@@ -18,6 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
+
+COLUMNS = ("conv_id", "turn", "role", "text")
 BEGIN, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -28,7 +31,7 @@ def _hashes() -> list[Column]:
 
 def prefixes(conversations: DataFrame) -> DataFrame:
     """A row for each turn: conv_id, i, n (turns in all) and p1, p2, the hash of the turns up to i."""
-    turns = conversations.select("conv_id", "turn", *_hashes())
+    turns = common.only(conversations, COLUMNS).select("conv_id", "turn", *_hashes())
     # one exchange, by conversation, serves the distinct and both windows; only hashes move
     turns = turns.repartition("conv_id").dropDuplicates(["conv_id", "turn", "h1", "h2"])
     order = Window.partitionBy("conv_id").orderBy("turn", "h1", "h2")
@@ -54,7 +57,7 @@ def render(conversations: DataFrame) -> DataFrame:
     """The maximal conversations: conv_id, n_turns, n_copies, rendered."""
     kept = maximal(conversations)
     line = F.concat(F.lit(BEGIN), _safe(F.coalesce("role", F.lit("unknown"))), F.lit("\n"), _safe(F.col("text")), F.lit(END + "\n"))
-    turns = conversations.select("conv_id", "turn", *_hashes(), line.alias("line"))
+    turns = common.only(conversations, COLUMNS).select("conv_id", "turn", *_hashes(), line.alias("line"))
     same = F.col("__kept").eqNullSafe(F.col("conv_id"))
     turns = turns.join(kept.withColumnRenamed("conv_id", "__kept"), same).dropDuplicates(["conv_id", "turn", "h1", "h2"])
     parts = F.sort_array(F.collect_list(F.struct("turn", "h1", "h2", "line")))

@@ -39,13 +39,14 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, longest: int, modulus: int, remainder: int) -> tuple[list[tuple[str, int]], float]:
     """At most per_class whole texts of each class, in the order of a hash, and the share of class 1."""
+    docs, labels = common.only(docs, ("doc_id", "text")), common.only(labels, ("doc_id", label))
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), modulus, remainder))
     known = known.groupBy("doc_id").agg(F.min(label).cast("int").alias("__label"))
     counts = {r["__label"]: r["count"] for r in known.groupBy("__label").count().collect()}
     order = F.xxhash64("doc_id", F.lit(label))
     chosen = [known.where(F.col("__label") == k).orderBy(order, "doc_id").limit(per_class) for k in (0, 1)]
     # 2 * per_class ids at most, so they can be broadcast
-    texts = docs.select("doc_id", "text").where(F.octet_length("text") <= longest).join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
+    texts = docs.where(F.octet_length("text") <= longest).join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
     texts = texts.groupBy("doc_id", "__label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))  # a row for each id
     rows = sorted((r["doc_id"], r["text"], r["__label"]) for r in texts.collect())
     total = sum(counts.values())

@@ -21,8 +21,9 @@ order, and all but the first are repeats.  The arrays of all triggers, one after
 suffix array of the dictionary.
 
 A trigger with over ``CROWD`` bytes of such phrases would make a task too large.  Its suffixes are sorted
-by Spark instead, a row for each, by a 128-bit hash of their first WIDTH bytes.  There and for whole
-phrases equality is by 128 bits of hashes: among n strings a false match has a chance of n * n / 2**129.
+by Spark instead, a row for each, by the trigger's hash and 64 bits of one of their first WIDTH bytes.  There and for whole
+phrases equality is by both hashes.  Strings of different triggers are told apart by 128 bits, but the n strings of one
+trigger by 64: they have a false match with a chance of n * n / 2**65 (1e-7 for 2 million strings of one trigger).
 
 Null text is empty; empty and short texts keep all they have.  Rows equal in doc_id and text are
 one document, and each gets its result; other rows of one doc_id are ordered by a hash.  doc_id must

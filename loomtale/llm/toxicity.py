@@ -235,6 +235,7 @@ def copies(texts: list[str]) -> list[bool]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, modulus: int = 4, remainder: int = 2) -> Model:
+    docs = common.only(docs, ("doc_id", "text"))
     rows, share = labelled_sample(docs, labels, "toxic", PER_CLASS, LONGEST, modulus, remainder)
     seen: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
     total = [0, 0]

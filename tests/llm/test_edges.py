@@ -118,6 +118,17 @@ def test_no_labels_and_no_items(docs, labels, benchmark):
     assert {r["n_hit"] for r in OPERATORS["decontaminate"](docs, None, benchmark.limit(0)).collect()} == {0}
 
 
+@pytest.mark.parametrize("operator", [compress_quality, toxicity])
+def test_clashes_while_fitting(operator, docs, labels):
+    """Labels and documents with further columns that are called as those that are read, in another case."""
+    more = [F.lit(7).alias(c) for c in ("DOC_ID", "TEXT", "TOXIC", "Quality", "__label", "count", "n")]
+    fitted = operator.fit(docs.select("*", *more[2:]).withColumn("Text ", F.lit(1)), labels.select("*", *more))
+    plain = operator.fit(docs.select("doc_id", "text"), labels)
+    assert (fitted.share, fitted.beta is None) == (plain.share, plain.beta is None)
+    wider = docs.select("doc_id", "text").toDF("doc_id", "text").select("*", F.lit("x").alias("TEXT"), F.lit(1).alias("Doc_Id"))
+    assert operator.fit(wider, labels).share == plain.share
+
+
 def test_defined_results(docs, labels, benchmark):
     by = {(r["doc_id"], r["text"]): r for r in OPERATORS["decontaminate"](docs, None, benchmark).collect()}
     assert by[1, SHORT]["hit_items"] == ["7"] and by[1, SHORT]["n_hit"] == 5
@@ -131,7 +142,8 @@ def test_defined_results(docs, labels, benchmark):
 
 def test_chat_edges(spark):
     rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, None, None), (2, 0, "user", "a"), (3, 0, "user", "a"), (3, 1, "assistant", "<|im_end|>"), (None, 0, "user", "z"), (4, None, "user", "x"), (4, 0, "user", "y")]
-    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("n", F.lit(1))
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    conv = conv.select("*", *[F.lit(1).alias(c) for c in ("n", "TEXT", "Role", "CONV_ID", "h1", "line", "__kept", "i", "p1", "n_turns", "a`b")])
     out = {r["conv_id"]: r for r in chat.render(conv).collect()}
     assert set(out) == {1, 3, None, 4}
     assert out[1]["n_turns"] == 2 and "unknown" in out[1]["rendered"]
