@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import identity as I
 from ..functions import vocabulary as V
 from ..functions.text import alias_form, normalize, slug, strip
+from .keys import opened, sealed
 
 # How much of each field counts as substance.
 SUBSTANCE = {
@@ -99,7 +100,8 @@ def generate_cards(characters: DataFrame, generator: Generator = plain_card) ->
     if "payload" not in characters.columns:
         characters = characters.withColumn("payload", F.to_json(F.struct("*")))
     review = F.col("needs_llm_review") if "needs_llm_review" in characters.columns else F.lit(False)
-    rows = characters.select("doc_id", "canonical_name", review.alias("needs_llm_review"), "payload")
+    kind = characters.schema["doc_id"].dataType
+    rows = sealed(characters).select("doc_id", "canonical_name", review.alias("needs_llm_review"), "payload")
 
     def one(row: dict) -> dict:
         try:
@@ -115,4 +117,4 @@ def generate_cards(characters: DataFrame, generator: Generator = plain_card) ->
             made = pd.DataFrame([one(r) for r in rows.to_dict("records")], columns=["main_name", "aliases", "description", "image_prompt", "confidence", "warnings"])
             yield pd.concat([rows[["doc_id", "canonical_name"]].reset_index(drop=True), made], axis=1)
 
-    return normalize_cards(rows.mapInPandas(run, "doc_id long, canonical_name string, " + CARD))
+    return opened(normalize_cards(rows.mapInPandas(run, "doc_id string, canonical_name string, " + CARD)), kind)

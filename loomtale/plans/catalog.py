@@ -245,10 +245,12 @@ def _terms(docs: DataFrame) -> DataFrame:
 
 
 def _at(text: str, term: str) -> str:
-    """0-based place of a term of letters: as a whole word, else anywhere."""
-    part = lambda k: f"regexp_extract({text}, '(?is)^(.*?)(^|[^\\p{{L}}\\p{{N}}_])' || {term} || '([^\\p{{L}}\\p{{N}}_]|$)', {k})"
-    whole = f"regexp_matches({text}, '(?i)(^|[^\\p{{L}}\\p{{N}}_])' || {term} || '([^\\p{{L}}\\p{{N}}_]|$)')"
-    return f"case when {whole} then length({part(1)}) + length({part(2)}) when contains(lower({text}), lower({term})) then strpos(lower({text}), lower({term})) - 1 end"
+    """0-based place of a term of letters: as a whole word, else anywhere.  The pieces between its places tell which of them are whole words."""
+    apart = r"[^\p{L}\p{N}_]"
+    whole = f"((k = 1 and s[k] = '') or regexp_matches(s[k], '{apart}$')) and ((k + 1 = len(s) and s[k + 1] = '') or regexp_matches(s[k + 1], '^{apart}'))"
+    number = f"coalesce(list_filter(range(1, len(s)), lambda k: {whole})[1], case when len(s) > 1 then 1 end)"
+    place = f"case when n is not null then (list_sum(list_transform(s[1:n], lambda x: length(x))) + (n - 1) * length({term}))::int end"
+    return f"list_transform([string_split(lower({text}), lower({term}))], lambda s: list_transform([{number}], lambda n: {place})[1])[1]"
 
 
 def _window(text: str, at: str, size: str, width: int) -> str:
@@ -288,6 +290,28 @@ def snippets(spark, d):
     return retrieval.snippets(references, chunks)
 
 
+@query(f"""with recursive {_chunks("documents")}, w as (select doc_id, string_split_regex(text, '[^\\p{{L}}]+') as w from documents),
+k as (select doc_id, key, list_filter([w[6 + key], w[21 + 2 * key], w[41]], lambda t: t is not null and length(t) >= 2) as c from w, (select unnest([0, 1]) as key)),
+t as (select doc_id, key, o, c[o] as term from k, lateral (select unnest(range(1, len(c) + 1)) as o) where list_position(list_transform(c, lambda t: lower(t)), lower(c[o])) = o),
+f as (select doc_id, key, term, o, raw_index as chunk_index, chunk_text, {_at("chunk_text", "term")} as pos from chunks join t using (doc_id) where contains(lower(chunk_text), lower(term))),
+r as (select *, row_number() over (partition by doc_id, key order by chunk_index, o) as n from f where pos is not null),
+m as (select doc_id, key, string_agg(chunk_index || ' ' || term || ' ' || md5({_window("chunk_text", "pos", "length(term)", retrieval.MENTION_CHARS)}), ',' order by n) as mentions from r where n <= {retrieval.MAX_MENTIONS} group by all),
+s as (select doc_id, key, raw_index from chunks join (select distinct doc_id, key from k) using (doc_id) where raw_index between key and key + 1)
+select k.doc_id, k.key, mentions, string_agg(raw_index::varchar, ',' order by raw_index) as snippet_chunks from k left join m using (doc_id, key) left join s on s.doc_id = k.doc_id and s.key = k.key group by all""")
+def source_context(spark, d):
+    """What a model is shown of two characters a document: where their names are mentioned, and which chunks refer to them."""
+    docs = _t(spark, d, "documents")
+    words, key = F.split("text", r"[^\p{L}]+", -1), F.col("key")
+    chunks = chunking.chunk(docs, max_chars=CHUNK_CHARS).withColumnRenamed("raw_index", "chunk_index")
+    keyed = docs.select("doc_id", words.alias("w"), F.explode(F.array(F.lit(0), F.lit(1))).alias("key"))
+    terms = F.array(F.get("w", 5 + key), F.get("w", 20 + 2 * key), F.get("w", F.lit(40)))
+    refs = F.array(*[F.struct((key + k).alias("chunk_index"), F.lit("c").alias("local_id")) for k in (0, 1)])
+    shown = retrieval.source_context(keyed.select("doc_id", "key", refs.alias("references"), terms.alias("terms")), chunks)
+    one = lambda m: F.concat_ws(" ", m["chunk_index"], m["query"], F.md5(m["snippet"]))
+    listed = lambda c, f: F.when(F.col(c).isNotNull(), F.array_join(F.transform(c, f), ","))
+    return shown.select("doc_id", "key", listed("mentions", one).alias("mentions"), listed("snippets", lambda x: x["chunk_index"].cast("string")).alias("snippet_chunks"))
+
+
 _TITLED = ["Dra. ", "el ", "la Reina ", "character_", "Señor ", "el hombre que "]
 _FORMS = "(select p_partkey as id, case p_partkey % 6 " + " ".join(f"when {k} then '{t}'" for k, t in enumerate(_TITLED)) + " end || p_name as name from part)"
 _BARE = "case " + " ".join(f"when regexp_matches({_strip('name')}, '(?i){p}') then {_strip(f'regexp_replace({_strip("name")}, {chr(39)}(?i){p}{chr(39)}, {chr(39)}{chr(39)})')}" for p in V.TITLES) + f" else {_strip('name')} end"
@@ -333,25 +357,29 @@ def _auto(x: str) -> str:
 
 _SCORED = f"""names as (select doc_id, ord, unnest(names) as name from chars),
 tok as (select *, string_split(name, ' ') as t, {_descriptive("name")} as odd, {_auto("name")} as auto from names),
-hits as (select a.doc_id, a.ord as a_ord, b.ord as b_ord, a.name,
-    max(a.name = b.name) as same, max(a.name = b.name and a.auto) as strong,
-    max(case when not a.odd and not b.odd and len(a.t) between 1 and 4 and len(b.t) between 1 and 4
+met as (select a.doc_id, a.ord as a_ord, b.ord as b_ord, a.name, b.name as other, a.name = b.name as same, a.name = b.name and a.auto as strong,
+    not a.odd and not b.odd and len(a.t) between 1 and 4 and len(b.t) between 1 and 4
       and len(list_filter(case when len(a.t) <= len(b.t) then a.t else b.t end, lambda z: not list_contains(case when len(a.t) <= len(b.t) then b.t else a.t end, z))) = 0
-      and (least(len(a.t), len(b.t)) > 1 or len(list_distinct(case when len(a.t) <= len(b.t) then b.t else a.t end)) <= 2) then 0.75
-      when (len(a.t) >= 2 or len(b.t) >= 2) and a.t[-1] = b.t[-1] then 0.55 else 0 end::double) as part
-  from tok a join tok b on a.doc_id = b.doc_id and a.ord < b.ord group by all),
-sums as (select doc_id, a_ord, b_ord, max(same) as same, max(strong) as strong, sum(part) as part from hits group by all),
-scored as (select s.doc_id, a_ord, b_ord, case when strong and not (a.conflicted or b.conflicted or coalesce(a.gender <> b.gender, false) or coalesce(a.age <> b.age, false)) then 1.0::double
+      and (least(len(a.t), len(b.t)) > 1 or len(list_distinct(case when len(a.t) <= len(b.t) then b.t else a.t end)) <= 2) as inside,
+    (len(a.t) >= 2 or len(b.t) >= 2) and a.t[-1] = b.t[-1] as family
+  from tok a join tok b on a.doc_id = b.doc_id and a.ord < b.ord),
+hits as (select doc_id, a_ord, b_ord, name, bool_or(same) as same, bool_or(strong) as strong, min(other) filter (where inside) as i, min(other) filter (where family) as f from met group by all),
+sums as (select doc_id, a_ord, b_ord, bool_or(same) as same, string_agg(name, ', ' order by name) filter (where strong) as strong, sum(case when i is not null then 0.75 when f is not null then 0.55 else 0 end::double) as part,
+  list(case when i is not null then 'contained name: ' || name || ' / ' || i else 'shared surname: ' || name || ' / ' || f end order by name) filter (where i is not null or f is not null) as why from hits group by all),
+scored as (select s.doc_id, a_ord, b_ord, case when strong is not null and not (a.conflicted or b.conflicted or coalesce(a.gender <> b.gender, false) or coalesce(a.age <> b.age, false)) then 1.0::double
   else greatest(0::double, least(1::double, case when same then 0.8::double else part end + case when a.gender = b.gender then 0.10::double when a.gender <> b.gender then -0.40::double else 0::double end
-    + case when a.age = b.age then 0.05::double when a.age <> b.age then -0.20::double else 0::double end + case when abs(a.size - b.size) <= 2 then 0.05::double else 0::double end)) end as score
+    + case when a.age = b.age then 0.05::double when a.age <> b.age then -0.20::double else 0::double end + case when abs(a.size - b.size) <= 2 then 0.05::double else 0::double end)) end as score,
+  case when strong is not null and not (a.conflicted or b.conflicted or coalesce(a.gender <> b.gender, false) or coalesce(a.age <> b.age, false)) then 'same specific name: ' || strong
+  else array_to_string(list_filter(case when same then ['same name'] else coalesce(why, []) end || [case when a.gender = b.gender then 'same gender' when a.gender <> b.gender then 'different gender' end,
+    case when a.age = b.age then 'same age' when a.age <> b.age then 'different age' end, case when abs(a.size - b.size) <= 2 then 'near each other' end], lambda x: x is not null), '; ') end as reasons
   from sums s join chars a on a.doc_id = s.doc_id and a.ord = a_ord join chars b on b.doc_id = s.doc_id and b.ord = b_ord)"""
 
 
-@query(f"with chars as ({_CAST}), {_SCORED} select doc_id, a_ord, b_ord, round(score, 6) as score, case when score >= 0.9 then 'merge' else 'review' end as decision from scored where score >= 0.6")
+@query(f"with chars as ({_CAST}), {_SCORED} select doc_id, a_ord, b_ord, round(score, 6) as score, case when score >= 0.9 then 'merge' else 'review' end as decision, reasons from scored where score >= 0.6")
 def pair_score(spark, d):
-    """Every pair of a book that is merged or reviewed; the SQL scores all pairs, without blocking."""
+    """Every pair of a book that is merged or reviewed, with the reasons; the SQL scores all pairs, without blocking."""
     scored = pairing.score_pairs(_cast(spark, d)).where(F.col("score") >= V.REVIEW)
-    return scored.withColumn("score", F.round("score", 6))
+    return scored.select("doc_id", "a_ord", "b_ord", F.round("score", 6).alias("score"), "decision", F.array_join("reasons", "; ").alias("reasons"))
 
 
 @query(f"with chars as ({_CAST}), {_SCORED} select doc_id, case when score >= 0.9 then 'merge' else 'review' end as decision, count(*) as n from scored where score >= 0.6 group by all")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..functions.text import detect_language
-from ..operators import cards, chunking, consolidation, extraction, guardrails, narrative, retrieval
+from ..operators import cards, chunking, consolidation, extraction, guardrails, narrative, resolving, retrieval
+from ..operators.keys import opened, sealed
 from ..operators.lineage import cut
 from ..streaming import progress
 
@@ -19,7 +20,7 @@ class Pipeline:
     """Documents (doc_id, text) to characters and cards; models are callables, offline ones by default."""
 
     extractor: extraction.Extractor = extraction.capitalised_names
-    resolver: consolidation.Resolver | None = None
+    resolver: resolving.Resolver | None = None
     generator: cards.Generator = cards.plain_card
     max_chars: int = chunking.MAX_CHARS
     overlap: int = chunking.OVERLAP
@@ -41,21 +42,24 @@ class Pipeline:
         Observed characters, their groups and clusters are read more than once, so they are checkpointed:
         models are asked once, and the rest starts from small plans.
         """
-        rows = cut(consolidation.observed(observations))
+        kind = observations.schema["doc_id"].dataType
+        rows = cut(consolidation.observed(sealed(observations)))
         found = cut(consolidation.groups(rows))
-        assigned = cut(consolidation.clusters(found, self.resolver, merge=self.merge, review=self.review, chunks=chunks))
+        assigned = cut(consolidation.clusters(found, self.resolver, merge=self.merge, review=self.review, chunks=sealed(chunks) if chunks is not None else None, rows=rows))
         whole = consolidation.characters(rows, assigned)
-        return whole.where(~consolidation.anecdotal(whole))
+        return opened(whole.where(~consolidation.anecdotal(whole)), kind)
 
     def cards(self, found: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
         """A card for each eligible character; the generator is shown its source if there are chunks."""
-        chosen = found.where(consolidation.eligible(found))
+        kind = found.schema["doc_id"].dataType
+        chosen = sealed(found.where(consolidation.eligible(found)))
         if chunks is not None:
+            chunks = sealed(chunks)
             key = F.struct("ord", "canonical_name")
             names = F.concat(F.array("canonical_name"), "aliases", "specific_appellations", F.transform("identity_names", lambda n: n["value"]))
             source = retrieval.source_context(chosen.select("doc_id", key.alias("key"), "references", names.alias("terms")), chunks)
             chosen = chosen.withColumn("key", key).join(source.select("doc_id", "key", F.struct("snippets", "mentions").alias("source")), ["doc_id", "key"], "left")
-        return cards.generate_cards(cards.payload(chosen), self.generator)
+        return cards.generate_cards(cards.payload(opened(chosen, kind)), self.generator)
 
     def events(self, chunks: DataFrame, ts: Column) -> DataFrame:
         """A progress event for each chunk to be read, by document: what a job reports while it extracts."""

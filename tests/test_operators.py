@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomtale.functions import vocabulary as V
-from loomtale.operators import cards, chunking, consolidation, evaluation, extraction, merging, pairing, retrieval
+from loomtale.operators import cards, chunking, consolidation, evaluation, extraction, merging, pairing, resolving, retrieval
 from loomtale.plans.narrative import Pipeline
 from loomtale.sources import readers
 from loomtale.streaming import progress
@@ -178,13 +178,13 @@ def test_resolver_contract(spark):
     assert len(merged) == 1 and merged[0]["reasons"] == ["merged with rios: same"]
     assert len(Pipeline(resolver=lambda a, b, s: '{"should_merge": true}').consolidate(seen).collect()) == 1
     for answer in ("[1]", {"should_merge": "true"}, None, 1):
-        assert not consolidation.coerced(answer)["should_merge"]
+        assert not resolving.coerced(answer)["should_merge"]
 
     def fails(a, b, s):
         raise RuntimeError("no model")
 
     assert all("no model" in r["reasons"][0] for r in Pipeline(resolver=fails).consolidate(seen).collect())
-    assert consolidation.coerced({"should_merge": 1, "confidence": "high", "reason": 3}) == {"should_merge": False, "confidence": "high", "reason": ""}
+    assert resolving.coerced({"should_merge": 1, "confidence": "high", "reason": 3}) == {"should_merge": False, "confidence": "high", "reason": ""}
 
 
 def test_greedy_passes_against_all_pairs(spark):
