@@ -14,9 +14,10 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from . import retrieval
 from .lineage import cut
 
@@ -48,11 +49,11 @@ def coerced(answer: object) -> dict:
     return {"should_merge": answer.get("should_merge") is True, "confidence": level if level in ("low", "medium", "high") else "low", "reason": reason if isinstance(reason, str) else ""}
 
 
-def pair_terms(canonical: str = "canonical_name", display: str = "display_name") -> F.Column:
+def pair_terms(canonical: str = "canonical_name", display: str = "display_name") -> Column:
     """The names by which a character of a pair is looked for: canonical, display, appellations; then aliases (with spaces for underscores) and identity values that are new, case aside."""
     first = F.concat(F.array(canonical, display), "specific_appellations")
     later = F.concat(F.transform("aliases", lambda v: F.replace(v, F.lit("_"), F.lit(" "))), F.transform("identity_names", lambda n: n["value"]))
-    clean = lambda c: F.filter(F.transform(F.filter(c, lambda v: v.isNotNull()), F.trim), lambda v: v != "")
+    clean = lambda c: F.filter(F.transform(F.filter(c, lambda v: v.isNotNull()), strip), lambda v: v != "")
     new = lambda c, known: F.filter(c, lambda v, i: ~F.exists(known, lambda k: F.lower(k) == F.lower(v)) & (F.array_position(F.transform(c, F.lower), F.lower(v)) == i + 1))
     return F.concat(clean(first), new(clean(later), clean(first)))
 
