@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vocabulary as V
@@ -59,13 +59,24 @@ def marker_score(sample: Column, markers: list[str]) -> Column:
 
 
 def detect_language(text: Column) -> Column:
-    """By the words that the first 20000 characters have; the sample and both scores are computed once a text."""
+    """By the words that the first 20000 characters have; ``detected`` is the form for tables."""
     let = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
     scores = lambda s: F.struct(marker_score(s, V.SPANISH_MARKERS).alias("es"), marker_score(s, V.ENGLISH_MARKERS).alias("en"))
     label = lambda n: F.when((n["es"] >= n["en"]) & (n["es"] > 0), "es").when(n["en"] > n["es"], "en").otherwise("source")
     return let(let(language_sample(text), scores), label)
 
 
+def detected(docs: DataFrame, *, text: str = "text") -> DataFrame:
+    """``docs`` with es, en (how often the markers of each occur in the first 20000 characters) and language.
+
+    Generators of one row keep the optimizer from writing the sample and the scores out wherever they are used.
+    """
+    sampled = docs.select("*", F.explode(F.array(language_sample(F.col(text)))).alias("__sample"))
+    counts = F.struct(marker_score(F.col("__sample"), V.SPANISH_MARKERS).alias("es"), marker_score(F.col("__sample"), V.ENGLISH_MARKERS).alias("en"))
+    scored = sampled.select(*docs.columns, F.explode(F.array(counts)).alias("__n")).select(*docs.columns, F.col("__n.es").alias("es"), F.col("__n.en").alias("en"))
+    return scored.withColumn("language", F.when((F.col("es") >= F.col("en")) & (F.col("es") > 0), "es").when(F.col("en") > F.col("es"), "en").otherwise("source"))
+
+
 def language_label(code: Column) -> Column:
     out = F.lit(V.OTHER_LANGUAGE)
     for k, v in V.LANGUAGE_LABELS.items():

@@ -32,8 +32,8 @@ WHITE = "".join(chr(c) for c in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0
 def clean_terms(terms: Column) -> Column:
     """Stripped terms of two characters or more, the first of those equal without case."""
     kept = F.filter(F.transform(F.filter(terms, lambda t: t.isNotNull()), strip), lambda t: F.length(t) >= 2)
-    first = lambda t, i: F.array_position(F.transform(kept, F.lower), F.lower(t)) == i + 1
-    return F.filter(kept, first)
+    let = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)  # noqa: E731 - computed once
+    return let(kept, lambda k: let(F.transform(k, F.lower), lambda low: F.filter(k, lambda t, i: F.array_position(low, F.lower(t)) == i + 1)))
 
 
 def find_term(text: Column, term: Column) -> Column:

@@ -136,9 +136,7 @@ def upload_ext(spark, d):
 @query(f"""select doc_id, language, case language when 'es' then 'espanol' when 'en' then 'ingles' else '{V.OTHER_LANGUAGE}' end as label, es, en
   from (select doc_id, {_language("text")} as language, {_lower_count("text", V.SPANISH_MARKERS)} as es, {_lower_count("text", V.ENGLISH_MARKERS)} as en from documents)""")
 def detect_language(spark, d):
-    code = X.detect_language(F.col("text"))
-    scores = (X.marker_score(X.language_sample(F.col("text")), m) for m in (V.SPANISH_MARKERS, V.ENGLISH_MARKERS))
-    return _t(spark, d, "documents").select("doc_id", code.alias("language"), X.language_label(code).alias("label"), *[s.alias(n) for s, n in zip(scores, ("es", "en"), strict=True)])
+    return X.detected(_t(spark, d, "documents").select("doc_id", "text")).select("doc_id", "language", X.language_label(F.col("language")).alias("label"), "es", "en")
 
 
 _NAMES = """(select 'customer' as kind, c_custkey as id, c_name as name from customer union all select 'supplier', s_suppkey, s_name from supplier
@@ -268,10 +266,9 @@ r as (select *, row_number() over (partition by doc_id order by chunk_index, o)
 select doc_id, term as query, chunk_index, substring(chunk_text, pos + 1, length(term)) as matched_text, {_window("chunk_text", "pos", "length(term)", retrieval.MENTION_CHARS)} as snippet from r where n <= {retrieval.MAX_MENTIONS}""")
 def mention_search(spark, d):
     docs = _t(spark, d, "documents")
-    words = F.split("text", r"[^\p{L}]+", -1)
-    terms = retrieval.clean_terms(F.array(*[F.get(words, F.lit(k)) for k in (5, 20, 40)]))
-    # a generator of one row: the terms are found once a document, not once a chunk
-    with_terms = docs.select("doc_id", "text", F.explode(F.array(terms)).alias("terms"))
+    # generators of one row: the words and the terms are found once a document, not once a chunk
+    worded = docs.select("doc_id", "text", F.explode(F.array(F.split("text", r"[^\p{L}]+", 42))).alias("w"))
+    with_terms = worded.select("doc_id", "text", F.explode(F.array(retrieval.clean_terms(F.array(*[F.get("w", F.lit(k)) for k in (5, 20, 40)])))).alias("terms"))
     chunks = with_terms.select("doc_id", "terms", F.posexplode(chunking.chunks_of(F.array("text"), CHUNK_CHARS)).alias("chunk_index", "chunk_text"))
     return retrieval.mentions_of(chunks)
 
@@ -301,7 +298,7 @@ select k.doc_id, k.key, mentions, string_agg(raw_index::varchar, ',' order by ra
 def source_context(spark, d):
     """What a model is shown of two characters a document: where their names are mentioned, and which chunks refer to them."""
     docs = _t(spark, d, "documents")
-    words, key = F.split("text", r"[^\p{L}]+", -1), F.col("key")
+    words, key = F.split("text", r"[^\p{L}]+", 42), F.col("key")
     chunks = chunking.chunk(docs, max_chars=CHUNK_CHARS).withColumnRenamed("raw_index", "chunk_index")
     keyed = docs.select("doc_id", words.alias("w"), F.explode(F.array(F.lit(0), F.lit(1))).alias("key"))
     terms = F.array(F.get("w", 5 + key), F.get("w", 20 + 2 * key), F.get("w", F.lit(40)))
@@ -543,7 +540,7 @@ c as (select count(*) filter (where p.n = e.n) as hits, (select count(*) from p
 select hits, found, wanted, hits / found as precision, hits / wanted as recall, 2 * hits / (found + wanted) as f1 from c""")
 def eval_metrics(spark, d):
     docs = _t(spark, d, "documents")
-    predicted = docs.select(F.col("doc_id").alias("case_id"), X.detect_language(F.col("text")).alias("name")).where("name <> 'source'")
+    predicted = X.detected(docs).select(F.col("doc_id").alias("case_id"), F.col("language").alias("name")).where("name <> 'source'")
     # what the detector can name is expected of it; all documents are asked
     return evaluation.name_metrics(predicted, docs.where(F.col("lang").isin("en", "es")).select(F.col("doc_id").alias("case_id"), F.col("lang").alias("name")))
 

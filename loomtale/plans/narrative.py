@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from ..functions.text import detect_language
+from ..functions.text import detected
 from ..operators import cards, chunking, consolidation, extraction, guardrails, narrative, resolving, retrieval
 from ..operators.keys import opened, sealed
 from ..operators.lineage import cut
@@ -69,7 +69,7 @@ class Pipeline:
 
 def language_report(docs: DataFrame, max_chars: int = 400) -> DataFrame:
     """The flagship query: usable documents by detected language, with their narrative chunks."""
-    usable = guardrails.passed(docs, guardrails.text_error(F.col("text"))).withColumn("language", detect_language(F.col("text")))
+    usable = detected(guardrails.passed(docs, guardrails.text_error(F.col("text"))))
     chunks = usable.select("language", F.posexplode(chunking.chunks_of(F.array("text"), max_chars, 1)).alias("n", "chunk"))
     # a generator of one row keeps the optimizer from writing the predicate out for every use
     judged = chunks.select("language", "n", F.length("chunk").alias("chars"), F.explode(F.array(~narrative.non_narrative(F.col("chunk")))).alias("kept"))
