@@ -56,6 +56,6 @@ def extract(chunks: DataFrame, extractor: Extractor = capitalised_names) -> Data
             answers = [one(t) for t in rows["chunk_text"]]
             yield rows[["doc_id", "chunk_index"]].assign(answer=[a for a, _ in answers], error=[e for _, e in answers])
 
-    raw = chunks.select("doc_id", "chunk_index", "chunk_text").mapInPandas(run, "doc_id long, chunk_index int, answer string, error string")
+    raw = chunks.select("doc_id", "chunk_index", "chunk_text").mapInPandas(run, f"doc_id {chunks.schema['doc_id'].dataType.simpleString()}, chunk_index int, answer string, error string")
     parsed = raw.withColumn("parsed", F.from_json("answer", ANSWER))
     return parsed.select("doc_id", "chunk_index", "error", F.coalesce("parsed.characters", F.array().cast(f"array<{CHARACTER}>")).alias("characters"))

@@ -77,11 +77,6 @@ def latest_status(updates: DataFrame, *tie: str) -> DataFrame:
     return updates.groupBy("job_id").agg(last.alias("last")).select("job_id", "last.status", "last.error", "last.ts")
 
 
-def write_results(cards: DataFrame, path: str) -> None:
-    """The cards of each job as one JSON line a card, in a folder for each document; a second run replaces the folders it writes."""
-    cards.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").json(path)
-
-
 def as_sse(stream: DataFrame) -> DataFrame:
     """Server-sent events, nulls left out."""
     return stream.select(F.concat(F.lit("event: progress\ndata: "), F.to_json(F.struct("ts", "step", "pct", "message")), F.lit("\n\n")).alias("value"))
