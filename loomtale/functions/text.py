@@ -13,10 +13,15 @@ EDGES = r"(?U)^\s+|\s+$"
 
 
 def _bases() -> tuple[str, str]:
-    """Precomposed letters up to U+1EFF and the letters under their marks."""
-    pairs = [(chr(c), "".join(x for x in unicodedata.normalize("NFD", chr(c)) if unicodedata.category(x) != "Mn")) for c in range(0xC0, 0x1F00)]
+    """Precomposed characters of all scripts with the single characters under their marks, and after them the marks themselves, which have none.
+
+    No character beyond U+2FFFF decomposes, and the only marks there are selectors in U+E0100 to U+E01EF.
+    """
+    found = (chr(c) for c in range(0xC0, 0x30000) if not 0xD800 <= c < 0xE000 and unicodedata.decomposition(chr(c))[:1] not in ("", "<"))
+    pairs = [(c, "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")) for c in found]
     pairs = [(a, b) for a, b in pairs if len(b) == 1 and a != b]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+    marks = [chr(c) for c in (*range(0x300, 0x30000), *range(0xE0100, 0xE01F0)) if unicodedata.category(chr(c)) == "Mn"]
+    return "".join([*(a for a, _ in pairs), *marks]), "".join(b for _, b in pairs)
 
 
 ACCENTED, PLAIN = _bases()
@@ -28,8 +33,11 @@ def strip(text: Column) -> Column:
 
 
 def normalize(text: Column) -> Column:
-    """Lower case, without accents, single spaces."""
-    plain = F.regexp_replace(F.translate(F.lower(strip(text)), ACCENTED, PLAIN), r"\p{Mn}+", "")
+    """Lower case, without accents, single spaces.
+
+    Characters that stand for several ones without their marks (Hangul syllables, a few signs of South Asian scripts and of music) stay whole.
+    """
+    plain = F.translate(F.lower(strip(text)), ACCENTED, PLAIN)
     return F.regexp_replace(plain, r"(?U)\s+", " ")
 
 

@@ -90,3 +90,17 @@ def test_confidence(spark, refs, aliases, review, expected):
 @pytest.mark.parametrize(("answer", "expected"), [('```json\n{"a": 1}\n```', '{"a": 1}'), ('text {"a":"}"} tail', '{"a": "}"}'), ('{"a":1', None), ("[1]", None), (None, None)])
 def test_json(answer, expected):
     assert first_object(answer) == expected
+
+
+def test_normal_form_of_every_character(spark):
+    """As the standard library decomposes it, but for characters that stand for several ones without their marks."""
+    import unicodedata
+
+    bare = lambda t: "".join(x for x in unicodedata.normalize("NFD", t) if unicodedata.category(x) != "Mn")
+    codes = [c for c in range(0x21, 0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) not in ("Cn", "Co", "Cc")]
+    several = {c for c in codes if len(bare(chr(c).lower())) > 1}
+    assert len([c for c in several if not 0xAC00 <= c <= 0xD7A3]) < 50
+    df = spark.createDataFrame([(c, f"a{chr(c)}b") for c in codes if c not in several], "c int, t string")
+    wrong = [r["c"] for r in df.select("c", "t", X.normalize(F.col("t")).alias("n")).collect() if r["n"] != " ".join(bare(r["t"].lower()).split())]
+    assert wrong == []
+    assert one(spark, X.normalize(F.col("v")), v="ὌΡΟΣ") == "ορος"
