@@ -13,10 +13,11 @@ register is their similarity.  ``ROWS`` registers make a band.
 nodes of a bucket are compared with one of them, its pivot: the node that shares the most buckets
 with others, which in a group of near copies is what they were copied from.
 *The rest.*  Where a bucket then still holds several classes, every node outside the pivot's class is
-compared with all nodes of the bucket.  Nodes are dealt into blocks of about ``BLOCK`` bytes of
-shingles, and a task holds two blocks at a time, however large the bucket is.  So each pair that
-shares a bucket is compared unless a link through others has put it into one class, and no pair
-becomes a row: a task hands on a link only if it joins two classes for the first time in its blocks.
+compared with all nodes of the bucket.  A task keeps nodes outside of about ``WIDE`` bytes of shingles
+and streams about as many of all nodes past them, in tiles of ``BLOCK`` bytes, however large the bucket
+is.  A bucket of N bytes with S outside moves N + S up to ``WIDE``, and 2 N S / ``WIDE`` beyond.  So each
+pair that shares a bucket is compared unless links have put it into one class, and no pair becomes a
+row: a task hands on a link only if it joins two classes for the first time in its block.
 
 *Verification.*  Comparisons are exact, on all shingles: common shingles are counted by matrix products,
 and pairs with a weight above one whose shared mass allows it are computed one by one.
@@ -46,8 +47,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: What a similarity may miss by rounding.
 NEAR = 1e-9
 REGISTERS, ROWS = 264, 6
-#: Bytes of shingles of a block, and bytes that a node counts for at least.
-BLOCK, LEAST_BYTES = 1_000_000, 1_000
+#: Bytes of shingles that are compared at a time and that a task keeps of a bucket's rest, and bytes that a node counts for at least.
+BLOCK, WIDE, LEAST_BYTES = 1_000_000, 24_000_000, 1_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -169,8 +170,8 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 class _Side:
     """Some nodes of a block: their classes, and all their shingles with text number, hash and weight."""
 
-    def __init__(self, rows: list[tuple], classes: dict[tuple, int]):
-        self.classes = np.array([classes.setdefault(c, len(classes)) for c, _, _ in rows])
+    def __init__(self, rows: list[tuple[int, bytes, bytes | None]]):
+        self.classes = np.array([c for c, _, _ in rows])
         self.sets = [(np.frombuffer(h, np.uint64), np.ones(len(h) // 8) if w is None else np.frombuffer(w, np.int32).astype(float)) for _, h, w in rows]
         self.heavy = np.array([w is not None for _, _, w in rows])
         self.sizes = np.array([len(h) for h, _ in self.sets])
@@ -218,43 +219,84 @@ def _shared(left: _Side, right: _Side) -> Callable[[np.ndarray, np.ndarray], np.
     return sums
 
 
-def _joined(rows: list[tuple]) -> list[tuple[tuple, tuple]]:
-    """Links between classes that similar nodes of a block's two sides make, none twice.  A row: left, class, h, w."""
-    classes: dict[tuple, int] = {}
-    sides = [[(c, h, w) for left, c, h, w in rows if left == x and h] for x in (True, False)]
-    if not all(sides):
-        return []
-    left, right = (_Side(x, classes) for x in sides)
-    sums = _shared(left, right)
-    shared = np.rint(sums(np.ones(len(left.h)), np.ones(len(right.h))))
-    other = left.classes[:, None] != right.classes[None, :]
-    alike = other & (shared >= (SIMILARITY - NEAR) * (left.sizes[:, None] + right.sizes[None, :] - shared))
-    heavy = left.heavy[:, None] | right.heavy[None, :]
-    up = list(range(len(classes)))
-    names = list(classes)
-    out = []
-
-    def top(i: int) -> int:
-        while up[i] != i:
-            up[i] = i = up[up[i]]
+class _Block:
+    """The classes of a block's nodes, by number, joined as links between them are found."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[tuple, int] = {}
+        self.names: list[tuple] = []
+        self.up: list[int] = []
+
+    def number(self, name: tuple) -> int:
+        if name not in self.numbers:
+            self.numbers[name] = len(self.names)
+            self.up.append(len(self.names))
+            self.names.append(name)
+        return self.numbers[name]
+
+    def top(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = i = self.up[self.up[i]]
         return i
 
-    def link(i: int, j: int) -> None:
-        if (a := top(i)) != (b := top(j)):
-            up[a] = b
-            out.append((names[i], names[j]))
-
-    i, j = np.nonzero(alike & ~heavy)
-    for code in np.unique(left.classes[i] * len(up) + right.classes[j]).tolist():
-        link(*divmod(code, len(up)))
-    if heavy.any():
-        # probability Jaccard is never above the mass that either side has on common shingles
-        mass = np.minimum(sums(left.mass, np.ones(len(right.h))), sums(np.ones(len(left.h)), right.mass))
-        for i, j in np.argwhere(other & heavy & (mass >= SIMILARITY - 1e-4)).tolist():
-            a, b = int(left.classes[i]), int(right.classes[j])
-            if top(a) != top(b) and probability_jaccard(left.sets[i], right.sets[j]) >= SIMILARITY - NEAR:
-                link(a, b)
-    return out
+    def met(self, left: _Side, right: _Side) -> list[tuple[tuple, tuple]]:
+        """Links that similar nodes of the two sides make between classes, none that earlier ones make already."""
+        ours, theirs = (np.array([self.top(c) for c in x.classes.tolist()]) for x in (left, right))
+        other = ours[:, None] != theirs[None, :]
+        if not other.any():
+            return []
+        sums = _shared(left, right)
+        shared = np.rint(sums(np.ones(len(left.h)), np.ones(len(right.h))))
+        alike = other & (shared >= (SIMILARITY - NEAR) * (left.sizes[:, None] + right.sizes[None, :] - shared))
+        heavy = left.heavy[:, None] | right.heavy[None, :]
+        out = []
+
+        def link(i: int, j: int) -> None:
+            if (a := self.top(i)) != (b := self.top(j)):
+                self.up[a] = b
+                out.append((self.names[i], self.names[j]))
+
+        i, j = np.nonzero(alike & ~heavy)
+        for code in np.unique(ours[i] * len(self.up) + theirs[j]).tolist():
+            link(*divmod(code, len(self.up)))
+        if heavy.any():
+            # probability Jaccard is never above the mass that either side has on common shingles
+            mass = np.minimum(sums(left.mass, np.ones(len(right.h))), sums(np.ones(len(left.h)), right.mass))
+            for i, j in np.argwhere(other & heavy & (mass >= SIMILARITY - 1e-4)).tolist():
+                a, b = int(ours[i]), int(theirs[j])
+                if self.top(a) != self.top(b) and probability_jaccard(left.sets[i], right.sets[j]) >= SIMILARITY - NEAR:
+                    link(a, b)
+        return out
+
+
+def _joined(rows: Iterator[tuple]) -> Iterator[tuple[tuple, tuple]]:
+    """Links between classes that similar nodes of a block's two sides make, none twice.
+
+    A row: left, class, h, w; those of the left side come first and are kept, the others pass by in tiles.
+    """
+    block, kept, tile, size = _Block(), [], [], 0
+
+    def full() -> Iterator[tuple[tuple, tuple]]:
+        side = _Side(tile)
+        if is_left:
+            kept.append(side)
+            return
+        for held in kept:
+            yield from block.met(held, side)
+
+    for is_left, sides in groupby(rows, lambda r: r[0]):
+        for _, name, h, w in sides:
+            if h:
+                tile.append((block.number(name), h, w))
+                size += max(LEAST_BYTES, len(h))
+                if size >= BLOCK:
+                    yield from full()
+                    tile, size = [], 0
+        if tile:
+            yield from full()
+            tile, size = [], 0
+        if not kept:
+            return
 
 
 def _compared(rows: DataFrame, shingled: DataFrame) -> DataFrame:
@@ -272,25 +314,26 @@ def _compared(rows: DataFrame, shingled: DataFrame) -> DataFrame:
 
         found: list[tuple[tuple, tuple]] = []
         for _, block in groupby(every(), lambda r: r[0]):
-            found += _joined([(left, (i, k), h, w) for _, left, i, k, h, w in block])
-            if len(found) > 10_000:
-                yield sent(found)
-                found = []
+            for pair in _joined((left, (i, k), h, w) for _, left, i, k, h, w in block):
+                found.append(pair)
+                if len(found) > 10_000:
+                    yield sent(found)
+                    found = []
         yield sent(found)
 
-    # a block's rows are bounded by BLOCK for each side; blocks of one hash are compared together, which is harmless
-    links = dealt.repartition("block").sortWithinPartitions("block").mapInArrow(run, "id bigint, k bigint, b_id bigint, b_k bigint")
+    # a block's left side is bounded by WIDE; blocks of one hash are compared together, which is harmless
+    links = dealt.repartition("block").sortWithinPartitions("block", F.desc("left")).mapInArrow(run, "id bigint, k bigint, b_id bigint, b_k bigint")
     return links.select(F.struct("id", "k").alias("a"), F.struct(F.col("b_id").alias("id"), F.col("b_k").alias("k")).alias("b")).distinct()
 
 
-def _parts(n_bytes: Column) -> Column:
-    return F.greatest(F.lit(1), F.ceil(n_bytes / BLOCK)).cast("long")
+def _parts(n_bytes: Column, of: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil(n_bytes / of)).cast("long")
 
 
 def _star_blocks(stars: DataFrame, sizes: DataFrame) -> DataFrame:
     """Blocks of pivots with their nodes; stars: pivot, node."""
     members = stars.join(sizes, "node")
-    parts = members.groupBy("pivot").agg(_parts(F.sum("bytes")).alias("parts"))
+    parts = members.groupBy("pivot").agg(_parts(F.sum("bytes"), BLOCK).alias("parts"))
     right = members.join(parts, "pivot").select(F.xxhash64("pivot", F.pmod(F.xxhash64("node"), "parts")).alias("block"), F.lit(False).alias("left"), "node", F.col("node").alias("class"))
     left = parts.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     return right.unionByName(left.select(F.xxhash64("pivot", "part").alias("block"), F.lit(True).alias("left"), F.col("pivot").alias("node"), F.col("pivot").alias("class")))
@@ -299,11 +342,11 @@ def _star_blocks(stars: DataFrame, sizes: DataFrame) -> DataFrame:
 def _rest_blocks(starred: DataFrame, classes: DataFrame, sizes: DataFrame) -> DataFrame:
     """Blocks of the nodes outside their pivot's class with all nodes of the bucket."""
     known = starred.where("n > 2").join(sizes, "node").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    whole = known.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max(F.when(F.col("node") == F.col("pivot"), F.col("class"))).alias("home"), _parts(F.sum("bytes")).alias("all"))
+    whole = known.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max(F.when(F.col("node") == F.col("pivot"), F.col("class"))).alias("home"), _parts(F.sum("bytes"), WIDE).alias("all"))
     whole = common.Staged(whole.where("low != high").select("bucket", "home", "all"), "whole").df  # as the pivots were
     mixed = known.join(whole, "bucket").withColumn("outside", F.col("class") != F.col("home"))
     mixed = common.Staged(mixed.select("bucket", "node", "class", "bytes", "outside", "all"), "mixed").df
-    some = mixed.where("outside").groupBy("bucket").agg(_parts(F.sum("bytes")).alias("some"))
+    some = mixed.where("outside").groupBy("bucket").agg(_parts(F.sum("bytes"), WIDE).alias("some"))
     mixed = mixed.join(some, "bucket")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     left = mixed.where("outside").withColumn("g", F.pmod(F.xxhash64("node"), "some")).withColumn("h", every("all"))
@@ -330,6 +373,8 @@ def _components(edges: DataFrame) -> DataFrame:
         if n == before and stage.df.join(last, ["a", "b"], "left_anti").isEmpty():
             return stage.df.select(F.col("a").alias("node"), F.col("b").alias("class"))
         before = n
+
+
 def _classes(docs: DataFrame) -> DataFrame:
     """(id, k, class, class_size) of the keyed documents; class is a node, the least (id, k) of its words."""
     signed = common.Staged(signatures(docs), "signatures").df

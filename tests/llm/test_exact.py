@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from loomtale.llm import decontam, host_quality, near_dedup, phrase_dedup, sp_codec, token_counts
 
@@ -206,3 +207,23 @@ def test_near_duplicates(docs):
                 parent[max(find(i), find(j))] = min(find(i), find(j))
     assert {r["doc_id"]: r["class_id"] for r in rows} == {i: find(i) for i in ids}
     assert sum(r["first"] for r in rows) == len({find(i) for i in ids})
+
+
+def test_rows_of_a_mixed_bucket_and_its_links(spark):
+    """Every second node outside the pivot's class: few rows more than nodes, and links found across all tiles."""
+    def rest(n):
+        node = F.struct(F.col("id"), F.lit(0).cast("long").alias("k"))
+        nodes = spark.range(n).select(node.alias("node"), F.lit(5000).cast("long").alias("bytes"))
+        home = F.struct(F.lit(0).cast("long").alias("id"), F.lit(0).cast("long").alias("k"))
+        starred = nodes.select(F.lit(1).cast("long").alias("bucket"), "node", F.lit(n).cast("long").alias("n"), home.alias("pivot"))
+        classes = nodes.where("node.id % 2 = 0 and node.id > 0").select("node", home.alias("class"))
+        return near_dedup._rest_blocks(starred, classes, nodes)
+
+    few, many = rest(2000).count(), rest(8000).count()
+    assert few <= 3000 and many < 6 * few
+    made = rest(8000).groupBy("block").agg(F.count_if("left").alias("l"), F.count_if(~F.col("left")).alias("r")).collect()
+    assert sum(r["l"] * r["r"] for r in made) == 4000 * 8000
+    sets = [np.arange(20 * (i % 7), 20 * (i % 7) + 20, dtype=np.uint64).tobytes() for i in range(2800)]
+    rows = [(left, (i, 0), sets[i], None) for left in (True, False) for i in range(2800)]
+    links = list(near_dedup._joined(iter(rows)))
+    assert len(links) == 2800 - 7 and all(a[0] % 7 == b[0] % 7 for a, b in links)
