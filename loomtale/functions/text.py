@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from . import vocabulary as V
 
-EDGES = r"(?U)^\s+|\s+$"
+#: White space of any kind, as ``\\s`` with Unicode classes has it.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def _bases() -> tuple[str, str]:
@@ -29,7 +30,7 @@ ACCENTED, PLAIN = _bases()
 
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, EDGES, "")
+    return F.trim(text, F.lit(SPACES))
 
 
 def normalize(text: Column) -> Column:

@@ -21,6 +21,11 @@ REVIEW = _I + r"(?:\b(?:dijo|dice|seg[uú]n|says)\b|[\"“”])[^.\n]{0,160}(?:n
 # What every match of the two holds, in lower case; letters that case folding may hide are looked for too.
 COPYRIGHT_STEMS = ["copyright", "rights reserved", "derechos reservados", "isbn", "publicado por", "published by", "editorial", "primera edici", "no se permite"]
 REVIEW_STEMS = ["new york times", "publishers weekly", "kirkus", "booklist", "autor", "escritor", "novelist"]
+ANY_HEADING = _I + r"\b(?:" + "|".join(V.HEADINGS) + r")\b"
+# The first five lines that aren't blank, and a line that ends in a digit but for white space.
+_BREAKS = r"\n\x0B\f\r\x{85}\x{2028}\x{2029}"
+OPENING = rf"(?U)\A\s*(?:[^{_BREAKS}]+\s*){{0,5}}"
+ENDS_IN_DIGIT = rf"(?U)\d\s*(?:[{_BREAKS}]|\z)"
 FOLDED = ["ſ", "ı", "i̇", "İ"]
 
 
@@ -29,7 +34,10 @@ def lines_of(text: Column) -> Column:
 
 
 def non_narrative(text: Column) -> Column:
-    """True for blank text, headings, contents, copyright pages, reviews and the like."""
+    """True for blank text, headings, contents, copyright pages, reviews and the like.
+
+    Lines are looked at only where the first five may hold a heading or some line ends in a digit; two patterns over the text tell.
+    """
 
     def let(value: Column, f) -> Column:  # computed once, also inside a lambda
         return F.element_at(F.transform(F.array(value), f), 1)
@@ -40,19 +48,17 @@ def non_narrative(text: Column) -> Column:
         # a line ends in a digit, which is cheap to see
         entries = F.size(F.filter(opening, lambda x: F.substring(x, -1, 1).rlike(r"(?U)\d") & x.rlike(CONTENTS_LINE)))
         contents = (entries >= 3) & (entries >= 0.35 * F.size(opening))
-        # nearly no text has any of them, so one pattern of all goes first
-        any_of = _I + r"\b(?:" + "|".join(V.HEADINGS) + r")\b"
-        found = lambda joined: joined.rlike(any_of) & (sum((joined.rlike(_I + rf"\b{p}\b").cast("int") for p in V.HEADINGS), F.lit(0)) >= 2)
+        found = lambda joined: joined.rlike(ANY_HEADING) & (sum((joined.rlike(_I + rf"\b{p}\b").cast("int") for p in V.HEADINGS), F.lit(0)) >= 2)
         return heading | contents | let(F.array_join(top, "\n"), found)
 
-    def twice(pattern: str, stems: list[str]) -> Column:
-        some = let(F.lower(text), lambda low: reduce(or_, [low.contains(s) for s in [*stems, *FOLDED]]))
-        return some & (F.regexp_count(text, F.lit(pattern)) >= 2)
+    def phrases(low: Column) -> Column:
+        some = lambda stems: reduce(or_, [low.contains(s) for s in stems])
+        twice = lambda pattern, stems: (some(stems) | some(FOLDED)) & (F.regexp_count(text, F.lit(pattern)) >= 2)
+        return some(["table of contents", "tabla de contenidos"]) | twice(COPYRIGHT, COPYRIGHT_STEMS) | (twice(REVIEW, REVIEW_STEMS) & (F.length(strip(text)) < 5000))
 
-    rights = twice(COPYRIGHT, COPYRIGHT_STEMS)
-    reviews = twice(REVIEW, REVIEW_STEMS) & (F.length(strip(text)) < 5000)
-    phrase = F.lower(text).contains("table of contents") | F.lower(text).contains("tabla de contenidos")
-    return F.coalesce((strip(text) == "") | let(lines_of(text), by_line) | rights | reviews | phrase, F.lit(True))
+    lined = F.regexp_extract(text, OPENING, 0).rlike(ANY_HEADING) | text.rlike(ENDS_IN_DIGIT)
+    matter = F.when(lined, let(lines_of(text), by_line)).otherwise(F.lit(False))
+    return F.coalesce(~text.rlike(r"(?U)\S") | let(F.lower(text), phrases) | matter, F.lit(True))
 
 
 def narrative_chunks(chunks: DataFrame, *, doc_id: str = "doc_id") -> DataFrame:

@@ -104,3 +104,10 @@ def test_normal_form_of_every_character(spark):
     wrong = [r["c"] for r in df.select("c", "t", X.normalize(F.col("t")).alias("n")).collect() if r["n"] != " ".join(bare(r["t"].lower()).split())]
     assert wrong == []
     assert one(spark, X.normalize(F.col("v")), v="ὌΡΟΣ") == "ορος"
+
+
+def test_strip_takes_white_space_of_any_kind(spark):
+    chars = [chr(c) for c in range(1, 0x3100)] + ["﻿", "​"]
+    rows = spark.createDataFrame([(f"{c}{c}x {c} y{c}\n",) for c in chars] + [("",), (" 　",), (None,)], "t string")
+    got = rows.select(X.strip(F.col("t")).alias("a"), F.regexp_replace("t", r"(?U)^\s+|\s+$", "").alias("b")).collect()
+    assert [r for r in got if r["a"] != r["b"]] == []
