@@ -597,6 +597,63 @@ def grouped_characters(spark, d):
     )
 
 
+_LETTERS = ("0123456789", "abcdefghij")
+#: A customer's names: up to three of three words, by r, and one that all orders have.
+_NICK = "case when c % 7 = 0 then 'Soldados' else 'Nir' || w end || ' Vel' || s || w || ' Tor' || s || w"
+
+
+def _meetings(spark, d):
+    """Orders as observed characters: a customer goes by up to three names, which one further name makes a cluster, in whatever order; 40 customers are a book."""
+    c, k = F.col("o_custkey"), F.col("o_orderkey")
+    w, r = F.translate(c.cast("string"), *_LETTERS), F.when(c % 9 == 0, 0).otherwise(k % 3)
+    o = _t(spark, d, "orders").select(c.alias("c"), k.alias("k"), w.alias("w"), F.when(r == 0, "p").when(r == 1, "q").otherwise("ss").alias("s"), "o_orderpriority")
+    c, k, nick, full = F.col("c"), F.col("k"), F.expr(_NICK), F.expr("'Ana' || w || ' Ruiz' || w")
+    value = lambda v: F.struct(v.alias("value"))
+    names = F.array(value(nick), value(F.when(k % 5 == 0, F.concat(F.lit("Dr. "), full)).otherwise(full)), value(F.when((c % 6 == 0) & (k % 4 == 0), F.expr("'el Grim' || w"))))
+    gender = F.when(c % 9 == 0, F.when(k % 2 == 0, "Femenino").otherwise("masculino")).when(c % 3 == 0, "Femenino")
+    character = F.to_json(
+        F.struct(
+            F.concat(F.lit("char_"), k.cast("string")).alias("local_id"), nick.alias("display_name"), F.when(k % 4 != 0, "named").otherwise("descriptive").alias("reference_type"),
+            F.struct(names.alias("name_variants")).alias("identity"),
+            F.struct(value(gender).alias("gender"), F.when(k % 2 == 0, F.array(value(F.col("o_orderpriority")))).alias("physical_traits")).alias("appearance"),
+            F.struct(F.when(k % 5 == 0, F.array(value(F.lit("runs")))).alias("actions")).alias("scene_context"),
+        )
+    )
+    rows = o.select(F.floor(c / 40).cast("long").alias("doc_id"), (k % 11).cast("int").alias("chunk_index"), "k", F.from_json(character, extraction.CHARACTER).alias("c"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("k", F.struct("c").alias("x")))), lambda r: r["x"]["c"])
+    return rows.groupBy("doc_id", "chunk_index").agg(ordered.alias("characters"))
+
+
+@query(f"""with a as (select o_custkey as c, o_orderkey as k, translate(o_custkey::varchar, '{_LETTERS[0]}', '{_LETTERS[1]}') as w,
+  case case when o_custkey % 9 = 0 then 0 else o_orderkey % 3 end when 0 then 'p' when 1 then 'q' else 'ss' end as s, lower(o_orderpriority) as trait from orders),
+o as (select *, {{'h': k % 11, 'k': k}} as o, {_NICK} as nick, case when c % 9 = 0 then if(k % 2 = 0, 'Femenino', 'masculino') when c % 3 = 0 then 'Femenino' end as gender from a),
+n as (select c, nick as name, length(nick) as len, count(*) as n, min(o) as o from o group by c, nick),
+main as (select c, arg_max(name, {{'len': len, 'n': n, 'place': -r}}) as canonical_name from (select *, row_number() over (partition by c order by o) as r from n) group by c),
+other as (select c, name, r * 2 as place from (select *, row_number() over (partition by c order by o) as r from n) union all select distinct c, 'Ana' || w || ' Ruiz' || w, 3 from a),
+al as (select c, canonical_name, count(*) filter (where name <> canonical_name) as n_aliases, count(*) as n, coalesce(string_agg(name, '|' order by place) filter (where name <> canonical_name), '') as aliases from other join main using (c) group by c, canonical_name),
+g as (select c, if(arg_min(k % 4 <> 0, o), 'named', 'descriptive') as entity_type, count(*) as refs, bool_or(k % 5 = 0) as titled, bool_or(c % 6 = 0 and k % 4 = 0) as grim, any_value(w) as w, arg_min(gender, o) as gender,
+  count(distinct gender) > 1 as torn, count(distinct trait) filter (where k % 2 = 0) as ph from o group by c),
+f as (select *, (gender is not null)::int + least(ph, 3) + titled::int as substance, case when torn then 'low' when refs >= 3 or n_aliases >= 2 then 'high' else 'medium' end as confidence, c % 7 = 0 as grp, entity_type = 'named' as named from g join al using (c))
+select c // 40 as doc_id, canonical_name, entity_type, aliases, if(grim, 'el Grim' || w, '') as appellations, (n + titled::int + grim::int)::int as n_names, refs as n_references, gender, torn as needs_llm_review, if(torn, 'conflict', '') as reasons, confidence, substance::int as substance,
+  (not grp and ((named and substance >= 1) or substance >= 2)) or (refs >= 3 and substance >= 1) or (named and refs >= 2 and substance >= 2) or (named and substance >= 4) or (n_aliases >= 2 and refs >= 2 and substance >= 2) as eligible from f""")
+def merged_characters(spark, d):
+    """The greedy passes where their order doesn't matter: groups that share a specific name, merged by the whole Pipeline."""
+    found = Pipeline().consolidate(_meetings(spark, d))
+    joined = lambda c: F.concat_ws("|", c)
+    return found.select(
+        "doc_id", "canonical_name", "entity_type", joined("aliases").alias("aliases"), joined("specific_appellations").alias("appellations"), F.size("identity_names").alias("n_names"), F.size("references").cast("long").alias("n_references"),
+        F.try_element_at("scalars", F.lit("gender"))["value"].alias("gender"), "needs_llm_review", joined("reasons").alias("reasons"), "confidence", cards.substance(consolidation.substance_counts(found)).alias("substance"), consolidation.eligible(found).alias("eligible"),
+    )
+
+
+@query("""select p_partkey, first(p_partkey) over (partition by p_partkey // 40, split_part(p_name, ' ', 1) order by p_partkey) as found from part""")
+def name_lookup(spark, d):
+    p = _t(spark, d, "part").withColumn("doc_id", F.floor(F.col("p_partkey") / 40).cast("long"))
+    first = F.substring_index("p_name", " ", 1)
+    asked = p.select("doc_id", "p_partkey", F.concat(F.lit(" "), F.upper(first)).alias("name"))
+    return consolidation.by_name(p.select("doc_id", F.col("p_partkey").alias("ord"), first.alias("canonical_name")), asked).select("p_partkey", F.col("character.ord").alias("found"))
+
+
 @query()
 def consolidate_full(spark, d):
     found = Pipeline().consolidate(_observations(spark, d))
