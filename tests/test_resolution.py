@@ -86,7 +86,7 @@ def test_no_task_holds_more_than_a_component(spark, monkeypatch, tmp_path):
     sizes, decide = str(tmp_path), consolidation._decide
 
     def noted(rows, facts, *rest):
-        with open(os.path.join(sizes, f"{rows['component'].iloc[0]}"), "w") as f:
+        with open(os.path.join(sizes, f"{rows[0]['component']}"), "w") as f:
             f.write(str(len(rows)))
         return decide(rows, facts, *rest)
 
@@ -140,6 +140,26 @@ def test_each_pair_is_asked_once(spark, tmp_path):
     assert len([r for r in made.collect() if r["doc_id"] == 1]) == len(live)
 
 
+def test_books_that_wait_for_different_numbers_of_rounds(spark):
+    """Answers of a component that has ended stay in the table while another one goes on."""
+    books = {1: ["Ana Paz", "Paz"], 2: ["Ines Rios", "Rios", "Bruno Rios", "Ada Rios", "Eva Rios"], 3: ["Lone Wolf"]}
+    rows = [(d, 10 * k, [n]) for d, found in books.items() for k, n in enumerate(found)]
+    resolver = lambda a, b, score: {"should_merge": "paz" not in a["names"] + b["names"], "confidence": "high", "reason": "r"}
+    together = names(Pipeline(resolver=resolver).consolidate(seen(spark, rows)).collect())
+    alone = [x for d in books for x in names(Pipeline(resolver=resolver).consolidate(seen(spark, [r for r in rows if r[0] == d])).collect())]
+    assert together == sorted(alone, key=str) and [d for d, _ in together] == [1, 1, 2, 3]
+
+
+def test_by_name(spark):
+    """The first character of a name; other spellings, ties, nulls, names that nobody has, columns of clashing names."""
+    found = spark.createDataFrame([(1, 5, "Inés  Rios"), (1, 2, "ines RIOS"), (1, 9, "Paz"), (None, 1, "Paz"), (2, 0, None)], "doc_id long, ord int, canonical_name string")
+    asked = spark.createDataFrame([(1, " INES rios", 0), (1, "paz", 1), (None, "PAZ", 2), (2, "paz", 3), (2, None, 4), (1, "paz", 1)], "doc_id long, name string, ORD int")
+    got = consolidation.by_name(found, asked)
+    assert got.columns == ["doc_id", "name", "ORD", "character"]
+    assert sorted((r[2], r[3] and tuple(r[3])) for r in got.collect()) == [(0, (1, 2, "ines RIOS")), (1, (1, 9, "Paz")), (1, (1, 9, "Paz")), (2, (None, 1, "Paz")), (3, None), (4, None)]
+    assert consolidation.by_name(found.limit(0), asked).where("character is not null").isEmpty()
+
+
 def test_what_a_resolver_is_shown(spark):
     rows = [(1, 0, [("Ines Rios", {"gender": "femenino", "physical": ["Alta"], "titles": ["capitana"], "actions": ["corre"]})]), (1, 9, [("Rios", {"physical": ["alta", "morena"]})])]
     chunks = spark.createDataFrame([(1, 0, "Here is Ines Rios."), (1, 9, "Only rios here.")], "doc_id long, chunk_index int, chunk_text string")
