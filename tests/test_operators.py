@@ -350,3 +350,24 @@ def test_long_books_are_packed_in_linear_time(spark):
             chars = sum(lengths[start : i + 1]) + i - start
     expected.append((start, 2999))
     assert [len(r["c"]) for r in out] == [sum(lengths[a : b + 1]) + b - a for a, b in expected]
+
+
+def test_equal_names_meet_as_classes(spark, monkeypatch):
+    """Pairs made from classes are those that all characters compared with all give, also over several blocks; alike ones don't multiply rows."""
+    from loomtale.operators import pairing
+
+    names = [["ana ruiz", "ana"], ["eva ruiz"], ["ruiz"], ["ana ruiz", "ana"], []]
+    rows = [(k % 2, k, names[k // 2 % 5], [None, "f", "m"][k % 3], [None, "old"][k % 2], k % 7 == 0, [k % 5 * 2]) for k in range(60)]
+    df = spark.createDataFrame(rows, CAST)
+    monkeypatch.setattr(pairing, "BLOCK", 4)
+    told = lambda found: sorted((r["doc_id"], r["a_ord"], r["b_ord"], round(r["score"], 9), r["decision"], tuple(r["reasons"])) for r in found.collect())
+    a, b = df.select("doc_id", F.col("ord").alias("a_ord")), df.select("doc_id", F.col("ord").alias("b_ord"))
+    every = pairing.score_pairs(df, a.join(b, "doc_id").where("a_ord < b_ord"))
+    assert told(pairing.score_pairs(df, least=0.5)) == told(every.where("score >= 0.5"))
+    decided = pairing.class_pairs(df).withColumns({c: pairing.decision(F.col(f"{c}.score")) for c in ("forward", "backward")})
+    counts = {(r["doc_id"], r["how"]): r["n"] for r in pairing.counted(decided).collect() if r["how"] != "none"}
+    assert counts == {(r["doc_id"], r["decision"]): r["count"] for r in every.where("decision <> 'none'").groupBy("doc_id", "decision").count().collect()}
+    monkeypatch.setattr(pairing, "BLOCK", 4096)
+    many = spark.range(2000).select(F.lit(1).alias("doc_id"), F.col("id").alias("ord"), F.array(F.lit("ana ruiz")).alias("names"), F.lit("f").alias("gender"), F.lit(None).cast("string").alias("age"), F.lit(False).alias("conflicted"), F.array(F.lit(1)).alias("chunks"))
+    alike = pairing.class_pairs(many)
+    assert alike.count() == 1 and [r["n"] for r in pairing.counted(alike).collect()] == [2000 * 1999 // 2]
