@@ -371,3 +371,11 @@ def test_equal_names_meet_as_classes(spark, monkeypatch):
     many = spark.range(2000).select(F.lit(1).alias("doc_id"), F.col("id").alias("ord"), F.array(F.lit("ana ruiz")).alias("names"), F.lit("f").alias("gender"), F.lit(None).cast("string").alias("age"), F.lit(False).alias("conflicted"), F.array(F.lit(1)).alias("chunks"))
     alike = pairing.class_pairs(many)
     assert alike.count() == 1 and [r["n"] for r in pairing.counted(alike).collect()] == [2000 * 1999 // 2]
+
+
+def test_pages_with_open_references(spark, duck):
+    pages = ["<title>you&&&amp</title><p>a &amp; b", "x&copy y &copy; &nosuch; &#65; &quot;q&quot; &notit;", "<a href='?a=1&amp=2'>&</a>&middot", "&amp;quot; &amp;amp;"]
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
+    got = {r["page_id"]: r["text"] for r in readers.pages_text(df).collect()}
+    assert got == {0: "you&&&amp\na & b", 1: 'x&copy y © &nosuch; A "q" &notit;', 2: "&\n&middot", 3: "&quot; &amp;"}
+    assert readers.html_text("<p>R&amp") == "R&"  # files are read as before
