@@ -21,10 +21,13 @@ from pyspark.sql.types import StructType
 
 from ..functions.text import head, strip, window_around
 from .keys import opened, sealed
+from .lineage import cut
 
 MAX_SNIPPETS, SNIPPET_CHARS, MAX_MENTIONS, MENTION_CHARS = 4, 900, 6, 500
 #: Chunks of a book that are searched together.
 PART = 512
+#: The first chunks of books, those of several books together, and how many such sets a shuffle partition has.
+SHORT, SETS = 32, 64
 #: What counts as white space at the ends of a snippet.
 WHITE = "".join(chr(c) for c in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 
@@ -48,9 +51,8 @@ def find_term(text: Column, term: Column) -> Column:
 def best_snippet(text: Column, terms: Column, width: int = SNIPPET_CHARS) -> Column:
     """Around the first term that occurs, else the head of the text."""
 
-    def around(t: Column) -> Column:
-        at = find_term(text, t)
-        return F.when(at.isNotNull(), window_around(text, at, at + F.length(t), width))
+    def around(t: Column) -> Column:  # the place is looked for once, whatever reads it
+        return F.element_at(F.transform(F.array(find_term(text, t)), lambda at: F.when(at.isNotNull(), window_around(text, at, at + F.length(t), width))), 1)
 
     found = F.filter(F.transform(clean_terms(terms), around), lambda x: x.isNotNull())
     return F.coalesce(F.get(found, F.lit(0)), head(text, width))
@@ -168,20 +170,29 @@ def mentions_of(chunks: DataFrame, *, limit: int = MAX_MENTIONS, width: int = ME
 def _hits(asked: DataFrame, chunks: DataFrame, limit: int, width: int) -> DataFrame:
     """(doc_id, low, chunk_index, matched_text, snippet): of each lower-case term of a document its first ``limit`` chunks; doc_ids are sealed."""
     terms = asked.select("doc_id", F.explode("terms").alias("term")).where("term is not null").select("doc_id", _low(F.col("term")).alias("low")).where("low != ''").distinct()
-    texts = chunks.where("chunk_text is not null").select("doc_id", F.floor(F.col("chunk_index") / PART).cast("long").alias("part"), "chunk_index", "chunk_text")
+    parts_of = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    short = F.col("chunk_index").between(0, SHORT - 1)
+    shared = F.concat(F.lit("*"), F.pmod(F.hash("doc_id"), F.lit(parts_of * SETS)).cast("string"))  # no sealed id begins so
+    texts = chunks.where("chunk_text is not null").select("doc_id", F.when(short, shared).otherwise(F.col("doc_id")).alias("set"), F.when(short, 0).otherwise(F.floor(F.col("chunk_index") / PART)).cast("long").alias("part"), "chunk_index", "chunk_text")
     # a book's terms go to each of its parts, never to its chunks
-    parts = texts.select("doc_id", "part").distinct().join(terms, "doc_id")
+    parts = texts.select("doc_id", "set", "part").distinct().join(terms, "doc_id")
 
-    def run(key: tuple, terms: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
-        find = Finder(terms["low"].tolist())
+    def run(terms: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+        of: dict[str, list[str]] = {}
+        for book, low in zip(terms["book"], terms["low"], strict=True):
+            of.setdefault(book, []).append(low)
+        finders = {book: Finder(lows) for book, lows in of.items()}
         out = []
-        for i, text in zip(texts["chunk_index"], texts["chunk_text"], strict=True):
-            out += [(key[0], find.terms[k], i, text[at : at + n], _around(text, at, n, width)) for k, (at, n) in find(text).items()]
+        for book, i, text in zip(texts["doc_id"], texts["chunk_index"], texts["chunk_text"], strict=True):
+            if find := finders.get(book):
+                out += [(book, find.terms[k], i, text[at : at + n], _around(text, at, n, width)) for k, (at, n) in find(text).items()]
         return pd.DataFrame(out, columns=["doc_id", "low", "chunk_index", "matched_text", "snippet"])
 
     kind = texts.schema["chunk_index"].dataType.simpleString()
-    parts = parts.select(F.col("doc_id").alias("book"), F.col("part").alias("piece"), "low")  # names of their own, for both sides come from the chunks
-    dealt = parts.groupBy("book", "piece").cogroup(texts.groupBy("doc_id", "part")).applyInPandas(run, f"doc_id string, low string, chunk_index {kind}, matched_text string, snippet string")
+    parts = parts.select(F.col("doc_id").alias("book"), F.col("set").alias("of"), F.col("part").alias("piece"), "low")  # names of their own, for both sides come from the chunks
+    # a search is much work for its bytes, so tasks aren't put together by bytes
+    parts, texts = parts.repartition(parts_of, "of", "piece"), texts.repartition(parts_of, "set", "part")
+    dealt = parts.groupBy("of", "piece").cogroup(texts.groupBy("set", "part")).applyInPandas(run, f"doc_id string, low string, chunk_index {kind}, matched_text string, snippet string")
     order = Window.partitionBy("doc_id", "low").orderBy("chunk_index")
     return dealt.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= limit).drop("__n")
 
@@ -214,7 +225,8 @@ def source_context(asked: DataFrame, chunks: DataFrame) -> DataFrame:
     bounded in number and length, so that a character's row stays small.
     """
     kind = asked.schema["doc_id"].dataType
-    asked, chunks = sealed(asked), sealed(chunks)
+    # chunks are read three times, and each of them takes long to make
+    asked, chunks = sealed(asked), cut(sealed(chunks.select("doc_id", "chunk_index", "chunk_text")))
     refs = asked.select("doc_id", F.col("key").alias("char_ord"), F.posexplode("references").alias("ord", "r"), "terms")
     refs = refs.select("doc_id", "char_ord", "ord", "r.chunk_index", "r.local_id", "terms")
     shown = snippets(refs, chunks).groupBy("doc_id", F.col("char_ord").alias("key")).agg(F.array_sort(F.collect_list(F.struct("ord", "chunk_index", "snippet"))).alias("snippets"))

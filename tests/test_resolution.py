@@ -231,3 +231,16 @@ def test_keys_come_back(spark):
     df = spark.createDataFrame([(1, 2.5), (None, None)], "doc_id long, x double")
     assert sorted(map(str, keys.opened(keys.sealed(df), df.schema["doc_id"].dataType).collect())) == sorted(map(str, df.collect()))
     assert keys.sealed(df).where("doc_id is null").isEmpty()
+
+
+def test_short_books_are_searched_together(spark, monkeypatch):
+    """Books that share a set keep their own terms, and a book that is longer goes on in parts of its own."""
+    monkeypatch.setattr(retrieval, "SETS", 1)
+    monkeypatch.setattr(retrieval, "SHORT", 3)
+    monkeypatch.setattr(retrieval, "PART", 2)
+    chunks = spark.createDataFrame([(d, i, f"w{d % 5} w{d % 3} x") for d in range(30) for i in range(-2, d % 7)], "doc_id long, chunk_index int, chunk_text string")
+    asked = spark.createDataFrame([(d, "k", [f"w{d % 5}"]) for d in range(0, 30, 2)], "doc_id long, key string, terms array<string>")
+    got = sorted((m["doc_id"], m["chunk_index"], m["query"]) for m in retrieval.mentions_by_key(asked, chunks, limit=99).collect())
+    assert got == sorted((d, i, f"w{d % 5}") for d in range(0, 30, 2) for i in range(-2, d % 7))
+    keyed = lambda p: "hashpartitioning(set" in p and "REPARTITION_BY_NUM" in p
+    assert keyed(retrieval.mentions_by_key(asked, chunks)._jdf.queryExecution().executedPlan().toString())
