@@ -12,31 +12,43 @@ from pyspark.sql import functions as F
 from ..functions import vocabulary as V
 from ..functions.identity import is_descriptive, is_generated_id
 from ..functions.text import normalize, tokens
+from .lineage import once
 
 GROUP = ("doc_id", "group_key")
 
 
+def _with_references(observed: DataFrame, by: tuple[str, ...], **least: tuple[Column, Column]) -> DataFrame:
+    """``by``, ord (the least), for each of ``least`` its value where its order is least, and references; one aggregation by reference, one of those."""
+    first = observed.groupBy(*by, "chunk_index", "local_id").agg(F.min("ord").alias("ord"), *[F.min(F.struct(order.alias("at"), value.alias("value"))).alias(k) for k, (value, order) in least.items()])
+    places = F.array_sort(F.collect_list(F.struct("ord", "chunk_index", "local_id")))
+    references = F.transform(places, lambda r: F.struct(r["chunk_index"].alias("chunk_index"), r["local_id"].alias("local_id"))).alias("references")
+    out = first.groupBy(*by).agg(F.min("ord").alias("ord"), *[F.min(k).alias(k) for k in least], references)
+    return out.select(*by, "ord", *[F.col(f"{k}.value").alias(k) for k in least], "references")
+
+
+def _keyed(items: DataFrame) -> DataFrame:
+    """``items`` with value_norm, without those that have none."""
+    return once(items, value_norm=normalize(F.col("value"))).where(F.coalesce(F.col("value_norm"), F.lit("")) != "")
+
+
 def merge_references(observed: DataFrame, by: tuple[str, ...] = GROUP) -> DataFrame:
     """``by`` and references: distinct (chunk_index, local_id), in the order first seen."""
-    first = observed.groupBy(*by, "chunk_index", "local_id").agg(F.min("ord").alias("ord"))
-    return first.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "chunk_index", "local_id"))), lambda r: F.struct(r["chunk_index"].alias("chunk_index"), r["local_id"].alias("local_id"))).alias("references"))
+    return _with_references(observed, by).drop("ord")
 
 
 def merge_values(traits: DataFrame, attributes: tuple[str, ...] = (), keys: tuple[str, ...] = ()) -> DataFrame:
     """One row for each distinct normal value of a field (and normal ``keys``): the first item's value and attributes, all references."""
-    keyed = traits.withColumn("value_norm", normalize(F.col("value"))).where(F.coalesce(F.col("value_norm"), F.lit("")) != "")
-    keyed = keyed.withColumns({f"{k}_norm": F.coalesce(normalize(F.col(k)), F.lit("")) for k in keys}) if keys else keyed
+    keyed = _keyed(traits)
+    keyed = once(keyed, **{f"{k}_norm": F.coalesce(normalize(F.col(k)), F.lit("")) for k in keys}) if keys else keyed
     by = (*GROUP, "section", "field", "value_norm", *[f"{k}_norm" for k in keys])
-    items = keyed.groupBy(*by).agg(F.min("ord").alias("ord"), *[F.min_by(c, "ord").alias(c) for c in ("value", *attributes)])
-    return items.join(merge_references(keyed, by), list(by))
+    whole = _with_references(keyed, by, item=(F.struct("value", *attributes), F.col("ord")))
+    return whole.select(*by, "ord", *[F.col(f"item.{c}").alias(c) for c in ("value", *attributes)], "references")
 
 
 def merge_scalars(traits: DataFrame) -> DataFrame:
     """One row for each group and field: the first value with its references, and the other values with theirs, in order."""
-    keyed = traits.withColumn("value_norm", normalize(F.col("value"))).where(F.coalesce(F.col("value_norm"), F.lit("")) != "")
     by = (*GROUP, "section", "field")
-    values = keyed.groupBy(*by, "value_norm").agg(F.min("ord").alias("ord"), F.min_by("value", "ord").alias("value"))
-    values = values.join(merge_references(keyed, (*by, "value_norm")), [*by, "value_norm"])
+    values = _with_references(_keyed(traits), (*by, "value_norm"), value=(F.col("value"), F.col("ord")))
     out = values.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("ord", "value", "references"))).alias("v"))
     others = F.transform(F.slice("v", 2, F.size("v")), lambda v: F.struct(v["value"].alias("value"), v["references"].alias("references")))
     first = F.col("v")[0]
@@ -49,10 +61,7 @@ def type_rank(kind: Column) -> Column:
 
 def merge_identity_names(names: DataFrame) -> DataFrame:
     """names: doc_id, group_key, value, type, chunk_index, local_id, ord.  One row for each normal value, the strongest type."""
-    keyed = names.withColumn("value_norm", normalize(F.col("value"))).where(F.coalesce(F.col("value_norm"), F.lit("")) != "")
-    by = (*GROUP, "value_norm")
-    best = keyed.groupBy(*by).agg(F.min("ord").alias("ord"), F.min_by("value", "ord").alias("value"), F.min_by("type", F.struct(-type_rank(F.col("type")), "ord")).alias("type"))
-    return best.join(merge_references(keyed, by), list(by))
+    return _with_references(_keyed(names), (*GROUP, "value_norm"), value=(F.col("value"), F.col("ord")), type=(F.col("type"), F.struct(-type_rank(F.col("type")), "ord")))
 
 
 def canonical_names(merged: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions import vocabulary as V
 from ..functions.text import detected
 from ..operators import cards, chunking, consolidation, extraction, guardrails, narrative, resolving, retrieval
 from ..operators.keys import opened, sealed
-from ..operators.lineage import cut
+from ..operators.lineage import cut, dealt
 from ..streaming import progress
 
 
@@ -43,7 +43,7 @@ class Pipeline:
         models are asked once, and the rest starts from small plans.
         """
         kind = observations.schema["doc_id"].dataType
-        rows = cut(consolidation.observed(sealed(observations)))
+        rows = cut(dealt(consolidation.observed(sealed(observations)), "doc_id", "group_key"))
         found = cut(consolidation.groups(rows))
         assigned = cut(consolidation.clusters(found, self.resolver, merge=self.merge, review=self.review, chunks=sealed(chunks) if chunks is not None else None, rows=rows))
         whole = consolidation.characters(rows, assigned)

@@ -8,7 +8,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from loomtale.operators import components, consolidation, extraction, keys, pairing, resolving, retrieval
+from loomtale.operators import components, consolidation, extraction, keys, merging, pairing, resolving, retrieval
 from loomtale.plans.narrative import Pipeline
 
 
@@ -244,3 +244,24 @@ def test_short_books_are_searched_together(spark, monkeypatch):
     assert got == sorted((d, i, f"w{d % 5}") for d in range(0, 30, 2) for i in range(-2, d % 7))
     keyed = lambda p: "hashpartitioning(set" in p and "REPARTITION_BY_NUM" in p
     assert keyed(retrieval.mentions_by_key(asked, chunks)._jdf.queryExecution().executedPlan().toString())
+
+
+def test_components_share_batches_and_values_are_merged_without_joins(spark):
+    """What each component or value cost before: a group of its own in Python, and a join of its references."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    rows = [(1, k, [f"Name{k} Family{k // 2}"]) for k in range(40)]
+    whole = plan(consolidation.clusters(consolidation.groups(consolidation.observed(seen(spark, rows)))))
+    assert "MapInArrow" in whole and "CoGroup" not in whole
+    items = spark.createDataFrame([(1, "g", "s", "f", " Año ", "t", 0, "a", 0), (1, "g", "s", "f", "ano", "t", 0, "a", 1), (1, "g", "s", "f", "ANO", "u", 2, "b", 2), (1, "g", "s", "f", None, "u", 3, "b", 3)], "doc_id int, group_key string, section string, field string, value string, type string, chunk_index int, local_id string, ord int")
+    for merged in (merging.merge_values(items, ("type",)), merging.merge_identity_names(items)):
+        assert "Join" not in plan(merged)
+        row = merged.first()
+        assert (row["value"], row["type"], row["ord"], [tuple(r) for r in row["references"]]) == (" Año ", "t", 0, [(0, "a"), (2, "b")])
+
+
+def test_many_results_of_many_components(spark, monkeypatch):
+    """More results than a batch holds come out whole, and in pieces."""
+    monkeypatch.setattr(consolidation, "HANDED_ON", 3)
+    rows = [(d, k, [f"Name{k} Family{k // 2}"]) for d in (1, None) for k in range(60)]
+    got = consolidation.clusters(consolidation.groups(consolidation.observed(seen(spark, rows)).transform(keys.sealed))).collect()
+    assert len(got) == 120 and len({(r["doc_id"], r["group_key"]) for r in got}) == 120
