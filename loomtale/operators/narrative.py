@@ -18,7 +18,11 @@ CONTENTS_LINE = _I + r"^\s*(?:(?:cap[ií]tulo|chapter|parte|part)\s+[\w\dIVXLC]+
 CHAPTER = _I + r"(?:^|\n)\s*(?:cap[ií]tulo|chapter|parte|part)\s+[\w\dIVXLC]+\b"
 COPYRIGHT = _I + r"(?:copyright|all rights reserved|todos los derechos reservados|isbn|publicado por|published by|editorial|primera edici[oó]n|no se permite la reproducci[oó]n)"
 REVIEW = _I + r"(?:\b(?:dijo|dice|seg[uú]n|says)\b|[\"“”])[^.\n]{0,160}(?:new york times|publishers weekly|kirkus|booklist|autor(?:a)?|escritor(?:a)?|novelist)"
-# What every match of the two holds, in lower case; letters that case folding may hide are looked for too.
+# What every match of the three holds, in lower case; letters that case folding may hide are looked for too.
+HEADING_STEMS = [
+    "agradecimiento", "acknowledg", "contenido", "contents", "ndice", "index", "autor", "author", "dedicatoria", "dedication", "copyright", "dito", "credit",
+    "reseñ", "review", "elogio", "praise for", "otros libros de", "also by", "bibliogra", "glosario", "glossary",
+]
 COPYRIGHT_STEMS = ["copyright", "rights reserved", "derechos reservados", "isbn", "publicado por", "published by", "editorial", "primera edici", "no se permite"]
 REVIEW_STEMS = ["new york times", "publishers weekly", "kirkus", "booklist", "autor", "escritor", "novelist"]
 ANY_HEADING = _I + r"\b(?:" + "|".join(V.HEADINGS) + r")\b"
@@ -36,8 +40,10 @@ def lines_of(text: Column) -> Column:
 def non_narrative(text: Column) -> Column:
     """True for blank text, headings, contents, copyright pages, reviews and the like.
 
-    Lines are looked at only where the first five may hold a heading or some line ends in a digit; two patterns over the text tell.
+    Lines are looked at only where the first five may hold a heading or some line ends in a digit; two patterns over the text tell, the first
+    of which is looked for only where the text has some heading's letters.
     """
+    some = lambda low, stems: reduce(or_, [low.contains(s) for s in stems])
 
     def let(value: Column, f) -> Column:  # computed once, also inside a lambda
         return F.element_at(F.transform(F.array(value), f), 1)
@@ -52,13 +58,14 @@ def non_narrative(text: Column) -> Column:
         return heading | contents | let(F.array_join(top, "\n"), found)
 
     def phrases(low: Column) -> Column:
-        some = lambda stems: reduce(or_, [low.contains(s) for s in stems])
-        twice = lambda pattern, stems: (some(stems) | some(FOLDED)) & (F.regexp_count(text, F.lit(pattern)) >= 2)
-        return some(["table of contents", "tabla de contenidos"]) | twice(COPYRIGHT, COPYRIGHT_STEMS) | (twice(REVIEW, REVIEW_STEMS) & (F.length(strip(text)) < 5000))
+        twice = lambda pattern, stems: some(low, [*stems, *FOLDED]) & (F.regexp_count(text, F.lit(pattern)) >= 2)
+        return some(low, ["table of contents", "tabla de contenidos"]) | twice(COPYRIGHT, COPYRIGHT_STEMS) | (twice(REVIEW, REVIEW_STEMS) & (F.length(strip(text)) < 5000))
 
-    lined = F.regexp_extract(text, OPENING, 0).rlike(ANY_HEADING) | text.rlike(ENDS_IN_DIGIT)
-    matter = F.when(lined, let(lines_of(text), by_line)).otherwise(F.lit(False))
-    return F.coalesce(~text.rlike(r"(?U)\S") | let(F.lower(text), phrases) | matter, F.lit(True))
+    def matter(low: Column) -> Column:
+        headed = some(low, [*HEADING_STEMS, *FOLDED]) & F.regexp_extract(text, OPENING, 0).rlike(ANY_HEADING)
+        return F.when(headed | text.rlike(ENDS_IN_DIGIT), let(lines_of(text), by_line)).otherwise(F.lit(False))
+
+    return F.coalesce(~text.rlike(r"(?U)\S") | let(F.lower(text), lambda low: phrases(low) | matter(low)), F.lit(True))
 
 
 def narrative_chunks(chunks: DataFrame, *, doc_id: str = "doc_id") -> DataFrame:

@@ -1,10 +1,14 @@
 """Scalar functions and predicates on fixed inputs."""
 
+import itertools
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from loomtale.functions import identity as I
 from loomtale.functions import text as X
+from loomtale.functions import vocabulary as V
 from loomtale.functions.json_repair import first_object
 from loomtale.operators import guardrails, merging, narrative
 
@@ -111,3 +115,20 @@ def test_strip_takes_white_space_of_any_kind(spark):
     rows = spark.createDataFrame([(f"{c}{c}x {c} y{c}\n",) for c in chars] + [("",), (" 　",), (None,)], "t string")
     got = rows.select(X.strip(F.col("t")).alias("a"), F.regexp_replace("t", r"(?U)^\s+|\s+$", "").alias("b")).collect()
     assert [r for r in got if r["a"] != r["b"]] == []
+
+
+def test_every_heading_has_one_of_the_stems(spark):
+    """Headings in any case are found behind the stems, and stems alone are none."""
+    def forms(pattern):  # all texts of a pattern of optional letters, classes and groups
+        parts = re.findall(r"\(\?:([^)]*)\)(\?)?|\[([^]]*)\]|(.)(\?)?", pattern)
+        ways = [[*g.split("|"), *([""] if g_opt else [])] if g else list(cls) if cls else [c, *([""] if c_opt else [])] for g, g_opt, cls, c, c_opt in parts]
+        return ["".join(x) for x in itertools.product(*ways)]
+
+    found = sorted({f(x) for p in V.HEADINGS for x in forms(p) for f in (str, str.upper, str.title, lambda s: s.replace("s", "ſ"), lambda s: s.replace("i", "İ"), lambda s: s.replace("i", "ı"))})
+    texts = [*[f"Uno\n{x}\nTres" for x in found if re.fullmatch("|".join(V.HEADINGS), x.replace("ſ", "s").replace("İ", "i").replace("ı", "i"), re.I)], "el autor presente\nun credito", "x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    lines = narrative.lines_of(F.col("t"))
+    plain = F.exists(F.slice(lines, 1, 5), lambda x: x.rlike(narrative.HEADING)) & ~F.col("t").rlike(narrative.CHAPTER)
+    rows = df.select("t", narrative.non_narrative(F.col("t")).alias("got"), plain.alias("plain")).collect()
+    assert len(rows) > 150 and sum(r["plain"] for r in rows) > 150
+    assert [r["t"] for r in rows if r["plain"] and not r["got"]] == [] and [r["got"] for r in rows if r["t"] in ("el autor presente\nun credito", "x")] == [False, False]
