@@ -265,3 +265,11 @@ def test_many_results_of_many_components(spark, monkeypatch):
     rows = [(d, k, [f"Name{k} Family{k // 2}"]) for d in (1, None) for k in range(60)]
     got = consolidation.clusters(consolidation.groups(consolidation.observed(seen(spark, rows)).transform(keys.sealed))).collect()
     assert len(got) == 120 and len({(r["doc_id"], r["group_key"]) for r in got}) == 120
+
+
+def test_three_references_and_some_substance_are_enough(spark):
+    """A descriptive character of three references and a substance of one is eligible, as in the reference; the SQL of grouped_characters lacks that."""
+    rows = [(1, c, [("Blue Gear", {"physical": ["steel"]})]) for c in range(3)] + [(2, c, [("Blue Gear", {"physical": ["steel"]})]) for c in range(2)]
+    odd = F.transform("characters", lambda c: c.withField("reference_type", F.lit("descriptive")))
+    found = Pipeline().consolidate(seen(spark, rows).withColumn("characters", odd))
+    assert {r["doc_id"]: (r["n"], r["e"]) for r in found.select("doc_id", F.size("references").alias("n"), consolidation.eligible(found).alias("e")).collect()} == {1: (3, True), 2: (2, False)}
