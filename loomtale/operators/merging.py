@@ -64,12 +64,16 @@ def merge_identity_names(names: DataFrame) -> DataFrame:
     return _with_references(_keyed(names), (*GROUP, "value_norm"), value=(F.col("value"), F.col("ord")), type=(F.col("type"), F.struct(-type_rank(F.col("type")), "ord")))
 
 
-def canonical_names(merged: DataFrame) -> DataFrame:
-    """(doc_id, group_key, canonical_name): the best identity name by type, tokens, length, references, then the first."""
+def canonical_order() -> Column:
+    """The place of an identity name among those of its character by type, tokens, length, references, then the first; null if it can't be canonical."""
     normal = F.col("value_norm")
     valid = ~is_descriptive(normal) & ~is_generated_id(F.col("value")) & (F.col("type") != "title")
-    order = F.struct(-type_rank(F.col("type")), -F.size(tokens(normal)), -F.length("value"), -F.size("references"), "ord")
-    return merged.where(valid).groupBy(*GROUP).agg(F.min_by("value", order).alias("canonical_name"))
+    return F.when(valid, F.struct(-type_rank(F.col("type")), -F.size(tokens(normal)), -F.length("value"), -F.size("references"), "ord"))
+
+
+def canonical_names(merged: DataFrame) -> DataFrame:
+    """(doc_id, group_key, canonical_name): the best identity name of those that have one."""
+    return once(merged, place=canonical_order()).where("place is not null").groupBy(*GROUP).agg(F.min_by("value", "place").alias("canonical_name"))
 
 
 def append_unique(values: DataFrame, by: tuple[str, ...] = GROUP) -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions import vocabulary as V
 from ..functions.text import detected
 from ..operators import cards, chunking, consolidation, extraction, guardrails, narrative, resolving, retrieval
 from ..operators.keys import opened, sealed
-from ..operators.lineage import cut, dealt
+from ..operators.lineage import Bucketed, cut
 from ..streaming import progress
 
 
@@ -39,14 +39,15 @@ class Pipeline:
     def consolidate(self, observations: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
         """Observations to characters, those with too little evidence aside; a resolver is shown their source if there are chunks.
 
-        Observed characters, their groups and clusters are read more than once, so they are checkpointed:
+        Observed characters, their groups and clusters are read more than once, so they are cut:
         models are asked once, and the rest starts from small plans.
         """
         kind = observations.schema["doc_id"].dataType
-        rows = cut(dealt(consolidation.observed(sealed(observations)), "doc_id", "group_key"))
-        found = cut(consolidation.groups(rows))
-        assigned = cut(consolidation.clusters(found, self.resolver, merge=self.merge, review=self.review, chunks=sealed(chunks) if chunks is not None else None, rows=rows))
-        whole = consolidation.characters(rows, assigned)
+        seen = Bucketed(consolidation.observed(sealed(observations)), "doc_id", "group_key")
+        found = cut(consolidation.groups(seen.df))
+        assigned = cut(consolidation.clusters(found, self.resolver, merge=self.merge, review=self.review, chunks=sealed(chunks) if chunks is not None else None, rows=seen.df))
+        whole = consolidation.characters(seen.df, assigned)
+        seen.drop()  # the clusters' rows are a table of their own
         return opened(whole.where(~consolidation.anecdotal(whole)), kind)
 
     def cards(self, found: DataFrame, chunks: DataFrame | None = None) -> DataFrame:

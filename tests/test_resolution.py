@@ -8,7 +8,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from loomtale.operators import components, consolidation, extraction, keys, merging, pairing, resolving, retrieval
+from loomtale.operators import components, consolidation, extraction, keys, lineage, merging, pairing, resolving, retrieval
 from loomtale.plans.narrative import Pipeline
 
 
@@ -273,3 +273,27 @@ def test_three_references_and_some_substance_are_enough(spark):
     odd = F.transform("characters", lambda c: c.withField("reference_type", F.lit("descriptive")))
     found = Pipeline().consolidate(seen(spark, rows).withColumn("characters", odd))
     assert {r["doc_id"]: (r["n"], r["e"]) for r in found.select("doc_id", F.size("references").alias("n"), consolidation.eligible(found).alias("e")).collect()} == {1: (3, True), 2: (2, False)}
+
+
+def test_what_is_merged_is_moved_once(spark):
+    """Only the clusters' flags are shuffled behind the cut of their rows, which hold no quotes; the observed rows' table is gone."""
+    rows = seen(spark, [(d, c, [("Ines Rios", {"gender": "f", "physical": ["tall"], "actions": ["runs"]}), "Capitana Ines Rios", "Bruno"]) for d in range(3) for c in range(3)])
+    held = consolidation.observed(rows)
+    assert "quote" not in held.schema["c"].dataType.simpleString() and "name_variants" not in held.schema["c"].dataType.simpleString()
+    tables = lambda: {r["tableName"] for r in spark.sql("show tables in spark_catalog.default like 'loomtale_*'").collect()}
+    before = tables()
+    whole = Pipeline().consolidate(rows)
+    assert len(tables() - before) == 1
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(doc_id#" in plan
+    got = sorted((r["doc_id"], r["canonical_name"], len(r["references"]), "gender" in (r["scalars"] or {}), [x["value"] for x in r["traits"].get("physical_traits", [])]) for r in whole.collect())
+    assert got == sorted([(d, "Bruno", 3, False, []) for d in range(3)] + [(d, "Ines Rios", 6, True, ["tall"]) for d in range(3)])
+
+
+def test_a_bucketed_cut_is_deleted(spark):
+    made = lineage.Bucketed(spark.createDataFrame([(None, "a", 1), ("x", "b", 2)], "doc_id string, group_key string, n int"), "doc_id", "group_key")
+    assert sorted((r["n"], r["doc_id"]) for r in made.df.collect()) == [(1, None), (2, "x")]
+    folder = made.path.removeprefix("file:")
+    assert os.path.isdir(folder)
+    made.drop()
+    assert not os.path.exists(folder) and not spark.catalog.tableExists(made.table)
