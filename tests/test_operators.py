@@ -373,6 +373,18 @@ def test_equal_names_meet_as_classes(spark, monkeypatch):
     assert alike.count() == 1 and [r["n"] for r in pairing.counted(alike).collect()] == [2000 * 1999 // 2]
 
 
+def test_pairs_of_a_large_group_are_made_in_parts(spark, monkeypatch):
+    """A task holds all pairs of two groups, so those whose pairs are made have a bounded number of members; no pair is lost."""
+    from loomtale.operators import pairing
+
+    held, expand = [], pairing.expand
+    monkeypatch.setattr(pairing, "MOST", 16)
+    monkeypatch.setattr(pairing, "expand", lambda found: held.append(tuple(found.agg(F.max(F.size("a")), F.max(F.size("b"))).first())) or expand(found))
+    many = spark.range(100).select(F.lit(1).alias("doc_id"), F.col("id").alias("ord"), F.array(F.lit("ana ruiz")).alias("names"), F.lit("f").alias("gender"), F.lit(None).cast("string").alias("age"), F.lit(False).alias("conflicted"), F.array(F.lit(1)).alias("chunks"))
+    got = [(r["a_ord"], r["b_ord"]) for r in pairing.score_pairs(many, least=0.5).collect()]
+    assert held == [(16, 16)] and sorted(got) == [(x, y) for x in range(100) for y in range(x + 1, 100)]
+
+
 def test_pages_with_open_references(spark, duck):
     pages = ["<title>you&&&amp</title><p>a &amp; b", "x&copy y &copy; &nosuch; &#65; &quot;q&quot; &notit;", "<a href='?a=1&amp=2'>&</a>&middot", "&amp;quot; &amp;amp;"]
     df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
